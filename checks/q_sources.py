@@ -153,7 +153,7 @@ SELECT p_partkey AS doc_id, 'Intro of ' || p_name || chr(10) || chr(10) || '## F
   CASE p_partkey % 4 WHEN 0 THEN '**Limits:** ' || p_size || ' requests/minute<br>50 requests/day' || chr(10) || chr(10)
     WHEN 1 THEN '**Limits:**' || chr(10) || '[' || p_size || ' requests/minute<br>50 requests/day](https://l.example)' || chr(10)
     WHEN 2 THEN '**Limits**: —' || chr(10) || chr(10) ELSE '' END ||
-  '- ' || p_name || '-7b' || chr(10) || '  * [' || p_type || ' ' || p_size || '](https://m.example)' || chr(10) || '- Open and proprietary ' || p_brand || ' models' || chr(10) ||
+  '- ' || p_name || '-7b' || chr(10) || '  * [' || p_type || ' ' || p_size || '](https://m.example)' || chr(10) || '- Open and proprietary ' || lower(p_type) || ' models' || chr(10) ||
   '- Currently paused' || chr(10) || '- ' || upper(p_name) || '-7B' || chr(10) || chr(10) ||
   '### Mistral (La Plateforme)' || chr(10) || '<table><thead><tr><th>Model Name</th><th>Model Limits</th></tr></thead><tbody><tr><td>' || p_name ||
   '</td><td>' || p_size || ' RPM</td></tr></tbody></table>' || chr(10) || chr(10) || '## Free providers with trial credits' || chr(10) || '### Other' || chr(10) || '- x-1' || chr(10) AS text

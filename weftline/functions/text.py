@@ -107,32 +107,22 @@ def _code_unit(n: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(n % 65536), 4, "0")), "UTF-16BE")
 
 
-def _decode_numeric(c: Column, prefix: str, digits: str, base: int) -> Column:
-    """Replace numeric entities; each distinct one is replaced once, '&' itself last."""
-    codes = F.array_distinct(F.regexp_extract_all(c, F.lit(f"{prefix}({digits});"), F.lit(1)))
+def decode_entities(c: Column) -> Column:
+    """Named entities in fixed order, then numeric ones; each distinct numeric entity is replaced once."""
+    named = c
+    for entity, char in [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")]:
+        named = F.replace(named, F.lit(entity), F.lit(char))
+    codes = F.array_distinct(F.regexp_extract_all(named, F.lit("&#([0-9]+|[xX][0-9a-fA-F]+);"), F.lit(1)))
 
     def number(x: Column) -> Column:
-        return F.coalesce(F.conv(x, base, 10).try_cast("bigint"), F.lit(0))
-
-    ordered = F.concat(F.filter(codes, lambda x: number(x) != 38), F.filter(codes, lambda x: number(x) == 38))
+        hexed = x.rlike("^[xX]")
+        return F.coalesce(F.when(hexed, F.conv(F.substr(x, F.lit(2)), 16, 10)).otherwise(x).try_cast("bigint"), F.lit(0))
 
     def put(acc: Column, x: Column) -> Column:
-        if base == 10:
-            return F.replace(acc, F.concat(F.lit("&#"), x, F.lit(";")), _code_unit(number(x)))
-        lower = F.replace(acc, F.concat(F.lit("&#x"), x, F.lit(";")), _code_unit(number(x)))
-        return F.replace(lower, F.concat(F.lit("&#X"), x, F.lit(";")), _code_unit(number(x)))
-
-    return F.aggregate(ordered, c, put)
+        # "&" itself comes last, so that it forms no new entity.
+        return F.when(x == "38", acc).otherwise(F.replace(acc, F.concat(F.lit("&#"), x, F.lit(";")), _code_unit(number(x))))
 
-
-def decode_entities(c: Column) -> Column:
-    named = c
-    for entity, char in [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")]:
-        named = F.replace(named, F.lit(entity), F.lit(char))
-    numeric = F.when(named.contains("&#"), _decode_numeric(named, "&#", "[0-9]+", 10)).otherwise(named)
-    return F.when(
-        numeric.rlike("&#[xX][0-9a-fA-F]"), _decode_numeric(numeric, "&#[xX]", "[0-9a-fA-F]+", 16)
-    ).otherwise(numeric)
+    return F.replace(F.aggregate(codes, named, put), F.lit("&#38;"), F.lit("&"))
 
 
 def html_text_of(c: Column) -> Column:
