@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import facets
 from weftline.functions.text import (
-    WB, WE, WS, blank_to_null, first_match, is_blank, null_if_empty, text_or_empty, trim_all,
+    WB, WE, WS, first_match, is_blank, null_if_empty, text_or_empty, trim_all,
 )
 
 _LEADING_FLOAT = r"\A([0-9]+\.?[0-9]*|\.[0-9]+)"
@@ -172,30 +172,30 @@ def free_limit_of(c: Column) -> Column:
     return out
 
 
+_SIZE = rf"[0-9]+(?:\.[0-9]+)?{WS}*[KMB]"
+# One pattern, so that guards with many rules stay small plans: a word, or an optional "up to" or "~",
+# then a size with unit or a whole number of at least 1000, then anything in parentheses.
+CONTEXT_LIKE = (
+    rf"(?is)\A{WS}*(?:varies|model-dependent|unlimited|configurable|shared{WS}*w/?{WS}*context"
+    rf"|(?:(?:up{WS}+to|~){WS}*)?(?:~{WS}*)?(?:{_SIZE}|0*[1-9][0-9]{{3,}}){WS}*(?:\(.*)?){WS}*\z"
+)
+RATE_LIKE = (
+    "(?i)unlimited|community-powered|credit-metered|preview limits|dependent on|no hard cap|session/weekly"
+    rf"|see{WS}+provider{WS}+page|[0-9][0-9,.]*{WS}*[KMB]?{WS}*(?:RPM|RPD|RPS|TPM|TPD|TPS){WE}"
+    rf"|{WB}requests?{WE}.*/|/{WS}*(?:minute|hour|day|month){WE}|{WB}calls?{WE}|{WB}neurons?{WE}"
+)
+
+
 def looks_like_context(c: Column) -> Column:
-    raw = blank_to_null(c)
-    words = raw.rlike(rf"(?i)\A(?:varies|model-dependent|unlimited|configurable|shared{WS}*w/?{WS}*context)\z")
-    core = trim_all(F.regexp_replace(raw, rf"(?i)\A(?:up{WS}+to|~){WS}*", ""))
-    core = trim_all(F.regexp_replace(F.substring_index(core, "(", 1), rf"\A{WS}*~{WS}*", ""))
-    size = core.rlike(rf"(?i)\A[0-9]+(?:\.[0-9]+)?{WS}*[KMB]\z")
-    digits = core.rlike(r"\A[0-9]+\z") & (core.try_cast("double") >= 1000)
-    return F.coalesce(words | size | F.coalesce(digits, F.lit(False)), F.lit(False))
+    return F.coalesce(c.rlike(CONTEXT_LIKE), F.lit(False))
 
 
 def looks_like_rate_limit(c: Column) -> Column:
-    raw = blank_to_null(c)
-    phrases = (
-        "unlimited|community-powered|credit-metered|preview limits|dependent on|no hard cap|session/weekly"
-        rf"|see{WS}+provider{WS}+page"
-    )
-    units = rf"[0-9][0-9,.]*{WS}*[KMB]?{WS}*(?:RPM|RPD|RPS|TPM|TPD|TPS){WE}"
-    periods = rf"{WB}requests?{WE}.*/|/{WS}*(?:minute|hour|day|month){WE}"
-    counts = rf"{WB}calls?{WE}|{WB}neurons?{WE}"
-    return F.coalesce(raw.rlike(f"(?i){phrases}|{units}|{periods}|{counts}"), F.lit(False))
+    return F.coalesce(c.rlike(RATE_LIKE), F.lit(False))
 
 
 def is_bare_size(c: Column) -> Column:
-    return trim_all(c).rlike(rf"(?i)\A[0-9]+(?:\.[0-9]+)?{WS}*[KMB]\z")
+    return F.coalesce(c.rlike(rf"(?i)\A{WS}*{_SIZE}{WS}*\z"), F.lit(False))
 
 
 def reconcile_more_note(note: Column, model_count: Column) -> Column:

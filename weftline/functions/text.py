@@ -58,7 +58,8 @@ def blank_to_null(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return blank_to_null(c).isNull()
+    """NULL, empty or only whitespace."""
+    return ~F.coalesce(c.rlike(f"[^{WS_SET}]"), F.lit(False))
 
 
 def clean_str(c: Column) -> Column:

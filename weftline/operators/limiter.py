@@ -12,16 +12,23 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def micros(events: DataFrame, ts: str) -> Column:
+    """Microseconds since the epoch; timestamps without a zone do not depend on the session's zone."""
+    if dict(events.dtypes)[ts] == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts))
+    return F.unix_micros(F.col(ts))
+
+
 def busy_runs(events: DataFrame, key: str, ts: str, window_seconds: int) -> DataFrame:
     """Adds ``run``: consecutive non-empty windows of a key share a run; an empty window ends it.
 
     The window function sees one row per non-empty window, not per event.
     """
-    slot = F.floor(F.unix_micros(F.col(ts)) / F.lit(window_seconds * 1_000_000))
+    slot = F.floor(micros(events, ts) / F.lit(window_seconds * 1_000_000))
     placed = events.withColumn("slot", slot)
     w = Window.partitionBy(key).orderBy("slot")
     slots = placed.groupBy(key, "slot").agg(F.count("*").alias("n"))
@@ -35,7 +42,7 @@ def sliding_limit(events: DataFrame, key: str, ts: str, tiebreak: str, window_se
     span = window_seconds * 1_000_000
     ordered = (
         busy_runs(events.select(key, ts, tiebreak), key, ts, window_seconds)
-        .withColumn("us", F.unix_micros(F.col(ts)))
+        .withColumn("us", micros(events, ts))
         .repartition(F.col(key), F.col("run"))
         .sortWithinPartitions(key, "run", "us", tiebreak)
         .select(key, "run", "us", tiebreak)

@@ -9,19 +9,22 @@ other children. Results follow the arrival order of rows (source priority, then
 
 The job works on aggregates, not on collected groups. Rows with the same key pair collapse first, so
 copies cost one row. Keys that occur in one pair only hang on their partner, which leaves a core of
-pairs between keys that each occur several times. The core is contracted round by round: a key folds
-into an older key over its earliest pair, and its values then count as arriving no earlier than that
-pair. That gives the sequential result without replaying rows in one task.
+pairs between keys that each occur several times. There a key folds into an older key over its
+earliest pair, and its values then count as arriving no earlier than that pair. Small cores fold in
+one task per entity, behind a count of their size; larger ones fold in rounds of joins.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import facets, numbers, text
 from weftline.session import cut_lineage
 
+# Largest core of an entity, in key pairs, that one task folds.
+CORE_PAIRS = 50_000
 CHILD_FIELDS = ["context", "max_output", "modality", "rate_limit"]
 SCALARS = ["name", "category", "country", "flag", "url", "base_url", "description", "source_updated_at", "more_models"]
 
@@ -94,76 +97,133 @@ def _nodes(pairs: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def _contract(nodes: DataFrame, edges: DataFrame, group: str) -> DataFrame:
-    """Fold core keys until no pair joins two nodes. Each round is a few joins over the remaining core."""
+def _arrival(value: Column, folds: Column) -> Column:
+    """When a value reaches each absorbing key, last fold first.
+
+    A value is never earlier than the pair its key folded over. Two values delayed by the same fold
+    share that time and are told apart by their order before it.
+    """
+    def later(acc: Column, at: Column) -> Column:
+        last = acc[0]
+        moved = F.when(at > last["at"], F.struct(at.alias("at"), F.lit(0).alias("phase"))).otherwise(last)
+        return F.concat(F.array(moved), acc)
+
+    return F.aggregate(folds, F.array(value["t"]), later)
+
+
+def _first_arrival(f: str) -> Column:
+    """Aggregate: the field value that arrives first at the absorbing key."""
+    value = F.col(f)
+    first = F.min(F.when(value.isNotNull(), F.struct(_arrival(value, F.col("folds")).alias("e"), value["v"].alias("v"))))
+    return F.when(first.isNotNull(), F.struct(first["e"][0].alias("t"), first["v"].alias("v")))
+
+
+def _fold_rounds(nodes: DataFrame, edges: DataFrame, group: str) -> DataFrame:
+    """Fold core keys into older ones until no pair joins two of them; for cores of any size.
+
+    A key whose earliest pair leads to an older key was a group of its own until that pair, so it can
+    fold at once. An absorbing key keeps its age, so a round only touches the remaining pairs.
+    """
+    births = nodes.select(group, "k", "born")
+    older = births.select(group, F.col("k").alias("v"), F.col("born").alias("vb"))
+    edges = cut_lineage(edges.join(births.select(group, F.col("k").alias("u"), F.col("born").alias("ub")), [group, "u"]).join(older, [group, "v"]))
+    moves = nodes.select(group, "k", F.col("k").alias("cur"), F.array().cast("array<bigint>").alias("folds"))
     while not edges.isEmpty():
-        births = nodes.select(group, "k", "born")
-        ends = edges.select(group, F.col("u").alias("k"), F.col("v").alias("o"), "t").unionByName(
-            edges.select(group, F.col("v").alias("k"), F.col("u").alias("o"), "t")
-        )
-        # A key's earliest pair decides where it may fold; only folding into an older key is exact.
-        first = ends.groupBy(group, "k").agg(F.min(F.struct("t", "o")).alias("e")).select(group, "k", "e.t", "e.o")
-        folds = (
-            first.join(births, [group, "k"])
-            .join(births.select(group, F.col("k").alias("o"), F.col("born").alias("o_born")), [group, "o"])
-            .where("o_born < born or (o_born = born and o < k)")
-            .select(group, "k", "o", "t")
+        ends = edges.select(group, F.col("u").alias("k"), F.col("ub").alias("kb"), F.col("v").alias("o"), F.col("vb").alias("ob"), "t").unionByName(
+            edges.select(group, F.col("v").alias("k"), F.col("vb").alias("kb"), F.col("u").alias("o"), F.col("ub").alias("ob"), "t")
         )
-        # Two hops per round: a target that folds itself hands on to its own target. A key whose
-        # second target folds too waits for the next round.
-        hop = folds.select(group, F.col("k").alias("o"), F.col("o").alias("o2"))
-        hop2 = folds.select(group, F.col("k").alias("o2"), F.lit(True).alias("moves"))
-        ready = (
+        first = ends.groupBy(group, "k").agg(F.min(F.struct("t", "o", "ob", "kb")).alias("e"))
+        folds = first.select(group, "k", "e.*").where("ob < kb or (ob = kb and o < k)").select(group, "k", "o", "ob", "t")
+        # A target that folds as well hands on to its own target; one whose second target moves waits.
+        hop = folds.select(group, F.col("k").alias("o"), F.col("o").alias("o2"), F.col("ob").alias("ob2"))
+        moving = folds.select(group, F.col("k").alias("root"), F.lit(True).alias("moving"))
+        ready = cut_lineage(
             folds.join(hop, [group, "o"], "left")
-            .withColumn("root", F.coalesce("o2", "o"))
-            .drop("o2")
-            .join(hop2.withColumnRenamed("o2", "root"), [group, "root"], "left")
-            .where("moves is null")
-            .select(group, "k", "root", F.col("t").alias("fold_t"))
+            .select(group, "k", F.coalesce("o2", "o").alias("root"), F.coalesce("ob2", "ob").alias("root_born"), "t")
+            .join(moving, [group, "root"], "left").where("moving is null").drop("moving")
         )
-        ready = cut_lineage(ready)
-
-        delayed = F.struct(F.col("fold_t").alias("at"), F.lit(0).alias("phase"))
-
-        def arriving(f: str) -> Column:
-            """The field's first value; no earlier than the fold for values of a folded key."""
-            v = F.col(f)
-            late = F.when(v["t"]["at"] < F.col("fold_t"), F.struct(delayed.alias("t"), v["v"].alias("v"))).otherwise(v)
-            return F.when(v.isNull() | F.col("fold_t").isNull(), v).otherwise(late)
-
-        folded = nodes.join(ready, [group, "k"], "left").withColumn("k", F.coalesce("root", "k"))
-        nodes = cut_lineage(
-            folded.groupBy(group, "k").agg(
-                F.min("born").alias("born"), F.min_by("owner", F.struct("born", F.col("fold_t").isNotNull())).alias("owner"),
-                F.sum("members").alias("members"), F.bool_or("core").alias("core"),
-                *[F.min(arriving(f)).alias(f) for f in CHILD_FIELDS],
-            )
-        )
-        to_u = ready.select(group, F.col("k").alias("u"), F.col("root").alias("ru"))
-        to_v = ready.select(group, F.col("k").alias("v"), F.col("root").alias("rv"))
+        to_u = ready.select(group, F.col("k").alias("u"), F.col("root").alias("ru"), F.col("root_born").alias("rub"))
+        to_v = ready.select(group, F.col("k").alias("v"), F.col("root").alias("rv"), F.col("root_born").alias("rvb"))
         moved = edges.join(to_u, [group, "u"], "left").join(to_v, [group, "v"], "left").select(
-            group, F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"), "t"
+            group, F.struct(F.coalesce("ru", "u").alias("k"), F.coalesce("rub", "ub").alias("b")).alias("x"),
+            F.struct(F.coalesce("rv", "v").alias("k"), F.coalesce("rvb", "vb").alias("b")).alias("y"), "t",
         )
         edges = cut_lineage(
-            moved.where("u <> v")
-            .groupBy(group, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-            .agg(F.min("t").alias("t"))
+            moved.where("x.k <> y.k").groupBy(group, F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("t").alias("t"))
+            .select(group, F.col("x.k").alias("u"), F.col("x.b").alias("ub"), F.col("y.k").alias("v"), F.col("y.b").alias("vb"), "t")
+        )
+        step = ready.select(group, F.col("k").alias("cur"), "root", "t")
+        moves = moves.join(step, [group, "cur"], "left").select(
+            group, "k", F.coalesce("root", "cur").alias("cur"),
+            F.when(F.col("t").isNotNull(), F.array_append("folds", F.col("t"))).otherwise(F.col("folds")).alias("folds"),
         )
-    return nodes
+    landed = nodes.join(moves, [group, "k"])
+    return landed.groupBy(group, F.col("cur").alias("k")).agg(
+        F.min("born").alias("born"), F.min_by("owner", F.struct("born", F.size("folds"))).alias("owner"),
+        F.sum("members").alias("members"), F.bool_or("core").alias("core"),
+        *[_first_arrival(f).alias(f) for f in CHILD_FIELDS],
+    )
 
 
-def merge_children(rows: DataFrame, group: str = "slug", ord_col: str = "ord") -> DataFrame:
+def _fold_in_order(edges: pa.Table, nodes: pa.Table) -> pa.Table:
+    """The same fold for one entity with a small core: pairs in time order, the older key absorbs."""
+    rows = {n["k"]: n for n in nodes.to_pylist()}
+    parent = {k: k for k in rows}
+
+    def find(k: str) -> str:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    def rank(value: dict) -> tuple:
+        return value["t"]["at"], value["t"]["phase"]
+
+    for e in sorted(edges.to_pylist(), key=lambda e: e["t"]):
+        keep, gone = sorted((find(e["u"]), find(e["v"])), key=lambda k: (rows[k]["born"], k))
+        if keep == gone:
+            continue
+        parent[gone] = keep
+        mine, other = rows[keep], rows.pop(gone)
+        mine["members"] += other["members"]
+        for f in CHILD_FIELDS:
+            value = other[f]
+            if value is None:
+                continue
+            if value["t"]["at"] < e["t"]:
+                value = {"t": {"at": e["t"], "phase": 0}, "v": value["v"]}
+            if mine[f] is None or rank(value) < rank(mine[f]):
+                mine[f] = value
+    return pa.Table.from_pylist(list(rows.values()), schema=nodes.schema)
+
+
+def _fold_core(nodes: DataFrame, edges: DataFrame, group: str, core_pairs: int) -> DataFrame:
+    """Entities with a counted, bounded core fold in one task each; larger cores fold in rounds."""
+    sizes = edges.groupBy(group).agg(F.count("*").alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0]
+    if largest is None:
+        return nodes
+    core, rest = nodes.where("core"), nodes.where("not core")
+
+    def small(n: DataFrame, e: DataFrame) -> DataFrame:
+        return e.groupBy(group).cogroup(n.groupBy(group)).applyInArrow(_fold_in_order, nodes.schema)
+
+    if largest <= core_pairs:
+        return rest.unionByName(small(core, edges))
+    large = sizes.where(F.col("n") > core_pairs).select(group)
+    folded = _fold_rounds(core.join(large, group, "left_semi"), edges.join(large, group, "left_semi"), group)
+    tight = small(core.join(large, group, "left_anti"), edges.join(large, group, "left_anti"))
+    return rest.unionByName(tight).unionByName(folded)
+
+
+def merge_children(rows: DataFrame, group: str = "slug", ord_col: str = "ord", core_pairs: int = CORE_PAIRS) -> DataFrame:
     """Merged children: one row per distinct child of each entity.
 
     ``ord`` is unique and sortable within the group (source priority, then position).
     """
     pairs = cut_lineage(key_pairs(rows, group, ord_col))
     nodes, edges = _nodes(pairs, group)
-    edges = cut_lineage(edges)
-    if not edges.isEmpty():
-        nodes = cut_lineage(nodes)
-        contracted = _contract(nodes.where("core"), edges, group)
-        nodes = nodes.where("not core").unionByName(contracted)
+    nodes = _fold_core(cut_lineage(nodes), cut_lineage(edges), group, core_pairs)
     flat = nodes.select(
         group, F.col("born").alias("ord"), "members",
         text.text_or_empty(F.col("owner.id")).alias("id"),
@@ -221,9 +281,10 @@ def merge_entities(partials: DataFrame, models: DataFrame, run_at: str) -> DataF
     return (
         joined.withColumn("name", name)
         .withColumn("description", description)
+        .withColumn("domain", domain)
         .select(
-            "slug", "name", "category", "country", "flag", domain.alias("domain"),
-            F.when(domain.isNotNull(), F.concat(F.lit("/logos/"), "slug", F.lit(".png"))).alias("logo"),
+            "slug", "name", "category", "country", "flag", "domain",
+            F.when(F.col("domain").isNotNull(), F.concat(F.lit("/logos/"), "slug", F.lit(".png"))).alias("logo"),
             "url", "base_url", "description",
             F.coalesce("modalities", F.array().cast("array<string>")).alias("modalities"),
             count.alias("model_count"), "max_context",
