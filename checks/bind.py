@@ -7,6 +7,7 @@ over all rows. Merged views are built by the library here and by plain SQL in ``
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from checks import sqlfn as s
 from weftline.functions import fixed
 from weftline.operators import merge
 from weftline.operators.diff import Snapshot
+from weftline.session import checkpoint_dir
 
 RUN_AT = "2026-01-02T12:00:00.000Z"
 PRIO = "CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END"
@@ -170,15 +172,34 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 # --- merged views, library side -------------------------------------------------------------
 
 
-def models(spark: SparkSession, sf: str) -> DataFrame:
+_PUBLISHED: dict[tuple[str, str], str] = {}
+
+
+def _merge_models(spark: SparkSession, sf: str) -> DataFrame:
     """Models merged by id: the plain gap fill, without name keys."""
     c = view(spark, sf, "c")
     aggs = [merge.priority_first(F.col(f), F.col("ord")).alias(f) for f in ["name", *merge.CHILD_FIELDS]]
     return c.groupBy("slug", "id").agg(F.min("ord").alias("ord"), F.min("pos").alias("pos"), *aggs)
 
 
+def published(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """The catalogue as queries meet it: merged once per session and scale, then read as a table."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _PUBLISHED:
+        root = f"{checkpoint_dir(spark)}/catalogue-{uuid.uuid4().hex}"
+        _merge_models(spark, sf).write.parquet(f"{root}/models")
+        merged = merge.merge_entities(view(spark, sf, "p"), spark.read.parquet(f"{root}/models"), RUN_AT)
+        merged.write.parquet(f"{root}/providers")
+        _PUBLISHED[key] = root
+    return spark.read.parquet(f"{_PUBLISHED[key]}/{name}")
+
+
+def models(spark: SparkSession, sf: str) -> DataFrame:
+    return published(spark, sf, "models")
+
+
 def providers(spark: SparkSession, sf: str) -> DataFrame:
-    return merge.merge_entities(view(spark, sf, "p"), models(spark, sf), RUN_AT)
+    return published(spark, sf, "providers")
 
 
 def offers(spark: SparkSession, sf: str) -> DataFrame:

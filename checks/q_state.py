@@ -11,7 +11,7 @@ from checks.bind import TEXT, with_views
 from checks.registry import case
 from weftline.operators import changelog, diff, limiter, quarantine
 from weftline.plans import browse, sync
-from weftline.session import checkpoint_dir
+from weftline.session import checkpoint_dir, cut_lineage
 from weftline.sources.registry import SourceSpec
 from weftline.streaming import limiter as stream_limiter
 from weftline.streaming import runs as stream_runs
@@ -35,7 +35,7 @@ def _(spark, sf):
 
 
 def _reconcile(spark, sf, now: str):
-    stats = _stats(spark, sf)
+    stats = cut_lineage(_stats(spark, sf))
     total = stats.agg(F.count_if("in_prev").alias("n")).scalar()
     return quarantine.reconcile(bind.view(spark, sf, "state"), quarantine.anomalies_from_stats(stats, T), total, now)
 
@@ -68,7 +68,7 @@ def _(spark, sf):
 , st7 AS (SELECT s.slug FROM state s JOIN anom a ON a.slug = s.slug WHERE epoch(CAST('{LATE}' AS TIMESTAMPTZ)) - epoch(CAST(first_seen AS TIMESTAMPTZ)) > 7 * 86400)
 SELECT (SELECT count(*) FROM anom) AS anomalies, count(*) AS stale, CASE WHEN count(*) > 0 THEN 'stale-quarantine' END AS fatal FROM st7""", "anom", "state"))
 def _(spark, sf):
-    stats = _stats(spark, sf)
+    stats = cut_lineage(_stats(spark, sf))
     total = stats.agg(F.count_if("in_prev").alias("n")).scalar()
     return quarantine.gate(bind.view(spark, sf, "state"), quarantine.anomalies_from_stats(stats, T), total, LATE)
 

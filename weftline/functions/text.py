@@ -14,6 +14,8 @@ from weftline.functions import fixed
 # One whitespace character, and the same set inside a character class.
 WS_SET = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 WS = f"[{WS_SET}]"
+# The same characters as plain text, for trimming without a regex.
+WS_CHARS = "".join(map(chr, [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 # ASCII word boundary before / after a word character.
 WB = "(?<![A-Za-z0-9_])"
 WE = "(?![A-Za-z0-9_])"
@@ -45,7 +47,7 @@ def drop_first(c: Column, pattern: str) -> Column:
 
 
 def trim_all(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def squeeze(c: Column) -> Column:
@@ -79,7 +81,7 @@ def safe_url(c: Column) -> Column:
 def slugify(c: Column) -> Column:
     lowered = F.lower(text_or_empty(c))
     dashed = F.regexp_replace(F.translate(lowered, "()", ""), "[^a-z0-9]+", "-")
-    return F.regexp_replace(dashed, "^-+|-+$", "")
+    return F.btrim(dashed, F.lit("-"))
 
 
 def alnum_key(c: Column) -> Column:
@@ -144,7 +146,7 @@ def model_key(c: Column) -> Column:
 
 
 def cluster_key(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(_bare_model_name(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.btrim(F.regexp_replace(_bare_model_name(c), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def enrich_norm_key(c: Column) -> Column:

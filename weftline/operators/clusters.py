@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import text
+from weftline.session import cut_lineage
 
 MIN_KEY_LENGTH = 4
 MODEL_COLUMNS = ["id", "name", "context", "max_output", "rate_limit", "modality"]
@@ -38,7 +39,11 @@ def clusters(entries: DataFrame) -> DataFrame:
 
 
 def cluster_entries(entries: DataFrame) -> DataFrame:
-    """Entry rows of real clusters; entry lists stay rows because a cluster has no size bound."""
+    """Entry rows of real clusters; entry lists stay rows because a cluster has no size bound.
+
+    Keys are computed once, for the count and for the rows.
+    """
+    entries = cut_lineage(entries)
     return entries.join(clusters(entries), "key")
 
 
@@ -48,5 +53,6 @@ def cluster_order() -> list:
 
 def membership(entries: DataFrame, slug: str) -> DataFrame:
     """Clusters holding one provider, with how many providers offer the model."""
+    entries = cut_lineage(entries)
     mine = entries.where(F.col("slug") == slug).select("key", F.col("name").alias("name"))
     return mine.join(clusters(entries).select("key", F.col("entries").alias("providers")), "key")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text
+from weftline.session import cut_lineage
 
 MODEL_FIELDS = ["context", "max_output", "modality", "rate_limit"]
 PROVIDER_FIELDS = ["description", "base_url", "free_limit", "max_context"]
@@ -196,7 +197,8 @@ def churn_examples(prev: Snapshot, next_: Snapshot, n: int = 3) -> DataFrame:
 
 def diff_report(prev: Snapshot, next_: Snapshot, t: Thresholds, stats: DataFrame | None = None) -> DataFrame:
     """Every finding of every rule. An empty previous snapshot skips the guard with a note."""
-    stats = provider_stats(prev, next_) if stats is None else stats
+    # Per-provider counts are read by every rule; they are written once.
+    stats = cut_lineage(provider_stats(prev, next_)) if stats is None else stats
     some = stats.agg(F.count_if("in_prev") > 0).scalar()
     churn = field_churn(prev, next_, t).where("severity is not null")
     none = F.lit(None).cast("string")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import fixed, numbers
+from weftline.session import cut_lineage
 
 
 def by_name(c: str) -> Column:
@@ -66,6 +67,7 @@ def page_after(df: DataFrame, order: list[Column], beyond: Column, size: int) ->
 
 
 def top_n_with_total(df: DataFrame, order: list[Column], n: int = 5) -> DataFrame:
-    """First n rows and the size of the whole result on each."""
+    """First n rows and the size of the whole result on each; the result is computed once."""
+    df = cut_lineage(df)
     total = df.agg(F.count("*").alias("n")).scalar()
     return df.orderBy(*order).limit(n).withColumn("total", total)

@@ -51,13 +51,14 @@ def child_keys(rows: DataFrame) -> DataFrame:
     """
     name_first = F.coalesce(text.null_if_empty(F.col("name")), F.col("id"))
     id_first = F.coalesce(text.null_if_empty(F.col("id")), F.col("name"))
-    a, b = text.null_if_empty(text.model_key(name_first)), text.null_if_empty(text.slugify(id_first))
-    keyed = rows.withColumn("_a", a).withColumn("_b", b).where("_a is not null or _b is not null")
-    return (
-        keyed.withColumn("ka", F.coalesce(F.concat(F.lit("a:"), "_a"), F.concat(F.lit("a!"), "_b")))
-        .withColumn("kb", F.coalesce(F.concat(F.lit("b:"), "_b"), F.concat(F.lit("b!"), "_a")))
-        .drop("_a", "_b")
-    )
+    # A generated row, so that the filter below reads the keys instead of computing them again.
+    keys = F.inline(F.array(F.struct(text.model_key(name_first).alias("a"), text.slugify(id_first).alias("b"))))
+    a, b = F.col("a"), F.col("b")
+    return rows.select("*", keys).where((a != "") | (b != "")).withColumn(
+        "ka", F.when(a != "", F.concat(F.lit("a:"), a)).otherwise(F.concat(F.lit("a!"), b))
+    ).withColumn(
+        "kb", F.when(b != "", F.concat(F.lit("b:"), b)).otherwise(F.concat(F.lit("b!"), a))
+    ).drop("a", "b")
 
 
 def _when_stated(field: str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import facets, fixed, numbers, text
 from weftline.operators.merge import max_context
 from weftline.operators.search import has_all, needle, offer_predicates, project_matches
+from weftline.session import cut_lineage
 
 MIN_FACET_PROVIDERS = 3
 EXCLUDED_FACETS = ["text"]
@@ -69,7 +70,7 @@ def facet_page(providers: DataFrame, models: DataFrame, facet: str) -> DataFrame
         .agg(F.count("*").alias("model_count"),
              F.max_by("context", F.when(num > 0, F.struct(num, -F.col("ord")))).alias("max_context"))
     )
-    rows = carrying.join(per, "slug")
+    rows = cut_lineage(carrying.join(per, "slug"))
     total = rows.agg(F.sum("model_count").alias("n")).scalar()
     return rows.withColumn("total_models", total)
 
