@@ -14,7 +14,8 @@ def _month(ts: Column, names: list[str]) -> Column:
 
 def fmt_date(iso: Column, long_month: bool = False, zone: str = "UTC") -> Column:
     """Day, month name, year of an ISO timestamp in a zone."""
-    ts = F.from_utc_timestamp(iso.try_cast("timestamp"), zone)
+    # From the session zone, in which the cast reads it, to the wanted one.
+    ts = F.convert_timezone(None, F.lit(zone), iso.try_cast("timestamp").cast("timestamp_ntz"))
     names = fixed.MONTHS_LONG if long_month else fixed.MONTHS_SHORT
     text = F.concat_ws(" ", F.dayofmonth(ts).cast("string"), _month(ts, names), F.year(ts).cast("string"))
     return F.when(ts.isNotNull(), text).otherwise(iso)

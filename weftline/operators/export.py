@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions import dates, text
+from weftline.functions import dates, fixed, text
 from weftline.operators.parts import PART_ROWS, with_parts
 
 MODEL_COLUMNS = ["id", "name", "context", "max_output", "modality", "rate_limit"]
@@ -48,11 +48,11 @@ def entity_markdown(providers: DataFrame, models: DataFrame) -> DataFrame:
         (2, 0, stated("url"), F.concat(F.lit("URL: "), "url")), (2, 1, stated("base_url"), F.concat(F.lit("Base URL: "), "base_url")),
         (2, 2, stated("url") | stated("base_url"), F.lit("")),
         (3, 0, stated("description"), F.col("description")), (3, 1, stated("description"), F.lit("")),
-        (4, 0, F.size("modalities") > 0, F.concat(F.lit("Modalitas: "), F.array_join("modalities", ", "))),
+        (4, 0, F.size("modalities") > 0, F.concat(F.lit(fixed.DOC_MODALITIES), F.array_join("modalities", ", "))),
         (4, 1, F.size("modalities") > 0, F.lit("")),
-        (5, 0, stated("free_limit"), F.concat(F.lit("Gratis: "), "free_limit")), (5, 1, stated("free_limit"), F.lit("")),
+        (5, 0, stated("free_limit"), F.concat(F.lit(fixed.DOC_FREE), "free_limit")), (5, 1, stated("free_limit"), F.lit("")),
         (9, 0, stated("more_models"), F.col("more_models")), (9, 1, stated("more_models"), F.lit("")),
-        (10, 0, F.lit(True), F.lit("Sumber:")), (12, 0, F.lit(True), F.lit("")),
+        (10, 0, F.lit(True), F.lit(fixed.DOC_SOURCES)), (12, 0, F.lit(True), F.lit("")),
     ]
 
     def line(block: int, pos: int, cond: Column, value: Column) -> Column:
@@ -81,7 +81,7 @@ def entity_markdown(providers: DataFrame, models: DataFrame) -> DataFrame:
 def index_lines(providers: DataFrame, base: str) -> DataFrame:
     """One line per provider: name, link, model count and the largest context when known."""
     context = text.null_if_empty(F.col("max_context"))
-    bits = F.concat_ws(", ", F.concat(F.col("model_count").cast("string"), F.lit(" model")), F.concat(F.lit("context maks "), context))
+    bits = F.concat_ws(", ", F.concat(F.col("model_count").cast("string"), F.lit(fixed.INDEX_MODELS)), F.concat(F.lit(fixed.INDEX_CONTEXT), context))
     return providers.select(
         "slug", F.concat(F.lit("- ["), "name", F.lit(f"]({base}/provider/"), "slug", F.lit("): "), bits, F.lit(".")).alias("line")
     )

@@ -7,10 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions import facets, numbers, text
-
-THRESHOLD_LABELS = {8000: "≥ 8K", 32000: "≥ 32K", 128000: "≥ 128K", 1000000: "≥ 1M"}
-
+from weftline.functions import facets, fixed, numbers, text
 
 @dataclass(frozen=True)
 class Criteria:
@@ -62,29 +59,29 @@ def reasons(criteria: Criteria) -> Column:
     lines = []
     if criteria.modality:
         hit = _stated("modality") & facets.has_facet(F.col("modality"), criteria.modality)
-        lines.append(F.when(hit, F.concat(F.lit('Modality cocok — sumber tulis "'), "modality", F.lit('" buat model ini.'))))
+        lines.append(F.when(hit, F.concat(F.lit(fixed.REASON_MODALITY[0]), "modality", F.lit(fixed.REASON_MODALITY[1]))))
     if criteria.min_context:
-        label = THRESHOLD_LABELS.get(criteria.min_context, f"≥ {criteria.min_context}")
-        ending = F.lit(f" — memenuhi minimum {label} yang kamu pilih.")
+        label = fixed.THRESHOLD_LABELS.get(criteria.min_context, f"≥ {criteria.min_context}")
+        ending = F.lit(fixed.REASON_CONTEXT_MEETS.format(label))
     else:
         ending = F.lit(".")
-    lines.append(F.when(_stated("context"), F.concat(F.lit("Context window "), "context", ending)))
+    lines.append(F.when(_stated("context"), F.concat(F.lit(fixed.REASON_CONTEXT), "context", ending)))
     lines.append(
-        F.when(raw.isNotNull() & unlimited, F.concat(F.lit('Rate limit: "'), raw, F.lit('" — sumber sebut ga ada batas ketat.')))
-        .when(raw.isNotNull(), F.concat(F.lit("Rate limit: "), raw, F.lit(".")))
+        F.when(raw.isNotNull() & unlimited, F.concat(F.lit(fixed.REASON_UNLIMITED[0]), raw, F.lit(fixed.REASON_UNLIMITED[1])))
+        .when(raw.isNotNull(), F.concat(F.lit(fixed.REASON_RATE), raw, F.lit(".")))
     )
     stated = F.array_compact(F.array(*lines))
-    return F.when(F.size(stated) > 0, stated).otherwise(F.array(F.lit("Salah satu model gratis dari provider ini.")))
+    return F.when(F.size(stated) > 0, stated).otherwise(F.array(F.lit(fixed.REASON_ANY)))
 
 
 def tradeoffs() -> Column:
     raw = numbers.rate_limit_raw(F.col("rate_limit"))
     odd = raw.isNotNull() & ~numbers.rate_limit_unlimited(F.col("rate_limit")) & numbers.rate_limit_per_day(F.col("rate_limit")).isNull()
     return F.array_compact(F.array(
-        F.when(raw.isNull(), F.lit("Rate limit: sumber tidak menyebutkan.")),
-        F.when(~_stated("context"), F.lit("Context window: sumber tidak menyebutkan.")),
-        F.when(~_stated("max_output"), F.lit("Max output: sumber tidak menyebutkan.")),
-        F.when(odd, F.lit("Rate limit ditulis dalam bentuk non-standar — ga bisa dibandingin ke provider lain secara angka.")),
+        F.when(raw.isNull(), F.lit(fixed.TRADEOFF_RATE)),
+        F.when(~_stated("context"), F.lit(fixed.TRADEOFF_CONTEXT)),
+        F.when(~_stated("max_output"), F.lit(fixed.TRADEOFF_OUTPUT)),
+        F.when(odd, F.lit(fixed.TRADEOFF_ODD_RATE)),
     ))
 
 
