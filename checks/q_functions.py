@@ -25,6 +25,7 @@ over_names("cluster_key", lambda: text.cluster_key(F.col("name")), s.cluster_key
 over_names("enrich_norm_key", lambda: text.enrich_norm_key(F.col("name")), s.norm_key("name"))
 over_names("candidate_keys", lambda: F.array_join(F.sort_array(text.candidate_keys(F.col("id"), F.col("name"))), ","), f"array_to_string({s.candidate_keys('id', 'name')}, ',')")
 over_names("header_key", lambda: text.header_key(F.col("name")), s.alnum("name"))
+over_names("alnum_key", lambda: text.alnum_key(F.col("id")), s.alnum("id"))
 over_names("slug_name", lambda: text.slug_name(F.col("name")), s.trim(s.rep1("name", rf"(?i){s.W}*\({s.W}*La{s.W}+Plateforme{s.W}*\)")))
 over_names("join_alias_resolve", lambda: text.canonical_slug(F.col("name")), s.canonical_slug("name"))
 over_names("domain_from_name", lambda: text.domain_from_name(F.col("id")), s.domain_name("id"))
@@ -111,18 +112,23 @@ def _(spark, sf):
     return bind.table(spark, sf, "orders").select("o_orderkey", text.license_clean(raw).alias("license"))
 
 
-@case("scalar_or_null", "SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN k WHEN 1 THEN k || 'K' END AS VARCHAR) AS scalar, CAST(CASE event_id % 4 WHEN 0 THEN k END AS DOUBLE) AS num, CASE event_id % 4 WHEN 1 THEN k || 'K' END AS str FROM (SELECT event_id, nullif(regexp_extract(props, '[0-9]+', 0), '0') AS k FROM events WHERE regexp_extract(props, '[0-9]+', 0) <> '0') UNION ALL SELECT event_id, CASE event_id % 4 WHEN 1 THEN '0K' END, CASE event_id % 4 WHEN 0 THEN 0.0 END, CASE event_id % 4 WHEN 1 THEN '0K' END FROM events WHERE regexp_extract(props, '[0-9]+', 0) = '0'")
-def _(spark, sf):
-    k = F.get_json_object("props", "$.k")
-    pick = F.col("event_id") % 4
-    value = F.when(pick == 0, k).when(pick == 1, F.concat(F.lit('"'), k, F.lit('K"'))).when(pick == 2, F.lit('{"a": 1}')).otherwise(F.lit("null"))
-    v = F.try_parse_json(F.concat(F.lit('{"k": '), value, F.lit("}")))
-    return bind.table(spark, sf, "events").select("event_id", v.alias("v")).select(
-        "event_id", json_payloads.scalar_or_null(F.col("v"), "$.k").alias("scalar"),
-        json_payloads.num_or_null(F.col("v"), "$.k").alias("num"), json_payloads.str_or_null(F.col("v"), "$.k").alias("str"),
+# One JSON value per event: a number, a string, an object or null.
+TEXT["dynamic"] = """
+SELECT event_id, event_id % 4 AS pick, k, '{"k": ' || CASE event_id % 4 WHEN 0 THEN k WHEN 1 THEN '"' || k || 'K"' WHEN 2 THEN '{"a": 1}' ELSE 'null' END || '}' AS payload
+FROM (SELECT event_id, regexp_extract(props, '[0-9]+', 0) AS k FROM {events}) e"""
+
+
+def over_dynamic(key: str, fn, sql: str):
+    case(key, with_views(f"SELECT event_id, {sql} AS out FROM dynamic", "dynamic"))(
+        lambda spark, sf: bind.view(spark, sf, "dynamic").select("event_id", F.try_parse_json(F.col("payload")).alias("v")).select("event_id", fn(F.col("v"), "$.k").alias("out"))
     )
 
 
+over_dynamic("scalar_or_null", json_payloads.scalar_or_null, "CASE pick WHEN 0 THEN nullif(k, '0') WHEN 1 THEN k || 'K' END")
+over_dynamic("num_or_null", json_payloads.num_or_null, "CASE pick WHEN 0 THEN CAST(k AS DOUBLE) END")
+over_dynamic("str_or_null", json_payloads.str_or_null, "CASE pick WHEN 1 THEN k || 'K' END")
+
+
 def over_models(key: str, columns, sql: dict):
     """Register functions of the per-source model fields over every model row."""
     body = ", ".join(f"{v} AS {n}" for n, v in sql.items())
@@ -200,13 +206,23 @@ _SHORT = "[" + ", ".join(f"'{m}'" for m in ["Jan", "Feb", "Mar", "Apr", "Mei", "
 
 
 @case("fmt_date", f"""
-SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'no date' ELSE day(j) || ' ' || ({_SHORT})[month(j)] || ' ' || year(j) END AS shown,
-  substr(CAST(ts AS VARCHAR), 1, 10) AS iso_day, strftime(CAST(ts AS DATE), '%a, %d %b %Y 00:00:00 GMT') AS rfc822
+SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'no date' ELSE day(j) || ' ' || ({_SHORT})[month(j)] || ' ' || year(j) END AS shown
 FROM (SELECT event_id, ts, ts + INTERVAL 7 HOUR AS j FROM events)""")
 def _(spark, sf):
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     odd = F.when(F.col("event_id") % 50 == 0, "no date").otherwise(iso)
     return bind.table(spark, sf, "events").select(
-        "event_id", dates.fmt_date(odd, zone="Asia/Jakarta").alias("shown"), dates.iso_day(iso).alias("iso_day"),
-        dates.rfc822(dates.iso_day(iso)).alias("rfc822"),
+        "event_id", dates.fmt_date(odd, zone="Asia/Jakarta").alias("shown")
     )
+
+
+@case("iso_day", "SELECT event_id, substr(CAST(ts AS VARCHAR), 1, 10) AS day FROM events")
+def _(spark, sf):
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return bind.table(spark, sf, "events").select("event_id", dates.iso_day(iso).alias("day"))
+
+
+@case("rfc822", "SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE), '%a, %d %b %Y 00:00:00 GMT') AS published FROM orders")
+def _(spark, sf):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return bind.table(spark, sf, "orders").select("o_orderkey", dates.rfc822(day).alias("published"))
