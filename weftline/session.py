@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
+_FOLDERS: set[str] = set()
+
 
 def local_session(cpus: int | str = "*", app: str = "weftline", shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and the local bench; a cluster brings its own."""
@@ -43,13 +47,43 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return made
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """Folder of this application under the shared checkpoint folder; it goes when the Python driver ends."""
+    folder = f"{checkpoint_dir(spark)}/weftline-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove, spark, folder)
+    return folder
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    if jvm is None:  # the session ended first
+        return
+    try:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except (Py4JError, OSError):  # a stopped session, at exit: the folder is named after the application and harmless
+        pass
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows once as a table in the shared checkpoint folder and read them back.
 
     The rows survive a lost executor. Against ``checkpoint()`` the plan also gets the true size of the
     table: a checkpointed plan keeps its estimate, and estimates multiply over the joins of a loop.
+    The table goes with ``release`` or at the end of the application.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``cut_lineage`` wrote and that no later plan reads."""
+    for df in tables:
+        if path := getattr(df, "_cut_path", None):
+            _remove(df.sparkSession, path)
