@@ -129,29 +129,60 @@ def _blocks(texts: DataFrame, words: int, percent: int) -> DataFrame:
     return by_token.sortWithinPartitions("token", "n", "sid").mapInArrow(groups, "token long, hub long, hub_n int, sid long, n int")
 
 
-def _sets(texts: DataFrame, wanted: np.ndarray, words: int) -> DataFrame:
-    """(doc_id, n, sid) of every row; tokens and signature where the set is to be compared, once per task."""
+def _members(texts: DataFrame, wanted: np.ndarray, words: int) -> DataFrame:
+    """(doc_id, text_key, n, sid) of every row; the signature where the set is in a block, once per task."""
     wanted = np.packbits(wanted > 0)
 
     def rows(batches):
         seen: set[int] = set()
         for batch, sets in shingle_sets(batches, words):
             ids = [set_id(x) for x in sets]
-            tokens, bits = [], []
+            bits = []
             for x, sid in zip(sets, ids, strict=True):
-                at = sid & ((1 << WANTED_BITS) - 1)
-                if len(x) and wanted[at >> 3] >> (7 - (at & 7)) & 1 and sid not in seen:
+                new = len(x) and _holds(wanted, sid) and sid not in seen
+                if new:
                     seen.add(sid)
-                    tokens.append(x.view(np.int64))
-                    bits.append(signature(x))
-                else:
-                    tokens.append(None)
-                    bits.append(None)
+                bits.append(signature(x) if new else None)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column(batch.schema.get_field_index("doc_id")), "n": pa.array([len(x) for x in sets], pa.int32()),
-                "sid": pa.array(ids, pa.int64()), "tokens": pa.array(tokens, pa.list_(pa.int64())), "bits": pa.array(bits, pa.binary())})
+                "doc_id": batch.column(batch.schema.get_field_index("doc_id")), "text_key": batch.column(batch.schema.get_field_index("text_key")),
+                "n": pa.array([len(x) for x in sets], pa.int32()), "sid": pa.array(ids, pa.int64()), "bits": pa.array(bits, pa.binary())})
 
-    return texts.select("doc_id", "text").mapInArrow(rows, "doc_id long, n int, sid long, tokens array<long>, bits binary")
+    return texts.mapInArrow(rows, "doc_id long, text_key long, n int, sid long, bits binary")
+
+
+def _holds(packed: np.ndarray, key: int) -> int:
+    at = key & (len(packed) * 8 - 1)
+    return int(packed[at >> 3]) >> (7 - (at & 7)) & 1
+
+
+def _sets(texts: DataFrame, every: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(sid, tokens) of the sets in ``pairs``, and of few others: only texts whose hash is wanted are read into sets."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    keys = every.groupBy("sid").agg(F.min("text_key").alias("text_key")).join(ids, "sid").select("text_key")
+    wanted = np.packbits(sketch.count_hashes(keys, sketch.hashes_of_column("text_key"), WANTED_BITS) > 0)
+
+    def rows(batches):
+        seen: set[int] = set()
+
+        def chosen():
+            for batch in batches:
+                at = batch.column(batch.schema.get_field_index("text_key")).to_numpy() & (len(wanted) * 8 - 1)
+                yield batch.filter(pa.array((wanted[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+
+        for _, sets in shingle_sets(chosen(), words):
+            new = [(sid, x.view(np.int64)) for x in sets if len(x) and (sid := set_id(x)) not in seen and not seen.add(sid)]
+            if new:
+                yield pa.RecordBatch.from_pydict({"sid": pa.array([i for i, _ in new], pa.int64()), "tokens": pa.array([x for _, x in new], pa.list_(pa.int64()))})
+
+    return texts.select("text_key", "text").mapInArrow(rows, "sid long, tokens array<long>").dropDuplicates(["sid"])
+
+
+def _signatures(every: DataFrame) -> DataFrame:
+    """(sid, n, hidden, w0, w1, ...): the signature as 64-bit words, and how many shingles share a bit with another."""
+    words = [f"w{i}" for i in range(SIGNATURE)]
+    one = every.where("bits IS NOT NULL").select("sid", "n", "bits").dropDuplicates(["sid"])
+    one = one.select("sid", "n", *[F.conv(F.hex(F.substring("bits", 8 * i + 1, 8)), 16, -10).cast("long").alias(w) for i, w in enumerate(words)])
+    return one.withColumn("hidden", F.col("n") - F.expr(" + ".join(f"bit_count({w})" for w in words)))
 
 
 def _fits(n1: str, n2: str, percent: int):
@@ -166,7 +197,16 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("o", shared).where(F.expr(f"100 * o >= {percent} * (size(x) + size(y) - o)")).select("a", "b")
 
 
-def _tree_pairs(blocks: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def _may_link(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose largest possible overlap, by their signatures, is enough."""
+    words = [f"w{i}" for i in range(SIGNATURE)]
+    both = pairs.join(signatures.select(F.col("sid").alias("a"), *[F.col(c).alias(f"{c}x") for c in ["n", "hidden", *words]]), "a").join(
+        signatures.select(F.col("sid").alias("b"), *[F.col(c).alias(f"{c}y") for c in ["n", "hidden", *words]]), "b")
+    overlap = " + ".join(f"bit_count({w}x & {w}y)" for w in words)
+    return both.where(F.expr(f"{100 + percent} * ({overlap} + least(hiddenx, hiddeny)) >= {percent} * (nx + ny)")).select("a", "b")
+
+
+def _tree_pairs(blocks: DataFrame, signatures: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that the dual traversal of the blocks' trees leaves over."""
     # The block's first set has met all others; what is left are pairs among those.
     rows = blocks.where("sid != hub").select("token", "sid", "n").join(found.withColumnsRenamed({"node": "sid", "component": "comp"}), "sid", "left")
@@ -175,7 +215,7 @@ def _tree_pairs(blocks: DataFrame, sets: DataFrame, found: DataFrame, percent: i
     same = [F.bit_xor(F.xxhash64("sid")).alias("f1"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("f2"), F.count("*").alias("c")]
     mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *same).where("lo != hi")
     mixed = mixed.groupBy("f1", "f2", "c").agg(F.min("token").alias("token")).select("token")
-    rows = cut_lineage(rows.join(mixed, "token").join(sets.select("sid", "bits"), "sid"))
+    rows = cut_lineage(rows.join(mixed, "token"))
     # Leaves: one size class (sizes within a fifth); large components get leaves of their own.
     rows = rows.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.2))).cast("int"))
     per_comp = rows.groupBy("token", "cls", "comp").agg(F.count("*").alias("c"))
@@ -185,11 +225,10 @@ def _tree_pairs(blocks: DataFrame, sets: DataFrame, found: DataFrame, percent: i
         per_leaf.alias("p"), (F.col("r.token") == F.col("p.token")) & (F.col("r.cls") == F.col("p.cls")) & F.col("r.own").eqNullSafe(F.col("p.own"))
     ).select("r.*", F.pmod(F.xxhash64("r.sid"), F.col("p.parts")).alias("leaf"))
     words = [f"w{i}" for i in range(SIGNATURE)]
-    placed = placed.select("*", *[F.conv(F.hex(F.substring("bits", 8 * i + 1, 8)), 16, -10).cast("long").alias(w) for i, w in enumerate(words)])
-    placed = placed.withColumn("hidden", F.col("n") - F.expr(" + ".join(f"bit_count({w})" for w in words)))
+    placed = placed.join(signatures.drop("n"), "sid")
     bounds = [*[F.expr(f"bit_or({w})").alias(w) for w in words], F.min("lo_n").alias("lo_n"), F.max("hi_n").alias("hi_n"), F.max("hidden").alias("hidden"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
     node = ["token", "cls", "own", "leaf"]
-    flat = placed.select(*node, *words, F.col("n").alias("lo_n"), F.col("n").alias("hi_n"), "hidden", F.col("comp").alias("lo"), F.col("comp").alias("hi"), F.struct("sid", "n", "comp", "bits").alias("m"))
+    flat = placed.select(*node, *words, F.col("n").alias("lo_n"), F.col("n").alias("hi_n"), "hidden", F.col("comp").alias("lo"), F.col("comp").alias("hi"), F.struct("sid", "n", "comp", "hidden", *words).alias("m"))
     leaves = cut_lineage(flat.groupBy(*node).agg(*bounds, F.collect_list("m").alias("members"))
                          .withColumn("branch", F.floor(F.col("leaf") / FAN)).withColumn("id", F.xxhash64(*node)).withColumn("up", F.xxhash64("cls", "own", "branch")))
     branches = leaves.groupBy("token", "up").agg(*bounds).withColumnRenamed("up", "id")
@@ -211,16 +250,14 @@ def _tree_pairs(blocks: DataFrame, sets: DataFrame, found: DataFrame, percent: i
     ).select(F.col("a.members").alias("p"), F.col("b.members").alias("q"))
 
     def sets_of(members):
-        sid, n, comp, bits = zip(*[(m["sid"], m["n"], m["comp"], m["bits"]) for m in members], strict=True)
-        b = np.frombuffer(b"".join(bits), dtype=np.uint64).reshape(len(sid), SIGNATURE)
-        n = np.array(n, np.int64)
-        return np.array(sid), n, np.array(comp), b, n - np.bitwise_count(b).sum(axis=1, dtype=np.int64)
+        cols = [np.array([m[k] for m in members], dtype=np.int64) for k in ("sid", "n", "comp", "hidden", *words)]
+        return *cols[:4], np.stack(cols[4:], axis=1).view(np.uint64)
 
     def compare(batches):
         for batch in batches:
             for p, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s1, n1, c1, b1, h1 = sets_of(p)
-                s2, n2, c2, b2, h2 = sets_of(q)
+                s1, n1, c1, h1, b1 = sets_of(p)
+                s2, n2, c2, h2, b2 = sets_of(q)
                 shared = np.bitwise_count(b1[:, None, :] & b2[None, :, :]).sum(axis=2, dtype=np.int64)
                 most = shared + np.minimum(h1[:, None], h2[None, :])
                 may = (c1[:, None] != c2[None, :]) & ((100 + percent) * most >= percent * (n1[:, None] + n2[None, :]))
@@ -241,17 +278,21 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     if not 50 <= percent <= 100:
         raise ValueError("percent must be between 50 and 100")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.concat(F.coalesce(F.col(text), F.lit("")), F.lit("\n")).alias("text"))
+    texts = texts.withColumn("text_key", F.xxhash64("text"))
     blocks = cut_lineage(_blocks(texts, words, percent))
     wanted = sketch.count_hashes(blocks.select("sid"), sketch.hashes_of_column("sid"), WANTED_BITS)
-    every = cut_lineage(_sets(texts, wanted, words))
-    sets = cut_lineage(every.where("tokens IS NOT NULL").select("sid", "tokens", "bits").dropDuplicates(["sid"]))
+    every = cut_lineage(_members(texts, wanted, words))
+    signatures = cut_lineage(_signatures(every))
     stars = blocks.where("hub != sid").where(_fits("hub_n", "n", percent)).select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
-    near = cut_lineage(_linked(stars, sets, percent))
+    stars = cut_lineage(_may_link(stars, signatures, percent))
+    near = cut_lineage(_linked(stars, _sets(texts, every, stars, words), percent))
     found = cut_lineage(graph.components(near))
-    more = cut_lineage(_linked(_tree_pairs(blocks, sets, found, percent), sets, percent))
-    if not more.isEmpty():
+    rest = cut_lineage(_tree_pairs(blocks, signatures, found, percent))
+    if not rest.isEmpty():
+        more = cut_lineage(_linked(rest, _sets(texts, every, rest, words), percent))
         found = cut_lineage(graph.components(near.union(more)))
-    release(blocks, sets, near, more)
+        release(more)
+    release(blocks, signatures, stars, near, rest)
     rows = every.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sid")).alias("node"))
     rows = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = rows.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("name"))
