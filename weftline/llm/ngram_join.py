@@ -270,9 +270,11 @@ def _tree_pairs(blocks: DataFrame, signatures: DataFrame, found: DataFrame, perc
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row; component_id is the smallest id reachable by links, itself included.
+    """(doc_id, n_shingles, component_id, text_key, leads) per row.
 
-    Rows with a null or repeated id keep their own text's links; a null id is never a component's name unless the
+    component_id is the smallest id reachable by links, itself included. One document of each component leads: the one
+    with this id, of several the one with the smallest ``text_key`` (hash of the text); documents without words always
+    lead. Rows with a null or repeated id keep their own text's links; a null id is never a component's name unless the
     component has no other. A null text is an empty one. An empty table gives an empty result, other columns are ignored.
     """
     if not 50 <= percent <= 100:
@@ -293,7 +295,10 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         found = cut_lineage(graph.components(near.union(more)))
         release(more)
     release(blocks, signatures, stars, near, rest)
-    rows = every.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sid")).alias("node"))
+    rows = every.select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sid")).alias("node"))
     rows = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = rows.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("name"))
-    return rows.join(names, "component", "left").select("doc_id", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    names = rows.where("component IS NOT NULL").groupBy("component").agg(first)
+    leads = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    return rows.join(names, "component", "left").select(
+        "doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"), "text_key", (F.col("first").isNull() | leads).alias("leads"))

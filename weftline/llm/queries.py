@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, ngram_join, pieces, token_counts
+from weftline.llm import chat_format, decontaminate, embedding_dedup, line_dedup, ngram_join, pieces, pii, secrets, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,6 +43,49 @@ FROM w d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(seen) AS component_id
 """
 
 
+_OP1 = r"""
+WITH t AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+l AS (SELECT doc_id, line, trim(translate(s, chr(9) || chr(13), '  ')) AS h, len(regexp_extract_all(s, '\S+')) AS w FROM t),
+c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY line)::BIGINT AS past FROM l WHERE w > 0),
+f AS (
+  SELECT doc_id, list(h) OVER a AS k, min(line) OVER a AS first, max(line) OVER a AS last, sum(w) OVER a AS words, 'f' AS kind FROM c
+  WINDOW a AS (PARTITION BY doc_id ORDER BY past - w RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+  UNION ALL
+  SELECT doc_id, list(h) OVER b, min(line) OVER b, max(line) OVER b, sum(w) OVER b, 'b' FROM c
+  WINDOW b AS (PARTITION BY doc_id ORDER BY past RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+g AS (SELECT *, min((doc_id, first)) OVER (PARTITION BY kind, md5(array_to_string(k, chr(10)))) AS earliest FROM f WHERE words >= 50),
+d AS (SELECT DISTINCT t.doc_id, t.line FROM g JOIN t ON t.doc_id = g.doc_id AND t.line BETWEEN g.first AND g.last WHERE g.earliest < (g.doc_id, g.first))
+SELECT t.doc_id, count(*)::BIGINT AS n_lines, count(d.line)::BIGINT AS n_removed, coalesce(string_agg(t.s, chr(10) ORDER BY t.line) FILTER (WHERE d.line IS NULL), '') AS text
+FROM t LEFT JOIN d USING (doc_id, line) GROUP BY t.doc_id
+"""
+
+
+@query("op1_line_dedup", _OP1)
+def op1(spark, sf_dir):
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("row.doc_id", F.col("lines").cast("long").alias("n_lines"), F.col("removed").cast("long").alias("n_removed"), "text")
+
+
+@query("op5_toxicity")
+def op5(spark, sf_dir):
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_OP9 = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r(node, seen) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id)::BIGINT AS n_links, m.component_id, v.vec_id = m.component_id AS kept
+FROM v JOIN (SELECT node, min(seen) AS component_id FROM r GROUP BY node) m ON m.node = v.vec_id
+"""
+
+
+@query("op9_embedding_dedup", _OP9)
+def op9(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 MODEL, VOCABULARY = "piece_bpe_32k.model", "byte_bpe_50k.json"
 
 
@@ -63,4 +107,32 @@ def op2(spark, sf_dir):
 
 @query("op4_ngram_jaccard", _OP4)
 def op4(spark, sf_dir):
-    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+_OP3 = """
+WITH c AS (SELECT conv_id, turn, to_json({'chars': length(text), 'query': text, 'turn': turn})::VARCHAR AS json, text FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL),
+o AS (SELECT conv_id, turn, min(json) AS json, count(*) AS copies FROM c GROUP BY conv_id, turn),
+r AS (SELECT conv_id, turn - 1 AS turn, count(*) AS results FROM conversations WHERE role = 'assistant' GROUP BY ALL)
+SELECT o.conv_id, 'call_' || o.conv_id || '_' || o.turn AS call_id, o.turn, 0 AS level, o.copies::BIGINT AS copies, CASE WHEN r.results IS NULL THEN NULL ELSE o.turn + 1 END AS result_turn,
+  coalesce(r.results, 0)::BIGINT AS results,
+  concat_ws(',', CASE WHEN r.results IS NULL THEN 'no_result' END, CASE WHEN o.turn >= 2 AND p.conv_id IS NULL THEN 'unknown_need' END) AS errors, o.json
+FROM o LEFT JOIN r USING (conv_id, turn) LEFT JOIN o p ON p.conv_id = o.conv_id AND p.turn = o.turn - 2
+"""
+
+
+@query("op3_chat_format", _OP3)
+def op3(spark, sf_dir):
+    calls, results = chat_format.calls_of_turns(table(spark, sf_dir, "conversations"))
+    schemas = spark.createDataFrame(chat_format.REPLY, "name string, field string, type string, required boolean")
+    return chat_format.linked_calls(calls, results, schemas).withColumn("errors", F.array_join("errors", ",")).drop("name")
+
+
+@query("op8_secret_scan")
+def op8(spark, sf_dir):
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op10_pii")
+def op10(spark, sf_dir):
+    return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
