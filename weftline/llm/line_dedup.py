@@ -34,18 +34,21 @@ def _lines(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def _windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, text_key, first, last, key, mark, at): both windows of each line, with fingerprint and its place."""
+    """(doc_id, text_key, first, last, seq, upto, key, mark, at): both windows of each line, with fingerprint and its place.
+
+    first and last are line numbers, seq and upto the same places among the lines that have words.
+    """
     own = Window.partitionBy("doc_id", "text_key")
     counted = lines.withColumn("past", F.sum("w").over(own.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
-    counted = counted.withColumn("before", F.col("past") - F.col("w"))
+    counted = counted.withColumn("before", F.col("past") - F.col("w")).withColumn("seq", F.row_number().over(own.orderBy("line")))
     rows = counted
     for name, order, frame in (("f", "before", (0, min_words - 1)), ("b", "past", (1 - min_words, 0))):
         over = own.orderBy(order).rangeBetween(*frame)
         rows = rows.withColumn(name, F.struct(
-            F.min("line").over(over).alias("first"), F.max("line").over(over).alias("last"), F.sum("w").over(over).alias("words"),
+            F.min("line").over(over).alias("first"), F.max("line").over(over).alias("last"), F.min("seq").over(over).alias("seq"), F.max("seq").over(over).alias("upto"), F.sum("w").over(over).alias("words"),
             F.xxhash64(F.lit(name), F.collect_list("h").over(over)).alias("key"), F.min(F.struct("h", "line")).over(over).alias("mark")))
     both = rows.select("doc_id", "text_key", F.explode(F.array("f", "b")).alias("x")).where(F.col("x.words") >= min_words)
-    return both.select("doc_id", "text_key", "x.first", "x.last", "x.key", F.col("x.mark.h").alias("mark"), F.col("x.mark.line").alias("at"))
+    return both.select("doc_id", "text_key", "x.first", "x.last", "x.seq", "x.upto", "x.key", F.col("x.mark.h").alias("mark"), F.col("x.mark.line").alias("at"))
 
 
 def repeated_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
@@ -56,12 +59,12 @@ def repeated_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
     kept = cut_lineage(windows.join(marks, "mark", "left_semi"))
     release(windows)
     first = kept.groupBy("mark", "key").agg(F.min(F.struct("doc_id", "first")).alias("earliest"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = kept.join(first, ["mark", "key"]).where("earliest < struct(doc_id, first)").select("doc_id", "text_key", "first", "last")
-    # Overlapping and touching windows of a document become one run.
+    later = kept.join(first, ["mark", "key"]).where("earliest < struct(doc_id, first)").select("doc_id", "text_key", "first", "last", "seq", "upto")
+    # Windows of a document that overlap, or between which no word is left, become one run.
     own = Window.partitionBy("doc_id", "text_key")
-    reach = F.max("last").over(own.orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1))
-    starts = later.distinct().withColumn("new", F.when(reach >= F.col("first"), 0).otherwise(1))
-    runs = starts.withColumn("run", F.sum("new").over(own.orderBy("first", "last").rowsBetween(Window.unboundedPreceding, 0)))
+    reach = F.max("upto").over(own.orderBy("seq", "upto").rowsBetween(Window.unboundedPreceding, -1))
+    starts = later.distinct().withColumn("new", F.when(reach + 1 >= F.col("seq"), 0).otherwise(1))
+    runs = starts.withColumn("run", F.sum("new").over(own.orderBy("seq", "upto").rowsBetween(Window.unboundedPreceding, 0)))
     runs = runs.groupBy("doc_id", "text_key", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     return runs.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
@@ -70,8 +73,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     """(row, lines, removed, text): each input row as a struct, its number of lines, how many go, and the text without them.
 
     A line is removed if it lies in a run of lines with at least ``min_words`` words that also occurs earlier: in a
-    document with a smaller id (null ids are smallest) or further up in the same one; blank lines inside such a run go
-    with it. Rows of one id, or of none, count as one document read by line number, so repeated rows stay alike. A
+    document with a smaller id (null ids are smallest) or further up in the same one; blank lines between two lines
+    that go, go too. Rows of one id, or of none, count as one document read by line number, so repeated rows stay alike. A
     null text stays null and has no lines, an empty text has one; an empty table gives an empty result. Other columns, whatever their names,
     come through in ``row``.
     """

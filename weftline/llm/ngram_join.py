@@ -6,7 +6,8 @@ when ``100 * |x & y| >= percent * |x | y|``.
 
 1. Shingles get one global order, rare first, from a sketch of fixed size that counted all of them. Sets that link
    share a shingle among their first ``n - ceil(percent * n / 100) + 1``, so the sets that hold a shingle there form
-   a *block*, and no linking pair is outside all blocks. Very common shingles come last and open no block.
+   a *block*, and no linking pair is outside all blocks. Very common shingles come last and open no block. In the block
+   of their first common shingle, what two sets hold from there on must suffice for the overlap; other pairs are passed.
 2. Every member of a block is compared with the block's first set. This joins most near copies at linear cost.
 3. A block whose members are not yet one component becomes a signature tree: sets, leaves, branches; a node holds
    the OR of its sets' shingle bitmaps, their size range and the most shingles a bitmap can hide. Pairs of nodes are
@@ -79,54 +80,56 @@ def signature(x: np.ndarray) -> bytes:
 
 
 def _blocks(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(token, hub, hub_n, sid, n): the members of each block of two sets or more, beside the block's first set."""
+    """(token, hub, hub_n, hub_rest, sid, n, rest): the members of each block of two sets or more, beside the block's first.
+
+    ``rest``: how many shingles a set has from this one on, in the global order.
+    """
     counts = sketch.count_hashes(texts.select("text"), lambda bs: (np.concatenate(s) for _, s in shingle_sets(bs, words)), ORDER_BITS)
 
     def rows(batches):
         seen: set[int] = set()
         for _, sets in shingle_sets(batches, words):
-            parts, ids, sizes = [], [], []
+            parts, ids, sizes, rests = [], [], [], []
             for x in sets:
                 if len(x) and (sid := set_id(x)) not in seen:
                     seen.add(sid)
                     parts.append(prefix(x, counts, percent))
                     ids.append(sid)
                     sizes.append(len(x))
+                    rests.append(np.arange(len(x), len(x) - len(parts[-1]), -1, dtype=np.int32))
             if parts:
                 each = [len(p) for p in parts]
                 yield pa.RecordBatch.from_pydict({
                     "token": pa.array(np.concatenate(parts).view(np.int64)), "sid": pa.array(np.repeat(np.array(ids, np.int64), each)),
-                    "n": pa.array(np.repeat(np.array(sizes, np.int32), each))})
+                    "n": pa.array(np.repeat(np.array(sizes, np.int32), each)), "rest": pa.array(np.concatenate(rests))})
 
     def groups(batches):
-        token = hub = last = None
-        hub_n, alone = 0, False
+        head = None  # of the group at hand: token, set, size, rest; and whether it has shown a second set
+        last, opened = None, False
         for b in batches:
             if not b.num_rows:
                 continue
-            t, s, n = (b.column(i).to_numpy() for i in range(3))
-            new = np.r_[t[0] != token, t[1:] != t[:-1]]
-            again = ~new & np.r_[s[0] == last, s[1:] == s[:-1]]
-            heads = np.flatnonzero(new)
-            which = np.cumsum(new) - 1  # -1: the group carried over
-            hubs = np.r_[s[heads], 0 if hub is None else hub].astype(np.int64)
-            hub_ns = np.r_[n[heads], hub_n].astype(np.int32)
+            t, s, n, r = (b.column(i).to_numpy() for i in range(4))
+            new = np.r_[head is None or t[0] != head[0], t[1:] != t[:-1]]
+            again = ~new & np.r_[s[0] == last, s[1:] == s[:-1]]  # copies of a set met in several tasks
+            starts = np.flatnonzero(new)
+            # The heads of all groups seen in this batch; the last row of the table is the group carried over.
+            heads = [np.append(c[starts], 0 if head is None else head[k]).astype(c.dtype) for k, c in enumerate((t, s, n, r))]
+            which = np.cumsum(new) - 1
             out = np.flatnonzero(~new & ~again)
-            opened = np.unique(which[out])
+            first = np.unique(which[out])
+            if opened:
+                first = first[first >= 0]
             if len(out):
-                # the first set of a group that turns out to have more, then the others
-                firsts = opened[(opened >= 0) | alone]
-                tokens = np.r_[t[heads], 0 if token is None else token].astype(np.int64)
-                yield pa.RecordBatch.from_pydict({
-                    "token": pa.array(np.r_[tokens[firsts], t[out]]), "hub": pa.array(np.r_[hubs[firsts], hubs[which[out]]]),
-                    "hub_n": pa.array(np.r_[hub_ns[firsts], hub_ns[which[out]]]), "sid": pa.array(np.r_[hubs[firsts], s[out]]),
-                    "n": pa.array(np.r_[hub_ns[firsts], n[out]])})
-            latest = which[-1]
-            alone = latest not in opened and (latest >= 0 or alone)
-            token, hub, hub_n, last = t[-1], hubs[latest], hub_ns[latest], s[-1]
+                pick, of = np.r_[first, which[out]], np.r_[np.full(len(first), -1), out]
+                own = [np.where(of < 0, h[pick], c[of]) for h, c in zip(heads[1:], (s, n, r), strict=True)]
+                columns = [heads[0][pick], heads[1][pick], heads[2][pick], heads[3][pick], *own]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "hub", "hub_n", "hub_rest", "sid", "n", "rest"])
+            opened = bool((which[out] == which[-1]).any()) or (which[-1] < 0 and opened)
+            head, last = [h[which[-1]] for h in heads], s[-1]
 
-    by_token = texts.select("text").mapInArrow(rows, "token long, sid long, n int").repartition("token")
-    return by_token.sortWithinPartitions("token", "n", "sid").mapInArrow(groups, "token long, hub long, hub_n int, sid long, n int")
+    by_token = texts.select("text").mapInArrow(rows, "token long, sid long, n int, rest int").repartition("token")
+    return by_token.sortWithinPartitions("token", "n", "sid").mapInArrow(groups, "token long, hub long, hub_n int, hub_rest int, sid long, n int, rest int")
 
 
 def _members(texts: DataFrame, wanted: np.ndarray, words: int) -> DataFrame:
@@ -185,8 +188,9 @@ def _signatures(every: DataFrame) -> DataFrame:
     return one.withColumn("hidden", F.col("n") - F.expr(" + ".join(f"bit_count({w})" for w in words)))
 
 
-def _fits(n1: str, n2: str, percent: int):
-    return F.expr(f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2})")
+def _fits(n1: str, n2: str, rest1: str, rest2: str, percent: int):
+    """Whether sizes, and what follows the shingle of the block, allow a link."""
+    return F.expr(f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) AND {100 + percent} * least({rest1}, {rest2}) >= {percent} * ({n1} + {n2})")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -209,13 +213,13 @@ def _may_link(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFram
 def _tree_pairs(blocks: DataFrame, signatures: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that the dual traversal of the blocks' trees leaves over."""
     # The block's first set has met all others; what is left are pairs among those.
-    rows = blocks.where("sid != hub").select("token", "sid", "n").join(found.withColumnsRenamed({"node": "sid", "component": "comp"}), "sid", "left")
-    rows = rows.withColumn("comp", F.coalesce("comp", "sid"))
-    # Blocks of several components, and of those with the same sets (a passage has many shingles) one.
+    rows = blocks.where("sid != hub").select("token", "sid", "n", "rest").join(found.withColumnsRenamed({"node": "sid", "component": "comp"}), "sid", "left")
+    rows = cut_lineage(rows.withColumn("comp", F.coalesce("comp", "sid")))
+    # Blocks of several components; those with the same sets (a passage has many shingles) become one, with the largest rests.
     same = [F.bit_xor(F.xxhash64("sid")).alias("f1"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("f2"), F.count("*").alias("c")]
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *same).where("lo != hi")
-    mixed = mixed.groupBy("f1", "f2", "c").agg(F.min("token").alias("token")).select("token")
-    rows = cut_lineage(rows.join(mixed, "token"))
+    mixed = cut_lineage(rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *same).where("lo != hi").drop("lo", "hi"))
+    one = mixed.join(mixed.groupBy("f1", "f2", "c").agg(F.min("token").alias("one")), ["f1", "f2", "c"]).select("token", "one")
+    rows = cut_lineage(rows.join(one, "token").groupBy(F.col("one").alias("token"), "sid").agg(F.max("n").alias("n"), F.max("comp").alias("comp"), F.max("rest").alias("rest")))
     # Leaves: one size class (sizes within a fifth); large components get leaves of their own.
     rows = rows.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.2))).cast("int"))
     per_comp = rows.groupBy("token", "cls", "comp").agg(F.count("*").alias("c"))
@@ -226,9 +230,9 @@ def _tree_pairs(blocks: DataFrame, signatures: DataFrame, found: DataFrame, perc
     ).select("r.*", F.pmod(F.xxhash64("r.sid"), F.col("p.parts")).alias("leaf"))
     words = [f"w{i}" for i in range(SIGNATURE)]
     placed = placed.join(signatures.drop("n"), "sid")
-    bounds = [*[F.expr(f"bit_or({w})").alias(w) for w in words], F.min("lo_n").alias("lo_n"), F.max("hi_n").alias("hi_n"), F.max("hidden").alias("hidden"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    bounds = [*[F.expr(f"bit_or({w})").alias(w) for w in words], F.min("lo_n").alias("lo_n"), F.max("hi_n").alias("hi_n"), F.max("rest").alias("rest"), F.max("hidden").alias("hidden"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
     node = ["token", "cls", "own", "leaf"]
-    flat = placed.select(*node, *words, F.col("n").alias("lo_n"), F.col("n").alias("hi_n"), "hidden", F.col("comp").alias("lo"), F.col("comp").alias("hi"), F.struct("sid", "n", "comp", "hidden", *words).alias("m"))
+    flat = placed.select(*node, *words, F.col("n").alias("lo_n"), F.col("n").alias("hi_n"), "hidden", "rest", F.col("comp").alias("lo"), F.col("comp").alias("hi"), F.struct("sid", "n", "comp", "hidden", "rest", *words).alias("m"))
     leaves = cut_lineage(flat.groupBy(*node).agg(*bounds, F.collect_list("m").alias("members"))
                          .withColumn("branch", F.floor(F.col("leaf") / FAN)).withColumn("id", F.xxhash64(*node)).withColumn("up", F.xxhash64("cls", "own", "branch")))
     branches = leaves.groupBy("token", "up").agg(*bounds).withColumnRenamed("up", "id")
@@ -239,6 +243,7 @@ def _tree_pairs(blocks: DataFrame, signatures: DataFrame, found: DataFrame, perc
         return F.expr(
             f"{a}.id <= {b}.id AND NOT ({a}.lo = {a}.hi AND {b}.lo = {b}.hi AND {a}.lo = {b}.lo)"
             f" AND 100 * {a}.hi_n >= {percent} * {b}.lo_n AND 100 * {b}.hi_n >= {percent} * {a}.lo_n"
+            f" AND {100 + percent} * least({a}.rest, {b}.rest) >= {percent} * ({a}.lo_n + {b}.lo_n)"
             f" AND {100 + percent} * ({overlap} + least({a}.hidden, {b}.hidden)) >= {percent} * ({a}.lo_n + {b}.lo_n)")
 
     upper = branches.alias("a").join(branches.alias("b"), (F.col("a.token") == F.col("b.token")) & survive("a", "b")).select(
@@ -249,22 +254,34 @@ def _tree_pairs(blocks: DataFrame, signatures: DataFrame, found: DataFrame, perc
         leaves.alias("b"), (F.col("b.token") == upper.token) & (F.col("b.up") == F.col("up2")) & survive("a", "b")
     ).select(F.col("a.members").alias("p"), F.col("b.members").alias("q"))
 
-    def sets_of(members):
-        cols = [np.array([m[k] for m in members], dtype=np.int64) for k in ("sid", "n", "comp", "hidden", *words)]
-        return *cols[:4], np.stack(cols[4:], axis=1).view(np.uint64)
+    fields = ("sid", "n", "comp", "hidden", "rest", *words)
+
+    def leaves_of(column):
+        """For each row of the column its members as numpy columns; signatures as one table."""
+        at, flat = column.offsets.to_numpy() - column.offsets[0].as_py(), column.flatten()
+        cols = [flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(len(fields))]
+        bits = np.stack(cols[5:], axis=1).view(np.uint64)
+        for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield *(c[s:e] for c in cols[:5]), bits[s:e]
 
     def compare(batches):
-        for batch in batches:
-            for p, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s1, n1, c1, h1, b1 = sets_of(p)
-                s2, n2, c2, h2, b2 = sets_of(q)
-                shared = np.bitwise_count(b1[:, None, :] & b2[None, :, :]).sum(axis=2, dtype=np.int64)
-                most = shared + np.minimum(h1[:, None], h2[None, :])
-                may = (c1[:, None] != c2[None, :]) & ((100 + percent) * most >= percent * (n1[:, None] + n2[None, :]))
-                may &= 100 * np.minimum(n1[:, None], n2[None, :]) >= percent * np.maximum(n1[:, None], n2[None, :])
-                i, j = np.nonzero(may)
-                if len(i):
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(s1[i], s2[j])), "b": pa.array(np.maximum(s1[i], s2[j]))})
+        for whole in batches:
+            for k in range(0, whole.num_rows, 512):
+                batch = whole.slice(k, 512)
+                left, right = [], []
+                for (s1, n1, c1, h1, r1, b1), (s2, n2, c2, h2, r2, b2) in zip(leaves_of(batch.column(0)), leaves_of(batch.column(1)), strict=True):
+                    need = percent * (n1[:, None] + n2[None, :])
+                    may = (c1[:, None] != c2[None, :]) & ((100 + percent) * np.minimum(r1[:, None], r2[None, :]) >= need)
+                    may &= 100 * np.minimum(n1[:, None], n2[None, :]) >= percent * np.maximum(n1[:, None], n2[None, :])
+                    i, j = np.nonzero(may)
+                    shared = np.bitwise_count(b1[i] & b2[j]).sum(axis=1, dtype=np.int64) + np.minimum(h1[i], h2[j])
+                    ok = (100 + percent) * shared >= need[i, j]
+                    left.append(s1[i[ok]])
+                    right.append(s2[j[ok]])
+                a, b = np.concatenate(left), np.concatenate(right)
+                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                if len(pairs):
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     return lower.mapInArrow(compare, "a long, b long").distinct()
 
@@ -285,7 +302,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     wanted = sketch.count_hashes(blocks.select("sid"), sketch.hashes_of_column("sid"), WANTED_BITS)
     every = cut_lineage(_members(texts, wanted, words))
     signatures = cut_lineage(_signatures(every))
-    stars = blocks.where("hub != sid").where(_fits("hub_n", "n", percent)).select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
+    stars = blocks.where("hub != sid").where(_fits("hub_n", "n", "hub_rest", "rest", percent)).select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
     stars = cut_lineage(_may_link(stars, signatures, percent))
     near = cut_lineage(_linked(stars, _sets(texts, every, stars, words), percent))
     found = cut_lineage(graph.components(near))

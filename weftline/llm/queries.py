@@ -54,7 +54,10 @@ f AS (
   SELECT doc_id, list(h) OVER b, min(line) OVER b, max(line) OVER b, sum(w) OVER b, 'b' FROM c
   WINDOW b AS (PARTITION BY doc_id ORDER BY past RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
 g AS (SELECT *, min((doc_id, first)) OVER (PARTITION BY kind, md5(array_to_string(k, chr(10)))) AS earliest FROM f WHERE words >= 50),
-d AS (SELECT DISTINCT t.doc_id, t.line FROM g JOIN t ON t.doc_id = g.doc_id AND t.line BETWEEN g.first AND g.last WHERE g.earliest < (g.doc_id, g.first))
+x AS (SELECT DISTINCT c.doc_id, c.line FROM g JOIN c ON c.doc_id = g.doc_id AND c.line BETWEEN g.first AND g.last WHERE g.earliest < (g.doc_id, g.first)),
+y AS (SELECT l.doc_id, l.line, CASE WHEN l.w > 0 THEN x.line IS NOT NULL END AS gone FROM l LEFT JOIN x USING (doc_id, line)),
+d AS (SELECT doc_id, line FROM (
+  SELECT doc_id, line, last_value(gone IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line) AS up, first_value(gone IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS down FROM y) WHERE up AND down)
 SELECT t.doc_id, count(*)::BIGINT AS n_lines, count(d.line)::BIGINT AS n_removed, coalesce(string_agg(t.s, chr(10) ORDER BY t.line) FILTER (WHERE d.line IS NULL), '') AS text
 FROM t LEFT JOIN d USING (doc_id, line) GROUP BY t.doc_id
 """
