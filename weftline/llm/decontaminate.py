@@ -1,14 +1,14 @@
 """Benchmark decontamination: passages of documents within a small edit distance of a benchmark item.
 
-Texts are lower-cased and read as words (letters, digits and characters beyond ASCII). A word-wise CGK embedding maps
-edit distance to Hamming distance: a pointer walks over the words of a window, and at each step a random function of
-the step and the word under it says whether it moves on; the words it saw, step by step, are the embedding. Bit sampling
+Texts are lower-cased and read as words (letters, digits and characters beyond ASCII). A CGK embedding maps edit distance
+to Hamming distance: a pointer walks over a window's overlapping pairs of words, and at each step a random function of
+the step and the pair under it says whether it moves on; the pairs it saw, step by step, are the embedding. Bit sampling
 keeps a few steps of it. Windows of every item and of every document position, as long as the item (rounded down to a
 ladder), get ``REPEATS`` such keys from independent walks; equal keys make a candidate, and each candidate is verified
 by the exact edit distance between the item and the best matching stretch of the document.
 
-A third of the steps sampled lie early, so that stretches between two edits are found too; sampling step 0 always lets a
-worker drop most positions at once. Documents never meet the benchmark itself in the search: the keys of all items are
+Half of the repetitions sample the first third of the steps, so that stretches between two edits are found too; sampling
+step 0 always lets a worker drop most positions at once. Documents never meet the benchmark itself in the search: the keys of all items are
 broadcast as bitmaps of fixed size, at each step sampled, so a key of a document is sent on only if it may be an item's.
 All that follows grows with the matches, not with the documents. A benchmark of any size works: its keys are rows.
 """
@@ -26,13 +26,13 @@ from weftline.llm.hashing import ALNUM, mix, small_batches, text_buffer, words_o
 from weftline.session import cut_lineage
 
 #: Independent walks, steps sampled of each, and log2 of a bitmap's size.
-REPEATS, SAMPLED, MAP_BITS = 12, 8, 20
-#: Items with fewer words are too common to be passages; window lengths rise by half from there.
-LEAST_WORDS = 5
+REPEATS, SAMPLED, MAP_BITS = 16, 4, 18
+#: Items with fewer word pairs are too common to be passages; window lengths rise by half from there.
+LEAST_PAIRS = 5
 
 
 def ladder(most: int) -> list[int]:
-    sizes = [LEAST_WORDS]
+    sizes = [LEAST_PAIRS]
     while sizes[-1] * 3 // 2 <= most:
         sizes.append(sizes[-1] * 3 // 2)
     return sizes
@@ -74,6 +74,11 @@ def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("key"), F.concat(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("\n")).alias("text"))
 
 
+def _pairs(h: np.ndarray) -> np.ndarray:
+    """Hash of each word with the next one; of no use at the last word of a text."""
+    return mix(h * np.uint64(0x9E3779B97F4A7C15) + np.append(h[1:], np.uint64(0)))
+
+
 def _words(batches: Iterator[pa.RecordBatch]):
     for batch in small_batches(batches, "text"):
         yield batch, *words_of(*text_buffer(batch.column(batch.schema.get_field_index("text"))), ALNUM)
@@ -83,13 +88,13 @@ def _index(items: DataFrame) -> DataFrame:
     """(key, item_id, size, level, n): the keys of all windows of all items; partial keys carry their level."""
     def rows(batches):
         for batch, h, first in _words(batches):
-            h = np.append(h, np.uint64(0))
+            h = np.append(_pairs(h), np.uint64(0))
             for item, s, e in zip(batch.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
-                n = e - s
-                if n < LEAST_WORDS:
+                n = e - s - 1
+                if n < LEAST_PAIRS:
                     continue
                 size = ladder(n)[-1]
-                at = np.arange(s, e - size + 1)
+                at = np.arange(s, s + n - size + 1)
                 parts = [("head", 0, np.unique(h[at]))]
                 for r in range(REPEATS):
                     def keep(level, keys, r=r):
@@ -129,9 +134,9 @@ def candidates(docs: DataFrame, maps: dict[tuple[int, int], np.ndarray]) -> Data
             if not len(h):
                 continue
             owner = np.repeat(np.arange(batch.num_rows), np.diff(first))
-            ends = first[1:][owner]
-            padded = np.append(h, np.uint64(0))
-            slot = (h & low).astype(np.int64)
+            ends = first[1:][owner] - 1
+            padded = np.append(_pairs(h), np.uint64(0))
+            slot = (padded[:-1] & low).astype(np.int64)
             found = []
             for size in sizes:
                 start = np.flatnonzero(flags[size, 0][slot])
@@ -182,7 +187,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, text:
 
     An item is found where some run of the document's words is at most ``(100 - percent)`` percent of the item's
     words away from it in edits. ``text_key`` is the 64-bit hash of the text, so that rows with a repeated or null
-    id stay apart; repeated rows are reported once. Items under ``LEAST_WORDS`` words match nothing; null and empty
+    id stay apart; repeated rows are reported once. Items of up to ``LEAST_PAIRS`` words match nothing; null and empty
     texts have no words; empty tables give an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
