@@ -80,7 +80,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     """
     runs = cut_lineage(repeated_runs(docs, text, doc_id, min_words))
     rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"))
-    both = rows.join(runs, rows["id"].eqNullSafe(runs["doc_id"]) & (rows["key"] == runs["text_key"]), "left")
+    # The same plan at any size: documents are sorted to their runs, never the runs sent to all tasks.
+    both = rows.join(runs.hint("merge"), rows["id"].eqNullSafe(runs["doc_id"]) & (rows["key"] == runs["text_key"]), "left")
     lines = F.split(F.col("row").getField(text), "\n")
     # What lies between two runs stays: one slice before each run and one after the last.
     kept = F.expr(
