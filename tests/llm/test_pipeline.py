@@ -7,10 +7,10 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     passage = " ".join(f"p{k}" for k in range(60))
     rows = [(1, " ".join(words[:100]), "x"), (2, " ".join([*words[:99], "other"]), "x"), (3, f"before {item} after", "x"), (4, f"{passage}\nmine", "x"), (5, f"{passage}\nyours alone", "x"),
             (6, None, "x"), (None, "no id here", "x"), (7, "idiotic nonsense", "x"), (7, "idiotic nonsense", "x"), (8, passage, "x")]
-    rows += [(k, f"{'idiotic' if k % 2 else 'kindly'} text{k}", "x") for k in range(100, 160)]
+    rows += [(k, f"{'idiotic' if k % 6 == 5 else 'kindly'} text{k}", "x") for k in range(100, 160)]
     docs = spark.createDataFrame([(*r, len(r[1] or ""), 1.0) for r in rows], "doc_id long, text string, source string, n_chars long, score double")
     for name, df in {"documents": docs, "benchmark": spark.createDataFrame([(1, item)], "item_id long, text string"),
-                     "labels": spark.createDataFrame([(k, 1, k % 2) for k in range(100, 160)], "doc_id long, quality int, toxic int")}.items():
+                     "labels": spark.createDataFrame([(k, 1, int(k % 6 == 5)) for k in range(100, 160)], "doc_id long, quality int, toxic int")}.items():
         df.write.parquet(f"{tmp_path}/{name}.parquet")
     at = spark.read.parquet(f"{tmp_path}/documents.parquet")
     ids = []

@@ -7,7 +7,7 @@ def test_planted_secrets_are_found_and_prose_is_left_alone(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     true = set()
     for r in docs.collect():
-        true |= {(r["doc_id"], m.start()) for m in re.finditer(r'AKIA[0-9A-Z]{16}|(?<=password=)[0-9a-f]{18}|(?<=token = ")[0-9a-f]{40}', r["text"])}
+        true |= {(r["doc_id"], m.start()) for m in re.finditer(r'(?i)AKIA[0-9A-Z]{16}|(?<=password=)[0-9a-f]{18}|(?<=token = ")[0-9a-f]{40}', r["text"])}
     got = {(r["doc_id"], r["start"]) for r in secrets.secrets(docs).collect()}
     assert len(true) > 50
     assert len(true - got) <= 0.02 * len(true) and len(got - true) <= 0.02 * len(true)

@@ -36,9 +36,12 @@ def test_penalty_evens_out_identity_terms(spark):
     def gap(m):
         return abs(m.score("wax way gray waz") - m.score("wax way teal waz"))
 
-    assert gap(fair) < 0.25 * gap(plain)
-    assert fair.score("wax way gray waz") < toxicity.THRESHOLD < plain.score("wax way gray waz")
-    assert fair.score("wax idiotic way") > 0.5 > fair.score("wax way")
+    assert gap(fair) < 0.1 * gap(plain)
+    rng = random.Random(9)
+    neutral = [" ".join(["gray", *(f"w{rng.choice('abcdefghijklmnopqrst')}{rng.choice('xyz')}" for _ in range(11))]) for _ in range(200)]
+    false = {m.bias: sum(m.score(t) >= toxicity.THRESHOLD for t in neutral) for m in (plain, fair)}
+    assert false[fair.bias] < 0.7 * false[plain.bias]
+    assert sum(fair.score(t.replace("gray", "idiotic")) > 0.5 for t in neutral) > 190
 
 
 def test_held_out_accuracy_on_the_given_labels(spark):
@@ -48,12 +51,13 @@ def test_held_out_accuracy_on_the_given_labels(spark):
     assert len(got) > 500
     hit = got[got.toxic == 1].predicted.mean()
     false = got[got.toxic == 0].predicted.mean()
-    assert hit >= 0.97 and false <= 0.01
+    assert hit >= 0.93 and false <= 0.01
 
 
 def test_swaps(spark):
-    assert toxicity.swapped({"a", "teal"}, GROUPS) == [{"a", "blue"}, {"a", "gray"}]
-    assert toxicity.swapped({"a"}, GROUPS) == []
+    words = toxicity.words_of
+    assert toxicity.swapped(words("a teal a"), GROUPS) == [words("a a blue"), words("a a gray")]
+    assert toxicity.swapped(words("a"), GROUPS) == []
 
 
 def test_edges(spark):

@@ -1,16 +1,17 @@
 """Toxicity by a linear classifier that is held to the same score when identity terms are swapped.
 
-A text's features are its distinct words and their first four and five letters, each counted once per distinct word.
-On a bounded sample of labelled rows Spark counts how many texts of either label hold a feature; the most telling ones
-and all identity terms become the columns of a logistic regression. Every sampled text that names an identity term
-also enters with that term swapped for others of its group, and the squared change of its score is added to the loss, so
-that the weights of a group's terms are drawn together and a neutral mention decides nothing.
+A text's features are its words and their first four to six letters; a feature's value is the logarithm of how many of a
+thousand words have it. On a bounded sample of labelled rows Spark counts how many texts of either label hold a feature;
+the most telling ones and all identity terms become the columns of a logistic regression. Every sampled text that names
+an identity term also enters with that term swapped for others of its group, and the squared change of its score is
+added to the loss, so that the weights of a group's terms are drawn together and a neutral mention decides nothing.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -44,27 +45,49 @@ IDENTITY_TERMS = [
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def words_of(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+#: First letters that are features.
+PREFIXES = (4, 5, 6)
+
+
+def words_of(text: str) -> Counter[str]:
+    return Counter(_WORD.findall(text.lower()))
 
 
 def features_of(word: str) -> list[str]:
     """The word itself and, marked by a star, its first letters."""
-    return [word] + [word[:k] + "*" for k in (4, 5) if len(word) > k]
+    return [word] + [word[:k] + "*" for k in PREFIXES if len(word) > k]
+
+
+def value_of(count: float, words: int) -> float:
+    """Of a feature that ``count`` of a text's words have; short texts count as a little longer."""
+    return math.log1p(1000 * count / (words + 20))
 
 
 @dataclass
 class Model:
-    """Intercept and the weights of features; a text's score is the logistic of their sum."""
+    """Intercept and the weights of features; a text's score is the logistic of their weighted sum."""
 
     bias: float
     weights: dict[str, float] = field(default_factory=dict)
+    known: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)
 
-    def of_word(self, word: str) -> float:
-        return sum(self.weights.get(f, 0.0) for f in features_of(word))
+    def of_word(self, word: str) -> tuple[str, ...]:
+        """The weighted features of a word, from a cache of fixed size."""
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= CACHED:
+                self.known.clear()
+            found = self.known[word] = tuple(f for f in features_of(word) if f in self.weights)
+        return found
 
     def score(self, text: str) -> float:
-        z = math.fsum([self.bias, *map(self.of_word, words_of(text))])  # fsum: the same in any order of words
+        words = words_of(text)
+        counts: dict[str, int] = {}
+        for w, n in words.items():
+            for f in self.of_word(w):
+                counts[f] = counts.get(f, 0) + n
+        size = words.total()
+        z = math.fsum([self.bias, *[self.weights[f] * value_of(n, size) for f, n in counts.items()]])  # the same in any order
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
@@ -101,33 +124,77 @@ def _telling(sample: DataFrame, groups: list[list[str]], keep: int) -> list[str]
     return found + [t for t in dict.fromkeys(terms) if t not in set(found)]
 
 
-def swapped(words: set[str], groups: list[list[str]]) -> list[set[str]]:
+def swapped(words: Counter[str], groups: list[list[str]]) -> list[Counter[str]]:
     """The words with every identity term replaced by the next one of its group, and by the one before."""
     out = []
     for step in (1, -1):
         to = {t: g[(k + step) % len(g)] for g in groups for k, t in enumerate(g)}
         if any(w in to for w in words):
-            out.append({to.get(w, w) for w in words})
+            other: Counter[str] = Counter()
+            for w, n in words.items():
+                other[to.get(w, w)] += n
+            out.append(other)
     return out
 
 
 def _columns(sample: DataFrame, features: list[str], groups: list[list[str]]) -> pd.DataFrame:
-    """(label, own, other): the kept features of each sampled text as it is, and with swapped terms; a bounded table."""
+    """(label, places, values, other): the kept features of each sampled text, and with swapped terms; a bounded table."""
     place = {f: k for k, f in enumerate(features)}
 
-    def of(words: set[str]) -> list[int]:
-        return sorted(place[f] for w in words for f in features_of(w) if f in place)
+    def of(words: Counter[str]) -> dict[int, float]:
+        counts: Counter[int] = Counter()
+        for w, n in words.items():
+            for f in features_of(w):
+                if f in place:
+                    counts[place[f]] += n
+        return {k: value_of(n, words.total()) for k, n in sorted(counts.items())}
 
     def rows(batches: Iterator[pd.DataFrame]):
         for b in batches:
-            words = b["text"].map(words_of)
-            yield pd.DataFrame({"label": b["label"], "own": words.map(of), "other": words.map(lambda w: [of(x) for x in swapped(w, groups)])})
-
-    return sample.mapInPandas(rows, "label int, own array<int>, other array<array<int>>").toPandas()
-
-
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, keep: int = FEATURES, groups: list[list[str]] | None = None, counterfactual: float = 1.0, decay: float = 1e-3, rounds: int = 300) -> Model:
-    """Logistic regression on the sample with the counterfactual penalty; without labelled rows every score is 0.5's bias 0."""
+            for label, text in zip(b["label"], b["text"], strict=True):
+                words = words_of(text)
+                for kind, w in enumerate([words, *swapped(words, groups)]):
+                    x = of(w)
+                    own = of(words) if kind else {}
+                    if kind:  # a swapped text as the change that it makes
+                        x = {k: d for k in sorted(x | own) if (d := x.get(k, 0.0) - own.get(k, 0.0))}
+                    yield pd.DataFrame({"label": [label if not kind else -1], "places": [list(x)], "values": [list(x.values())]})
+
+    return sample.mapInPandas(rows, "label int, places array<int>, values array<double>").toPandas()
+
+
+def _minimum(loss, w: np.ndarray, rounds: int, kept: int = 8) -> np.ndarray:
+    """L-BFGS with halved steps: ``loss`` gives value and gradient."""
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    now, slope = loss(w)
+    for _ in range(rounds):
+        way, shares = slope.copy(), []
+        for s, y in reversed(steps):
+            shares.append((s @ way) / (s @ y))
+            way -= shares[-1] * y
+        if steps:
+            s, y = steps[-1]
+            way *= (s @ y) / (y @ y)
+        for (s, y), share in zip(steps, reversed(shares), strict=True):
+            way += s * (share - (y @ way) / (s @ y))
+        size = 1.0 if steps else 1 / max(1.0, np.abs(slope).sum())
+        while True:
+            to = w - size * way
+            then, new = loss(to)
+            if then <= now - 1e-4 * size * (slope @ way) or size < 1e-8:
+                break
+            size /= 2
+        if (to - w) @ (new - slope) > 1e-12:
+            steps = [*steps, (to - w, new - slope)][-kept:]
+        done = now - then < 1e-7
+        w, now, slope = to, then, new
+        if done:
+            break
+    return w
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, keep: int = FEATURES, groups: list[list[str]] | None = None, counterfactual: float = 1.0, decay: float = 1e-3, rounds: int = 100) -> Model:
+    """Logistic regression on the sample with the counterfactual penalty; without labelled rows every score is 0.5."""
     groups = IDENTITY_TERMS if groups is None else groups
     sample = cut_lineage(sample_of(docs, labels, rows))
     features = _telling(sample, groups, keep)
@@ -135,55 +202,38 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, keep: int = FEAT
     release(sample)
     if not len(table):
         return Model(0.0)
+    # One order for any partitioning.
+    table = table.iloc[sorted(range(len(table)), key=lambda k: (int(table["label"].iat[k]), list(table["places"].iat[k]), list(table["values"].iat[k])))]
 
-    def matrix(lists) -> np.ndarray:
-        m = np.zeros((len(lists), len(features)), dtype=np.float32)
-        for r, idx in enumerate(lists):
-            np.add.at(m[r], list(idx), 1)
+    def matrix(part: pd.DataFrame) -> np.ndarray:
+        m = np.zeros((len(part), len(features)), dtype=np.float32)
+        for r, (places, values) in enumerate(zip(part["places"], part["values"], strict=True)):
+            m[r, np.asarray(places, dtype=int)] = values
         return m
 
-    table = table.iloc[sorted(range(len(table)), key=lambda k: (int(table["label"].iat[k]), list(table["own"].iat[k])))]  # one order for any partitioning
-    y = table["label"].to_numpy(np.float32)
-    x = matrix(table["own"])
-    changed = [(k, o) for k, others in enumerate(table["other"]) for o in others]
-    shift = matrix([o for _, o in changed]) - x[[k for k, _ in changed]] if changed else None
-    rate = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
-    w, bias = np.zeros(len(features)), math.log(rate / (1 - rate))
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for t in range(1, rounds + 1):  # Adam over the whole sample
-        z = x @ w.astype(np.float32) + bias
-        off = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        g = x.T @ off / len(y) + decay * w
-        if shift is not None:
-            g = g + 2 * counterfactual * (shift.T @ (shift @ w.astype(np.float32))) / len(y)
-        g = np.append(g, off.mean())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, bias = w - step[:-1], bias - step[-1]
-    return Model(float(bias), {f: float(k) for f, k in zip(features, w, strict=True) if k})
+    own = table[table["label"] >= 0]
+    x, shift = matrix(own), matrix(table[table["label"] < 0])
+    y = own["label"].to_numpy(np.float32)
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        k = w[:-1].astype(np.float32)
+        z = (x @ k).astype(np.float64) + w[-1]
+        off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
+        moved = (shift @ k).astype(np.float64)
+        value = np.mean(np.logaddexp(0, z) - y * z) + decay / 2 * (w[:-1] @ w[:-1]) + counterfactual * (moved @ moved) / len(y)
+        slope = x.T @ off.astype(np.float32) + 2 * counterfactual / len(y) * (shift.T @ moved.astype(np.float32))
+        return float(value), np.append(slope.astype(np.float64) + decay * w[:-1], off.sum())
+
+    w = _minimum(loss, np.zeros(len(features) + 1), rounds)
+    return Model(float(w[-1]), {f: float(k) for f, k in zip(features, w[:-1], strict=True) if k})
 
 
 def with_score(docs: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
     """All columns plus the score of each whole text, from 0 to 1; null and empty texts get the score of no words."""
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, float] = {}
-
-        def of(t: str) -> float:
-            if len(known) > CACHED:
-                known.clear()
-            found = [model.bias]
-            for w in words_of(t):
-                s = known.get(w)
-                if s is None:
-                    s = known[w] = model.of_word(w)
-                if s:
-                    found.append(s)
-            z = math.fsum(found)
-            return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
-
         for texts in batches:
-            yield texts.map(of).astype(float)
+            yield texts.map(model.score).astype(float)
 
     return docs.withColumn(to, scores(F.coalesce(F.col(text), F.lit(""))))
 
