@@ -27,7 +27,7 @@ def corpus(rng, n):
 @pytest.mark.parametrize("seed", range(2))
 def test_equals_all_pairs(spark, seed, monkeypatch):
     monkeypatch.setattr(ngram_join, "LEAF", 4)  # so that trees have several levels
-    monkeypatch.setattr(ngram_join, "FAN", 2)
+    monkeypatch.setattr(ngram_join, "BRANCH", 8)
     texts = corpus(random.Random(seed), 160)
     assert run(spark, texts) == expected(texts)
 

@@ -8,14 +8,15 @@ when ``100 * |x & y| >= percent * |x | y|``.
    share a shingle among their first ``n - ceil(percent * n / 100) + 1``, so the sets that hold a shingle there form
    a *block*, and no linking pair is outside all blocks. Very common shingles come last and open no block. In the block
    of their first common shingle, what two sets hold from there on must suffice for the overlap; other pairs are passed.
-2. Every member of a block is compared with the block's first set. This joins most near copies at linear cost.
-3. A block whose members are not yet one component becomes a signature tree: sets, leaves, branches; a node holds
-   the OR of its sets' shingle bitmaps, their size range and the most shingles a bitmap can hide. Pairs of nodes are
-   followed downwards together while their sizes fit, they span more than one component, and the largest possible
+2. Every member of a block is compared with the block's first set and the one before it, in an order of each block's
+   own. This joins most near copies, of groups of any size, at linear cost.
+3. The other members of a block that are not yet one component become a signature tree: sets, leaves, branches; a node
+   holds the OR of its sets' shingle bitmaps, their size range and the most shingles a bitmap can hide. Pairs of nodes
+   are followed downwards together while their sizes fit, they span more than one component, and the largest possible
    overlap reaches the smallest one needed. What is left of set pairs is compared exactly.
 
 Copies of a set are one node throughout, so groups of copies cost nothing but their rows. No step needs a group in
-one task: blocks stream in sorted order, leaves have about ``LEAF`` sets, and pairs inside a component are skipped.
+one task: blocks stream in sorted order, branches have about ``BRANCH`` sets, and pairs inside a component are skipped.
 Sets are compared by 64-bit shingle hashes.
 """
 
@@ -34,8 +35,8 @@ from weftline.session import cut_lineage, release
 
 #: log2 of the counters that order shingles, and of the bitmap of sets to be compared. Fixed: they bound what is broadcast.
 ORDER_BITS, WANTED_BITS = 22, 22
-#: 64-bit words of a signature bitmap; sets in a leaf, leaves in a branch.
-SIGNATURE, LEAF, FAN = 16, 32, 32
+#: Smallest and largest bitmap of a set, bits; 64-bit words of a branch's bitmap; sets in a leaf and in a branch.
+BITS, SIGNATURE, LEAF, BRANCH = (1024, 32768), 16, 32, 4096
 _SEEDS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
@@ -74,15 +75,36 @@ def prefix(x: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signature(x: np.ndarray) -> bytes:
-    bits = np.zeros(SIGNATURE * 64, dtype=np.uint8)
-    bits[((x >> np.uint64(20)) % np.uint64(len(bits))).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
+    """Bitmap of a set: sixteen bits for each shingle, rounded up to a power of two, between the two ends of ``BITS``."""
+    size = min(max(BITS[0], 1 << (16 * len(x) - 1).bit_length()), BITS[1])
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[((x >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) as they would be with ``size`` bits."""
+    while bits.shape[1] * 64 > size:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return bits
+
+
+def _table(raw: list[bytes], size: int) -> np.ndarray:
+    """Signatures of any sizes as rows of one table of ``size`` bits."""
+    out = np.empty((len(raw), size // 64), dtype=np.uint64)
+    each = np.array([len(b) for b in raw])
+    for n in np.unique(each):
+        at = np.flatnonzero(each == n)
+        out[at] = folded(np.frombuffer(b"".join([raw[k] for k in at]), dtype=np.uint64).reshape(len(at), n // 8), size)
+    return out
 
 
 def _blocks(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(token, hub, hub_n, hub_rest, sid, n, rest): the members of each block of two sets or more, beside the block's first.
+    """(token, hub, prev, sid, and n and rest of each): the members of each block of two sets or more.
 
-    ``rest``: how many shingles a set has from this one on, in the global order.
+    Each stands beside the block's first member and the one before it, in an order by hash that is another in each
+    block. ``rest``: how many shingles a set has from this one on, in the global order.
     """
     counts = sketch.count_hashes(texts.select("text"), lambda bs: (np.concatenate(s) for _, s in shingle_sets(bs, words)), ORDER_BITS)
 
@@ -104,32 +126,37 @@ def _blocks(texts: DataFrame, words: int, percent: int) -> DataFrame:
                     "n": pa.array(np.repeat(np.array(sizes, np.int32), each)), "rest": pa.array(np.concatenate(rests))})
 
     def groups(batches):
-        head = None  # of the group at hand: token, set, size, rest; and whether it has shown a second set
-        last, opened = None, False
+        # Of the group at hand: token, then first and latest member (set, size, rest); whether it has shown a second one.
+        token, hub, latest, opened = None, None, None, False
         for b in batches:
             if not b.num_rows:
                 continue
-            t, s, n, r = (b.column(i).to_numpy() for i in range(4))
-            new = np.r_[head is None or t[0] != head[0], t[1:] != t[:-1]]
-            again = ~new & np.r_[s[0] == last, s[1:] == s[:-1]]  # copies of a set met in several tasks
-            starts = np.flatnonzero(new)
-            # The heads of all groups seen in this batch; the last row of the table is the group carried over.
-            heads = [np.append(c[starts], 0 if head is None else head[k]).astype(c.dtype) for k, c in enumerate((t, s, n, r))]
-            which = np.cumsum(new) - 1
-            out = np.flatnonzero(~new & ~again)
-            first = np.unique(which[out])
-            if opened:
-                first = first[first >= 0]
+            t, *member = (b.column(k).to_numpy() for k in range(4))
+            new = np.r_[token is None or t[0] != token, t[1:] != t[:-1]]
+            # Copies of a set, met in several tasks, follow each other.
+            again = ~new & np.r_[latest is not None and member[0][0] == latest[0], member[0][1:] == member[0][:-1]]
+            kept = np.flatnonzero(~again)
+            t, new, member = t[kept], new[kept], [c[kept] for c in member]
+            if not len(t):
+                continue
+            starts, which = np.flatnonzero(new), np.cumsum(new) - 1
+            # The first members of all groups in this batch; the last row stands for the group carried over.
+            hubs = [np.append(c[starts], 0 if hub is None else hub[k]).astype(c.dtype) for k, c in enumerate(member)]
+            before = [np.r_[0 if latest is None else latest[k], c[:-1]].astype(c.dtype) for k, c in enumerate(member)]
+            out = np.flatnonzero(~new)
             if len(out):
-                pick, of = np.r_[first, which[out]], np.r_[np.full(len(first), -1), out]
-                own = [np.where(of < 0, h[pick], c[of]) for h, c in zip(heads[1:], (s, n, r), strict=True)]
-                columns = [heads[0][pick], heads[1][pick], heads[2][pick], heads[3][pick], *own]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "hub", "hub_n", "hub_rest", "sid", "n", "rest"])
+                first = np.unique(which[out])
+                first = first[first >= 0] if opened else first
+                tokens = np.append(t[starts], 0 if token is None else token)
+                pick = np.r_[first, which[out]]
+                rows = [tokens[pick], *[h[pick] for h in hubs], *[np.r_[h[first], c[out]] for h, c in zip(hubs, before, strict=True)], *[np.r_[h[first], c[out]] for h, c in zip(hubs, member, strict=True)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["token", "hub", "hub_n", "hub_rest", "prev", "prev_n", "prev_rest", "sid", "n", "rest"])
             opened = bool((which[out] == which[-1]).any()) or (which[-1] < 0 and opened)
-            head, last = [h[which[-1]] for h in heads], s[-1]
+            token, hub, latest = t[-1], [h[which[-1]] for h in hubs], [c[-1] for c in member]
 
     by_token = texts.select("text").mapInArrow(rows, "token long, sid long, n int, rest int").repartition("token")
-    return by_token.sortWithinPartitions("token", "n", "sid").mapInArrow(groups, "token long, hub long, hub_n int, hub_rest int, sid long, n int, rest int")
+    ordered = by_token.sortWithinPartitions("token", F.xxhash64("sid", "token"), "sid")
+    return ordered.mapInArrow(groups, "token long, hub long, hub_n int, hub_rest int, prev long, prev_n int, prev_rest int, sid long, n int, rest int")
 
 
 def _members(texts: DataFrame, wanted: np.ndarray, words: int) -> DataFrame:
@@ -181,11 +208,8 @@ def _sets(texts: DataFrame, every: DataFrame, pairs: DataFrame, words: int) -> D
 
 
 def _signatures(every: DataFrame) -> DataFrame:
-    """(sid, n, hidden, w0, w1, ...): the signature as 64-bit words, and how many shingles share a bit with another."""
-    words = [f"w{i}" for i in range(SIGNATURE)]
-    one = every.where("bits IS NOT NULL").select("sid", "n", "bits").dropDuplicates(["sid"])
-    one = one.select("sid", "n", *[F.conv(F.hex(F.substring("bits", 8 * i + 1, 8)), 16, -10).cast("long").alias(w) for i, w in enumerate(words)])
-    return one.withColumn("hidden", F.col("n") - F.expr(" + ".join(f"bit_count({w})" for w in words)))
+    """(sid, n, bits), each set once."""
+    return every.where("bits IS NOT NULL").select("sid", "n", "bits").dropDuplicates(["sid"])
 
 
 def _fits(n1: str, n2: str, rest1: str, rest2: str, percent: int):
@@ -203,11 +227,73 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _may_link(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose largest possible overlap, by their signatures, is enough."""
-    words = [f"w{i}" for i in range(SIGNATURE)]
-    both = pairs.join(signatures.select(F.col("sid").alias("a"), *[F.col(c).alias(f"{c}x") for c in ["n", "hidden", *words]]), "a").join(
-        signatures.select(F.col("sid").alias("b"), *[F.col(c).alias(f"{c}y") for c in ["n", "hidden", *words]]), "b")
-    overlap = " + ".join(f"bit_count({w}x & {w}y)" for w in words)
-    return both.where(F.expr(f"{100 + percent} * ({overlap} + least(hiddenx, hiddeny)) >= {percent} * (nx + ny)")).select("a", "b")
+    both = pairs.join(signatures.select(F.col("sid").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("b1")), "a").join(
+        signatures.select(F.col("sid").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("b2")), "b").select("a", "b", "n1", "n2", "b1", "b2")
+
+    def enough(batches):
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1024):
+                batch = whole.slice(k, 1024)
+                n1, n2 = (batch.column(c).to_numpy().astype(np.int64) for c in (2, 3))
+                raw1, raw2 = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+                ok = np.zeros(batch.num_rows, dtype=bool)
+                size = np.array([8 * min(len(x), len(y)) for x, y in zip(raw1, raw2, strict=True)])
+                for n in np.unique(size):
+                    at = np.flatnonzero(size == n)
+                    x, y = _table([raw1[i] for i in at], int(n)), _table([raw2[i] for i in at], int(n))
+                    ok[at] = (100 + percent) * _most(x, y, n1[at], n2[at]) >= percent * (n1[at] + n2[at])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
+
+    return both.mapInArrow(enough, "a long, b long")
+
+
+def _most(x: np.ndarray, y: np.ndarray, n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
+    """Largest possible overlap of sets by their bitmaps, row by row: shared bits, and shingles that hide behind others'."""
+    hidden = np.minimum(n1 - np.bitwise_count(x).sum(axis=1, dtype=np.int64), n2 - np.bitwise_count(y).sum(axis=1, dtype=np.int64))
+    return np.bitwise_count(x & y).sum(axis=1, dtype=np.int64) + hidden
+
+
+class Tree:
+    """Signature tree of a branch's sets: leaves of ``LEAF`` sets, alike in component and size, under one root."""
+
+    def __init__(self, sid, n, comp, rest, bits):
+        order = np.lexsort((n, comp))
+        self.sid, self.n, self.comp, self.rest, self.bits = sid[order], n[order], comp[order], rest[order], bits[order]
+        self.hidden = self.n - np.bitwise_count(self.bits).sum(axis=1, dtype=np.int64)
+        self.starts = np.arange(0, len(sid), LEAF)
+        self.union = np.bitwise_or.reduceat(self.bits, self.starts)
+        self.lo_n, self.hi_n = np.minimum.reduceat(self.n, self.starts), np.maximum.reduceat(self.n, self.starts)
+        self.lo_c, self.hi_c = np.minimum.reduceat(self.comp, self.starts), np.maximum.reduceat(self.comp, self.starts)
+        self.most_hidden, self.most_rest = np.maximum.reduceat(self.hidden, self.starts), np.maximum.reduceat(self.rest, self.starts)
+
+    def pairs(self, other: Tree, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sets of both trees that may link and are of different components, by following pairs of leaves that may hold some."""
+        left, right = [], []
+        for k, s in enumerate(self.starts):
+            need = percent * (self.lo_n[k] + other.lo_n)
+            open_ = ~((self.lo_c[k] == self.hi_c[k]) & (other.lo_c == other.hi_c) & (self.lo_c[k] == other.lo_c))
+            open_ &= (100 * self.hi_n[k] >= percent * other.lo_n) & (100 * other.hi_n >= percent * self.lo_n[k])
+            open_ &= (100 + percent) * np.minimum(self.most_rest[k], other.most_rest) >= need
+            at = np.flatnonzero(open_)
+            shared = np.bitwise_count(self.union[k] & other.union[at]).sum(axis=1, dtype=np.int64)
+            at = at[(100 + percent) * (shared + np.minimum(self.most_hidden[k], other.most_hidden[at])) >= need[at]]
+            if not len(at):
+                continue
+            own = np.arange(s, min(s + LEAF, len(self.sid)))
+            far = (other.starts[at][:, None] + np.arange(LEAF)).ravel()
+            far = far[far < len(other.sid)] if at[-1] == len(other.starts) - 1 else far
+            need = percent * (self.n[own][:, None] + other.n[far][None, :])
+            may = (self.comp[own][:, None] != other.comp[far][None, :]) & ((100 + percent) * np.minimum(self.rest[own][:, None], other.rest[far][None, :]) >= need)
+            may &= 100 * np.minimum(self.n[own][:, None], other.n[far][None, :]) >= percent * np.maximum(self.n[own][:, None], other.n[far][None, :])
+            i, j = np.nonzero(may)
+            for c in range(0, len(i), 8192):
+                x, y = own[i[c : c + 8192]], far[j[c : c + 8192]]
+                most = np.bitwise_count(self.bits[x] & other.bits[y]).sum(axis=1, dtype=np.int64) + np.minimum(self.hidden[x], other.hidden[y])
+                ok = (100 + percent) * most >= percent * (self.n[x] + other.n[y])
+                left.append(self.sid[x[ok]])
+                right.append(other.sid[y[ok]])
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
 def _tree_pairs(blocks: DataFrame, signatures: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -220,70 +306,47 @@ def _tree_pairs(blocks: DataFrame, signatures: DataFrame, found: DataFrame, perc
     mixed = cut_lineage(rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *same).where("lo != hi").drop("lo", "hi"))
     one = mixed.join(mixed.groupBy("f1", "f2", "c").agg(F.min("token").alias("one")), ["f1", "f2", "c"]).select("token", "one")
     rows = cut_lineage(rows.join(one, "token").groupBy(F.col("one").alias("token"), "sid").agg(F.max("n").alias("n"), F.max("comp").alias("comp"), F.max("rest").alias("rest")))
-    # Leaves: one size class (sizes within a fifth); large components get leaves of their own.
-    rows = rows.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.2))).cast("int"))
-    per_comp = rows.groupBy("token", "cls", "comp").agg(F.count("*").alias("c"))
-    per_comp = per_comp.withColumn("own", F.when(F.col("c") >= LEAF, F.col("comp")))
-    per_leaf = per_comp.groupBy("token", "cls", "own").agg(F.ceil(F.sum("c") / LEAF).alias("parts"))
-    placed = rows.join(per_comp.select("token", "cls", "comp", "own"), ["token", "cls", "comp"]).alias("r").join(
-        per_leaf.alias("p"), (F.col("r.token") == F.col("p.token")) & (F.col("r.cls") == F.col("p.cls")) & F.col("r.own").eqNullSafe(F.col("p.own"))
-    ).select("r.*", F.pmod(F.xxhash64("r.sid"), F.col("p.parts")).alias("leaf"))
-    words = [f"w{i}" for i in range(SIGNATURE)]
-    placed = placed.join(signatures.drop("n"), "sid")
-    bounds = [*[F.expr(f"bit_or({w})").alias(w) for w in words], F.min("lo_n").alias("lo_n"), F.max("hi_n").alias("hi_n"), F.max("rest").alias("rest"), F.max("hidden").alias("hidden"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
-    node = ["token", "cls", "own", "leaf"]
-    flat = placed.select(*node, *words, F.col("n").alias("lo_n"), F.col("n").alias("hi_n"), "hidden", "rest", F.col("comp").alias("lo"), F.col("comp").alias("hi"), F.struct("sid", "n", "comp", "hidden", "rest", *words).alias("m"))
-    leaves = cut_lineage(flat.groupBy(*node).agg(*bounds, F.collect_list("m").alias("members"))
-                         .withColumn("branch", F.floor(F.col("leaf") / FAN)).withColumn("id", F.xxhash64(*node)).withColumn("up", F.xxhash64("cls", "own", "branch")))
-    branches = leaves.groupBy("token", "up").agg(*bounds).withColumnRenamed("up", "id")
-
-    def survive(a: str, b: str):
-        """Whether two nodes may hold sets that link and are not yet connected."""
-        overlap = " + ".join(f"bit_count({a}.{w} & {b}.{w})" for w in words)
-        return F.expr(
-            f"{a}.id <= {b}.id AND NOT ({a}.lo = {a}.hi AND {b}.lo = {b}.hi AND {a}.lo = {b}.lo)"
-            f" AND 100 * {a}.hi_n >= {percent} * {b}.lo_n AND 100 * {b}.hi_n >= {percent} * {a}.lo_n"
-            f" AND {100 + percent} * least({a}.rest, {b}.rest) >= {percent} * ({a}.lo_n + {b}.lo_n)"
-            f" AND {100 + percent} * ({overlap} + least({a}.hidden, {b}.hidden)) >= {percent} * ({a}.lo_n + {b}.lo_n)")
-
-    upper = branches.alias("a").join(branches.alias("b"), (F.col("a.token") == F.col("b.token")) & survive("a", "b")).select(
-        F.col("a.token").alias("token"), F.col("a.id").alias("up1"), F.col("b.id").alias("up2"))
-    # A pair of different branches is followed both ways round, since leaves are ordered by their own ids.
-    upper = upper.union(upper.where("up1 != up2").select("token", F.col("up2"), F.col("up1")))
-    lower = upper.join(leaves.alias("a"), (F.col("a.token") == upper.token) & (F.col("a.up") == F.col("up1"))).join(
-        leaves.alias("b"), (F.col("b.token") == upper.token) & (F.col("b.up") == F.col("up2")) & survive("a", "b")
-    ).select(F.col("a.members").alias("p"), F.col("b.members").alias("q"))
-
-    fields = ("sid", "n", "comp", "hidden", "rest", *words)
-
-    def leaves_of(column):
-        """For each row of the column its members as numpy columns; signatures as one table."""
-        at, flat = column.offsets.to_numpy() - column.offsets[0].as_py(), column.flatten()
-        cols = [flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(len(fields))]
-        bits = np.stack(cols[5:], axis=1).view(np.uint64)
-        for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            yield *(c[s:e] for c in cols[:5]), bits[s:e]
-
-    def compare(batches):
-        for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                batch = whole.slice(k, 512)
-                left, right = [], []
-                for (s1, n1, c1, h1, r1, b1), (s2, n2, c2, h2, r2, b2) in zip(leaves_of(batch.column(0)), leaves_of(batch.column(1)), strict=True):
-                    need = percent * (n1[:, None] + n2[None, :])
-                    may = (c1[:, None] != c2[None, :]) & ((100 + percent) * np.minimum(r1[:, None], r2[None, :]) >= need)
-                    may &= 100 * np.minimum(n1[:, None], n2[None, :]) >= percent * np.maximum(n1[:, None], n2[None, :])
-                    i, j = np.nonzero(may)
-                    shared = np.bitwise_count(b1[i] & b2[j]).sum(axis=1, dtype=np.int64) + np.minimum(h1[i], h2[j])
-                    ok = (100 + percent) * shared >= need[i, j]
-                    left.append(s1[i[ok]])
-                    right.append(s2[j[ok]])
-                a, b = np.concatenate(left), np.concatenate(right)
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                if len(pairs):
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
-
-    return lower.mapInArrow(compare, "a long, b long").distinct()
+    # Branches of bounded size; a block that has several is followed in all pairs of branches whose bounds allow it.
+    sizes = rows.groupBy("token").agg(F.ceil(F.count("*") / BRANCH).cast("int").alias("branches"))
+    rows = rows.join(sizes, "token").withColumn("branch", F.pmod(F.xxhash64("sid"), F.col("branches")).cast("int"))
+    nodes = rows.where("branches > 1").groupBy("token", "branch").agg(
+        F.min("n").alias("lo_n"), F.max("n").alias("hi_n"), F.max("rest").alias("rest"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    a, b = nodes.alias("a"), nodes.alias("b")
+    open_ = F.expr("a.branch < b.branch AND NOT (a.lo = a.hi AND b.lo = b.hi AND a.lo = b.lo)"
+                   f" AND 100 * a.hi_n >= {percent} * b.lo_n AND 100 * b.hi_n >= {percent} * a.lo_n"
+                   f" AND {100 + percent} * least(a.rest, b.rest) >= {percent} * (a.lo_n + b.lo_n)")
+    several = a.join(b, (F.col("a.token") == F.col("b.token")) & open_).select(F.col("a.token").alias("token"), F.col("a.branch").alias("b1"), F.col("b.branch").alias("b2"))
+    members = rows.join(signatures.select("sid", "bits"), "sid").select("token", "branch", "sid", "n", "comp", "rest", "bits")
+    alone = members.select("token", F.col("branch").alias("b1"), F.col("branch").alias("b2"), F.lit(1).alias("side"), "sid", "n", "comp", "rest", "bits")
+    sides = [several.join(members.withColumnRenamed("branch", own), ["token", own]).select("token", "b1", "b2", F.lit(k).alias("side"), "sid", "n", "comp", "rest", "bits") for k, own in ((1, "b1"), (2, "b2"))]
+    units = alone.union(sides[0]).union(sides[1]).repartition("token", "b1", "b2").sortWithinPartitions("token", "b1", "b2", "side")
+
+    def follow(batches):
+        unit, parts = None, []
+
+        def done():
+            """Pairs of the unit read last."""
+            side, sid, n, comp, rest = (np.concatenate([p[k] for p in parts]) for k in range(5))
+            raw = [b for p in parts for b in p[5]]
+            table = _table(raw, 8 * min(map(len, raw)))
+            trees = [Tree(sid[at], n[at], comp[at], rest[at], table[at]) for k in (1, 2) if len(at := np.flatnonzero(side == k))]
+            x, y = trees[0].pairs(trees[-1], percent)
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], axis=1)
+            starts = np.flatnonzero(np.r_[np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]).any(axis=1)])
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
+                if parts and unit != tuple(keys[s]):
+                    yield done()
+                    parts = []
+                unit, piece = tuple(keys[s]), batch.slice(s, e - s)
+                parts.append((*(piece.column(k).to_numpy().astype(np.int64) for k in range(3, 8)), piece.column(8).to_pylist()))
+        if parts:
+            yield done()
+
+    return units.mapInArrow(follow, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
@@ -302,7 +365,9 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     wanted = sketch.count_hashes(blocks.select("sid"), sketch.hashes_of_column("sid"), WANTED_BITS)
     every = cut_lineage(_members(texts, wanted, words))
     signatures = cut_lineage(_signatures(every))
-    stars = blocks.where("hub != sid").where(_fits("hub_n", "n", "hub_rest", "rest", percent)).select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
+    rows = blocks.where("hub != sid")
+    stars = [rows.where(_fits(f"{k}_n", "n", f"{k}_rest", "rest", percent)).select(F.least(k, "sid").alias("a"), F.greatest(k, "sid").alias("b")) for k in ("hub", "prev")]
+    stars = stars[0].union(stars[1]).distinct()
     stars = cut_lineage(_may_link(stars, signatures, percent))
     near = cut_lineage(_linked(stars, _sets(texts, every, stars, words), percent))
     found = cut_lineage(graph.components(near))
