@@ -110,10 +110,9 @@ SELECT *, {s.severity('count', 'total')} AS severity FROM ({' UNION ALL '.join(_
 UNION ALL SELECT 'pages', 'leftover-markup-entity', 'name', count_if({s.markup('html')}), count(*), CASE WHEN count_if({s.markup('html')}) > 0 THEN 'fatal' END FROM pages""", "p", "cb"))
 def _(spark, sf):
     p = shape.rule_counts(bind.view(spark, sf, "p"), "leftover-markup-entity", ["source"])
-    p = p.groupBy("source", "rule", "field").agg(F.max("count").alias("count"), F.max("total").alias("total"), F.max("severity").alias("severity"))
     m = shape.rule_counts(bind.view(spark, sf, "cb").select("source", "id"), "leftover-markup-entity", ["source"])
     pages = bind.table(spark, sf, "pages").select(F.lit("pages").alias("source"), F.col("html").alias("name"))
-    w = shape.rule_counts(pages, "leftover-markup-entity", ["source"]).dropDuplicates(["source", "rule", "field"])
+    w = shape.rule_counts(pages, "leftover-markup-entity", ["source"])
     return p.unionByName(m).unionByName(w)
 
 

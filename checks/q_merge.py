@@ -30,10 +30,10 @@ def _(spark, sf):
 
 
 @case("semi_authoritative", with_views("""
-SELECT slug, id, context FROM m WHERE slug <> 'supplier-1' OR id IN (SELECT id FROM c WHERE slug = 'supplier-1' AND source = 'src_0')""", "m", "c"))
+SELECT slug, id, context FROM m WHERE slug NOT IN ('supplier-1', 'supplier-2', 'supplier-3') OR (slug, id) IN (SELECT (slug, id) FROM c WHERE source = 'src_0')""", "m", "c"))
 def _(spark, sf):
-    live = bind.view(spark, sf, "c").where("slug = 'supplier-1' and source = 'src_0'")
-    return merge.keep_authoritative(bind.models(spark, sf).select("slug", "id", "context"), live, "supplier-1")
+    live = bind.view(spark, sf, "c").where("slug IN ('supplier-1', 'supplier-2', 'supplier-3') and source = 'src_0'")
+    return merge.keep_authoritative(bind.models(spark, sf).select("slug", "id", "context"), live)
 
 
 @case("merge_children_dual_key", with_views(f"""
@@ -203,8 +203,9 @@ def _near(src: str, group: str, k: int) -> str:
     g = f"{group}, " if group else ""
     ag = f"a.{group}, " if group else ""
     return f"""ks AS (SELECT {g}key, count(*) AS n FROM ({src}) WHERE key <> '' GROUP BY {g}key)
-SELECT {g}key AS outer_key, key AS inner_key, CAST(n * (n - 1) / 2 AS BIGINT) AS pairs FROM ks WHERE n > 1
-UNION ALL SELECT {ag}a.key, b.key, a.n * b.n FROM ks a JOIN ks b ON {on}a.key <> b.key AND length(b.key) >= {k} AND contains(a.key, b.key)"""
+SELECT {g}key, sum(eq)::BIGINT AS equal, count(o)::BIGINT AS containing, sum(p)::BIGINT AS pairs, coalesce(array_to_string(list_sort(list(o) FILTER (WHERE o IS NOT NULL))[1:3], ','), '') AS examples FROM (
+  SELECT {g}key, n * (n - 1) / 2 AS eq, NULL AS o, 0 AS p FROM ks WHERE n > 1
+  UNION ALL SELECT {ag}b.key, 0, a.key, a.n * b.n FROM ks a JOIN ks b ON {on}a.key <> b.key AND length(b.key) >= {k} AND contains(a.key, b.key)) GROUP BY {g}key"""
 
 
 TEXT["brandish"] = """
@@ -236,7 +237,7 @@ FROM (SELECT *, {key} AS k FROM {src}) WHERE k <> '' GROUP BY {group}k HAVING co
 , nw AS ({'WITH ' + _near(f"SELECT slug, {s.alnum('name')} AS key FROM brandish", 'slug', 8)}), ng AS ({'WITH ' + _near(f"SELECT {s.alnum('name')} AS key FROM p", '', 5)})
 {_repeat('p', 1, '', 'slug')} UNION ALL {_repeat('brandish', 2, 'slug', s.model_key('name'))}
 UNION ALL {_repeat('brandish', 3, 'slug', 'lower(trim(name))', 'name:')} UNION ALL {_repeat('brandish', 3, 'slug', 'lower(trim(id))', 'id:')}
-UNION ALL SELECT 4, false, slug, outer_key || '~' || inner_key, pairs FROM nw UNION ALL SELECT 5, false, NULL, outer_key || '~' || inner_key, pairs FROM ng
+UNION ALL SELECT 4, false, slug, key, equal + pairs FROM nw UNION ALL SELECT 5, false, NULL, key, equal + pairs FROM ng
 UNION ALL SELECT 6, false, slug, {s.canonical_slug('name')}, 1 FROM p WHERE {s.canonical_slug('name')} <> slug""", "p", "brandish"))
 def _(spark, sf):
     return duplicates.audit_duplicates(bind.view(spark, sf, "p"), bind.view(spark, sf, "brandish"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import bind, sqlfn as s
 from checks.bind import with_views
-from checks.q_search import LIST_SQL, list_items
+from checks.q_search import LIST_SQL, list_items, text_rows
 from checks.registry import case
 from weftline.functions import fixed
 from weftline.operators import changelog, clusters, listing, merge, quarantine, recommend, rollups, shape
@@ -82,7 +82,7 @@ _AND_ROWS = " UNION ALL ".join(f"SELECT '{f}' AS facet, n_{f} AS n FROM a WHERE
 @case("facet_counts_and", with_views(LIST_SQL + f""", b AS (SELECT *, contains(search_text, 'widget 11') AND list_contains(modalities, 'audio') AS kept FROM li),
 a AS (SELECT {_AND}, count_if(kept AND nullif(free_limit, '') IS NOT NULL) AS n_free FROM b) {_AND_ROWS} UNION ALL SELECT 'free_info', n_free FROM a""", "g", "m"))
 def _(spark, sf):
-    return rollups.facet_counts_and(list_items(spark, sf), "widget 11", ["audio"])
+    return rollups.facet_counts_and(list_items(spark, sf), text_rows(spark, sf), "widget 11", ["audio"])
 
 
 @case("facet_counts_leave_one_out", with_views("""

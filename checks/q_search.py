@@ -23,13 +23,30 @@ LIST_SQL = """, li AS (SELECT g.*, lower(g.name || ' ' || coalesce(t, '')) AS se
 
 
 def list_items(spark, sf):
-    return search.slim_list(bind.providers(spark, sf), bind.models(spark, sf))
+    return search.slim_list(bind.providers(spark, sf))
 
 
-@case("slim_list_projection", with_views(LIST_SQL + f" SELECT {G_COLS}, 0 AS part, md5(search_text) AS search_md5 FROM li", "g", "m"))
+def text_rows(spark, sf):
+    return search.search_rows(bind.providers(spark, sf), bind.models(spark, sf))
+
+
+@case("slim_list_projection", with_views(f"""
+SELECT {G_COLS}, 0 AS row, lower(name) AS text FROM g
+UNION ALL SELECT slug, NULL, NULL, NULL, NULL, NULL, row_number() OVER (PARTITION BY slug ORDER BY pos, id), lower(name || ' ' || id) FROM m WHERE slug IN (SELECT slug FROM g)""", "g", "m"))
+def _(spark, sf):
+    rows = text_rows(spark, sf)
+    return shown(list_items(spark, sf)).withColumn("row", F.lit(0).cast("bigint")).join(rows, ["slug", "row"], "right").select(
+        "slug", "name", "model_count", "modalities", "max_context", "free_limit", "row", "text")
+
+
+@case("filter_search_across_models", with_views(LIST_SQL + f""", q AS (SELECT q FROM (SELECT lower(id || ' ' || nx) AS q FROM (
+  SELECT slug, pos, id, lead(name) OVER (PARTITION BY slug ORDER BY pos, id) AS nx FROM m) WHERE nx IS NOT NULL ORDER BY slug, pos LIMIT 1))
+SELECT {G_COLS} FROM li WHERE contains(search_text, (SELECT q FROM q))""", "g", "m"))
 def _(spark, sf):
-    items = list_items(spark, sf)
-    return shown(items).join(items.select("slug", "part", F.md5("search_text").alias("search_md5")), "slug")
+    """A query that begins in one model's text and ends in the next one's."""
+    m = bind.models(spark, sf)
+    a, b = m.orderBy("slug", "pos", "id").limit(2).collect()
+    return shown(search.filter_list(list_items(spark, sf), text_rows(spark, sf), f"{a['id']} {b['name']}"))
 
 
 @case("offer_list_projection", with_views("SELECT slug, name, vendor, domain, category, kind, credit_value, array_to_string(facets, ',') AS facets, id_indie, description, search_text FROM offers", "offers"))
@@ -37,9 +54,9 @@ def _(spark, sf):
     return search.offer_list(bind.offers(spark, sf)).withColumn("facets", F.array_join("facets", ","))
 
 
-@case("filter_search_modalities", with_views(LIST_SQL + f" SELECT {G_COLS} FROM li WHERE contains(search_text, 'widget 11') AND list_contains(modalities, 'audio') AND list_contains(modalities, 'code')", "g", "m"))
+@case("filter_search_modalities", with_views(LIST_SQL + f" SELECT {G_COLS} FROM li WHERE contains(search_text, '777') AND list_contains(modalities, 'audio') AND list_contains(modalities, 'code')", "g", "m"))
 def _(spark, sf):
-    return shown(search.filter_list(list_items(spark, sf), " Widget 11 ", ["audio", "code"]))
+    return shown(search.filter_list(list_items(spark, sf), text_rows(spark, sf), " 777 ", ["audio", "code"]))
 
 
 @case("filter_only_free_info", with_views(f"SELECT {G_COLS} FROM g WHERE nullif(free_limit, '') IS NOT NULL", "g"))
@@ -100,8 +117,8 @@ def _(spark, sf):
     return search.eligible_vs_excluded(bind.providers(spark, sf)).withColumn("model_count", F.col("model_count").cast("bigint"))
 
 
-# Customers with their urgent pending orders: some have none.
-TEXT["few"] = "SELECT c_name AS slug, count(o_orderkey) AS model_count FROM {customer} LEFT JOIN (SELECT * FROM {orders} WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P') o ON o_custkey = c_custkey GROUP BY c_name"
+# Customers with all their orders: some have none.
+TEXT["few"] = "SELECT c_name AS slug, count(o_orderkey) AS model_count FROM {customer} LEFT JOIN {orders} ON o_custkey = c_custkey GROUP BY c_name"
 
 
 @case("drop_zero_model_entities", with_views("SELECT slug, model_count, model_count = 0 AS dropped FROM few", "few"))
@@ -170,7 +187,7 @@ def _(spark, sf):
     return search.chain_resolve(bind.view(spark, sf, "picks"), bind.providers(spark, sf))
 
 
-TEXT["few_picks"] = "SELECT 'supplier-' || l_suppkey AS slug, min(l_orderkey) AS pos FROM {lineitem} WHERE l_quantity = 50 AND l_discount = 0.01 AND l_tax = 0.01 GROUP BY l_suppkey"
+TEXT["few_picks"] = "SELECT 'supplier-' || s_suppkey AS slug, s_suppkey AS pos FROM {supplier} WHERE s_acctbal >= 0"
 
 
 @case("chain_candidates", with_views("SELECT slug, name FROM g WHERE slug NOT IN (SELECT slug FROM few_picks)", "few_picks", "g"))

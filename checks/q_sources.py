@@ -174,13 +174,13 @@ SELECT p_partkey AS doc_id, {s.slugify("p_name || '-7b'")} AS id, p_name || '-7b
 UNION ALL SELECT p_partkey, {s.slugify("p_type || ' ' || p_size")}, p_type || ' ' || p_size, {_LIMIT} FROM part
 UNION ALL SELECT p_partkey, {s.slugify("p_name || '-7b'")}, upper(p_name) || '-7B', {_LIMIT} FROM part""")
 def _(spark, sf):
-    blocks = _blocks(spark, sf).where("block = 1").withColumn("shared_limit", markdown.labelled_limits(F.col("body")))
+    blocks = _blocks(spark, sf).withColumn("shared_limit", markdown.labelled_limits(F.col("body")))
     return markdown.markdown_bullets(blocks, ["doc_id"]).drop("pos")
 
 
-@case("markdown_labelled_block", f"SELECT p_partkey AS doc_id, {_LIMIT} AS limits FROM part")
+@case("markdown_labelled_block", f"SELECT p_partkey AS doc_id, 1 AS block, {_LIMIT} AS limits FROM part UNION ALL SELECT p_partkey, 2, NULL FROM part")
 def _(spark, sf):
-    return _blocks(spark, sf).where("block = 1").select("doc_id", markdown.labelled_limits(F.col("body")).alias("limits"))
+    return _blocks(spark, sf).select("doc_id", "block", markdown.labelled_limits(F.col("body")).alias("limits"))
 
 
 @case("heading_link_split", """
@@ -202,7 +202,7 @@ def _(spark, sf):
 
 
 @case("dispatch_by_format", f"""
-SELECT p_partkey AS doc_id, 1 AS block, {s.slugify("p_name || '-7b'")} AS id, p_name || '-7b' AS name, {_LIMIT} AS rate_limit FROM part
+SELECT p_partkey AS doc_id, {s.slugify("p_name || '-7b'")} AS id, p_name || '-7b' AS name, {_LIMIT} AS rate_limit FROM part
 UNION ALL SELECT p_partkey, 1, {s.slugify("p_type || ' ' || p_size")}, p_type || ' ' || p_size, {_LIMIT} FROM part
 UNION ALL SELECT p_partkey, 2, {s.slugify('p_name')}, p_name, p_size || ' RPM' FROM part""")
 def _(spark, sf):
@@ -274,13 +274,12 @@ def _(spark, sf):
 
 
 @case("export_nested_catalog", with_views("""
-SELECT g.slug, g.name, category, g.max_context, 0 AS part, count(*) AS models_in_part,
-  CAST(to_json(list(struct_pack(id := id, name := m.name, context := context, max_output := max_output, modality := modality, rate_limit := rate_limit) ORDER BY ord)) AS VARCHAR) AS models
-FROM g JOIN m ON m.slug = g.slug GROUP BY ALL""", "m", "g"))
+SELECT slug, 0 AS row, CAST(to_json(struct_pack(slug := slug, name := name, category := category, max_context := max_context)) AS VARCHAR) AS json FROM g
+UNION ALL SELECT slug, row_number() OVER (PARTITION BY slug ORDER BY ord, id),
+  CAST(to_json(struct_pack(id := id, name := name, context := context, max_output := max_output, modality := modality, rate_limit := rate_limit)) AS VARCHAR)
+FROM m WHERE slug IN (SELECT slug FROM g)""", "m", "g"))
 def _(spark, sf):
-    return export.nested_catalog(bind.providers(spark, sf), bind.models(spark, sf)).select(
-        "slug", "name", "category", "max_context", "part", F.col("models_in_part").cast("bigint").alias("models_in_part"), "models"
-    )
+    return export.nested_catalog(bind.providers(spark, sf), bind.models(spark, sf))
 
 
 _HAS = ", ".join(f"bool_or(nullif({c}, '') IS NOT NULL) AS has_{c}" for c, _ in export.OPTIONAL)
@@ -356,9 +355,9 @@ def _xml(x: str) -> str:
 
 @case("export_change_feed", with_views(f"""
 , k AS (SELECT date, {_KIND_COUNTS} FROM changes GROUP BY date),
-b AS (SELECT date, string_agg({_LINE}, '; ' ORDER BY {_RANK}, CASE WHEN {_RANK} = 3 THEN slug END, kind, slug, id) AS d FROM changes GROUP BY date)
-SELECT date, 0 AS part, {_xml(_TITLE)} AS title, strftime(CAST(date AS DATE), '%a, %d %b %Y 00:00:00 GMT') AS pub_date, {_xml('d')} AS description
-FROM k JOIN b USING (date)""", "changes"))
+b AS (SELECT date, row_number() OVER (PARTITION BY date ORDER BY {_RANK}, CASE WHEN {_RANK} = 3 THEN slug END NULLS FIRST, kind, slug, id NULLS FIRST, {_LINE}) AS row, {_LINE} AS d FROM changes)
+SELECT date, 0 AS row, {_xml(_TITLE)} AS title, strftime(CAST(date AS DATE), '%a, %d %b %Y 00:00:00 GMT') AS pub_date, NULL AS text FROM k
+UNION ALL SELECT date, row, NULL, NULL, {_xml('d')} FROM b""", "changes"))
 def _(spark, sf):
     return changelog.change_feed(bind.view(spark, sf, "changes"))
 

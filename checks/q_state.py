@@ -55,11 +55,10 @@ def _(spark, sf):
 
 @case("quarantine_mass_gate", with_views("""
 SELECT count(*) AS anomalies, (SELECT count(*) FROM state s WHERE s.slug IN (SELECT slug FROM anom)) AS known,
-  CASE WHEN count(*) / (SELECT count(*) FROM prev_p WHERE slug IN (SELECT slug FROM anom)) > 0.3 THEN 'mass-anomaly' END AS fatal FROM anom""", "anom", "state", "prev_p"))
+  CASE WHEN count(*) / (SELECT count(*) FROM prev_p) > 0.3 THEN 'mass-anomaly' END AS fatal FROM anom""", "anom", "state", "prev_p"))
 def _(spark, sf):
-    """Only the anomalous providers count as the catalogue, so the share is 100 %."""
     a, state = _anomalies(spark, sf), bind.view(spark, sf, "state")
-    total = a.agg(F.count("*").alias("n")).scalar()
+    total = bind.view(spark, sf, "prev_p").agg(F.count("*").alias("n")).scalar()
     known = state.join(a.select("slug"), "slug", "left_semi").agg(F.count("*").alias("n")).scalar()
     return quarantine.gate(state, a, total, NOW).select("anomalies", known.alias("known"), "fatal")
 
@@ -198,8 +197,8 @@ def _(spark, sf):
 
 @case("browse_page", with_views("SELECT slug, model_count FROM g WHERE list_contains(modalities, 'audio') AND nullif(free_limit, '') IS NOT NULL ORDER BY model_count DESC, slug LIMIT 8 OFFSET 8", "g"))
 def _(spark, sf):
-    from checks.q_search import list_items
+    from checks.q_search import list_items, text_rows
 
     request = browse.BrowseRequest(modalities=["audio"], only_free=True, sort="models", page=2, size=8)
-    return browse.page(list_items(spark, sf), request).select("slug", F.col("model_count").cast("bigint").alias("model_count"))
+    return browse.page(list_items(spark, sf), text_rows(spark, sf), request).select("slug", F.col("model_count").cast("bigint").alias("model_count"))
 

@@ -55,8 +55,13 @@ def test_near_duplicates_equal_brute_force(spark):
     df = spark.createDataFrame(rows, "slug string, name string")
     got = {}
     for r in duplicates.near_duplicates(df, F.col("name"), ["slug"], 4).collect():
-        got.setdefault(int(r.slug), {})[(r.outer_key, r.inner_key)] = r.pairs
-    assert got == {g: brute(names, 4) for g, names in groups.items() if brute(names, 4)}
+        got[int(r.slug), r.key] = (r.equal, r.containing, r.pairs, r.examples)
+    want = {}
+    for g, names in groups.items():
+        for (outer, inner), n in brute(names, 4).items():
+            equal, others, pairs = want.get((g, inner), (0, [], 0))
+            want[g, inner] = (n, others, pairs) if outer == inner else (equal, [*others, outer], pairs + n)
+    assert got == {k: (e, len(o), n, ",".join(sorted(o)[:3])) for k, (e, o, n) in want.items()}
 
 
 EVENT = "k string, id bigint, ts timestamp"
@@ -124,14 +129,18 @@ def test_global_row_number(spark):
     assert sorted(r.position for r in rows) == list(range(1, 5001))
 
 
-def test_search_text_parts_hold_every_model(spark):
-    p = spark.createDataFrame([("a", "A", 50, ["text"], None, None)], "slug string, name string, model_count bigint, modalities array<string>, max_context string, free_limit string")
-    m = spark.createDataFrame([("a", i, f"id-{i:03d}", f"Name {i:03d}") for i in range(50)], "slug string, pos bigint, id string, name string")
-    items = search.slim_list(p, m, part_rows=10)
-    assert items.count() > 1
-    words = " ".join(r.search_text for r in items.collect()).split()
-    assert {f"id-{i:03d}" for i in range(50)} <= set(words)
-    assert search.filter_list(items, "ID-049", ["text"]).count() == 1
+def test_search_text_is_one_text_at_any_size(spark):
+    p = spark.createDataFrame([("a", "A", 3000, ["text"], None, None), ("b", "B two", 1, ["text"], None, None)], "slug string, name string, model_count bigint, modalities array<string>, max_context string, free_limit string")
+    m = spark.createDataFrame([("a", i, f"id-{i:04d}", f"Name {i:04d}") for i in range(3000)] + [("b", 1, "x", None)], "slug string, pos bigint, id string, name string")
+    items, rows = search.slim_list(p), search.search_rows(p, m)
+    assert rows.count() == 3003
+
+    def hits(q):
+        return sorted(r.slug for r in search.filter_list(items, rows, q, ["text"]).collect())
+
+    assert hits("ID-2999") == ["a"] and hits("a name 0000") == ["a"] and hits("two x") == ["b"]
+    assert hits("id-1499 name 1500 id-1500 name 1501") == ["a"]  # over three models
+    assert hits("id-1499 name 1501") == [] and hits("9 b two") == [] and hits("") == ["a", "b"]
 
 
 def test_recommend(spark):

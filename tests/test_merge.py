@@ -124,7 +124,7 @@ def test_two_sources_fixture(spark):
 
 def test_authoritative_source(spark):
     m = spark.createDataFrame([Row(slug="a", id="1"), Row(slug="a", id="2"), Row(slug="b", id="2")])
-    live = spark.createDataFrame([Row(id="1")])
-    got = sorted(map(tuple, merge.keep_authoritative(m, live, "a").collect()))
+    live = spark.createDataFrame([Row(slug="a", id="1"), Row(slug="c", id="9")])
+    got = sorted(map(tuple, merge.keep_authoritative(m, live).collect()))
     assert got == [("a", "1"), ("b", "2")]
-    assert merge.keep_authoritative(m, live.where(F.lit(False)), "a").count() == 3
+    assert merge.keep_authoritative(m, live.where(F.lit(False))).count() == 3

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text
@@ -44,19 +44,26 @@ def containment_pairs(keys: DataFrame, group: list[str], k: int, key: str = "key
     )
 
 
-def near_duplicates(rows: DataFrame, name: Column, group: list[str], k: int) -> DataFrame:
-    """Suspect pairs as distinct key pairs with the number of row pairs behind each.
+def near_duplicates(rows: DataFrame, name: Column, group: list[str], k: int, shown: int = 3) -> DataFrame:
+    """One row per suspect key: (key, equal, containing, pairs, examples).
 
-    Rows with equal keys are counted, n * (n - 1) / 2, instead of being paired up.
+    ``equal``: row pairs of that very key, n * (n - 1) / 2; ``containing``: other keys that hold it, ``pairs``: row pairs
+    with those, ``examples``: the first few. The rows grow with the keys, never with the pairs.
     """
     keys = (
         rows.withColumn("key", text.alnum_key(name)).where("key <> ''").groupBy(*group, "key").agg(F.count("*").alias("n"))
     )
-    equal = keys.where("n > 1").select(
-        *group, F.col("key").alias("outer_key"), F.col("key").alias("inner_key"),
-        (F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("pairs"),
-    )
-    return equal.unionByName(containment_pairs(keys, group, k))
+    pairs = containment_pairs(keys, group, k)
+    counted = pairs.groupBy(*group, F.col("inner_key").alias("key")).agg(F.count("*").alias("containing"), F.sum("pairs").alias("pairs"))
+    # The group limit prunes each task's rows before the shuffle.
+    place = F.row_number().over(Window.partitionBy(*group, "inner_key").orderBy("outer_key"))
+    first = pairs.withColumn("place", place).where(F.col("place") <= shown).groupBy(*group, F.col("inner_key").alias("key")).agg(
+        F.array_sort(F.collect_list("outer_key")).alias("examples"))
+    equal = keys.where("n > 1").select(*group, "key", (F.col("n") * (F.col("n") - 1) / 2).cast("bigint").alias("equal"))
+    both = equal.join(counted, [*group, "key"], "full").join(first, [*group, "key"], "left")
+    zero = F.lit(0).cast("bigint")
+    return both.select(*group, "key", F.coalesce("equal", zero).alias("equal"), F.coalesce("containing", zero).alias("containing"),
+                       F.coalesce("pairs", zero).alias("pairs"), F.coalesce(F.array_join("examples", ","), F.lit("")).alias("examples"))
 
 
 def near_dup_within(models: DataFrame) -> DataFrame:
@@ -95,7 +102,7 @@ def audit_duplicates(providers: DataFrame, models: DataFrame) -> DataFrame:
         .unionByName(issues(keys, 2, True, F.col("slug"), F.col("_k"), F.col("n") - 1))
         .unionByName(issues(names, 3, True, F.col("slug"), F.concat(F.lit("name:"), "_k"), F.col("n") - 1))
         .unionByName(issues(ids, 3, True, F.col("slug"), F.concat(F.lit("id:"), "_k"), F.col("n") - 1))
-        .unionByName(issues(within, 4, False, F.col("slug"), F.concat_ws("~", "outer_key", "inner_key"), F.col("pairs")))
-        .unionByName(issues(overall, 5, False, none, F.concat_ws("~", "outer_key", "inner_key"), F.col("pairs")))
+        .unionByName(issues(within, 4, False, F.col("slug"), F.col("key"), F.col("equal") + F.col("pairs")))
+        .unionByName(issues(overall, 5, False, none, F.col("key"), F.col("equal") + F.col("pairs")))
         .unionByName(issues(wrong, 6, False, F.col("slug"), F.col("want"), F.lit(1)))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import dates, fixed, text
-from weftline.operators.parts import PART_ROWS, with_parts
+from weftline.operators.parts import global_row_number
 
 MODEL_COLUMNS = ["id", "name", "context", "max_output", "modality", "rate_limit"]
 
@@ -18,17 +18,17 @@ def flat_models(providers: DataFrame, models: DataFrame, slug: str | None = None
     return models.join(named, "slug").select(F.col("slug").alias("provider"), "provider_name", *MODEL_COLUMNS)
 
 
-def nested_catalog(providers: DataFrame, models: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """One document per provider, its models nested as JSON; large providers span several parts."""
-    item = F.struct("ord", *MODEL_COLUMNS)
-    nested = (
-        with_parts(models.select("slug", "ord", *MODEL_COLUMNS), ["slug"], "id", part_rows)
-        .groupBy("slug", "part").agg(F.array_sort(F.collect_list(item)).alias("ms"))
-        .select("slug", "part", F.size("ms").alias("models_in_part"), F.to_json(
-            F.transform("ms", lambda m: F.struct(*[m[c].alias(c) for c in MODEL_COLUMNS])), {"ignoreNullFields": "false"}
-        ).alias("models"))
-    )
-    return providers.join(nested, "slug", "left").withColumn("part", F.coalesce("part", F.lit(0).cast("bigint")))
+def nested_catalog(providers: DataFrame, models: DataFrame) -> DataFrame:
+    """(slug, row, json): the document of a provider as ordered rows, the provider at 0 and each nested model from 1 on.
+
+    A provider has no size bound, so its document stays rows at every size; a writer puts the models between brackets.
+    """
+    options = {"ignoreNullFields": "false"}
+    head = providers.select("slug", F.lit(0).cast("bigint").alias("row"), F.to_json(F.struct("slug", "name", "category", "max_context"), options).alias("json"))
+    placed = global_row_number(models.join(providers.select("slug"), "slug").select("slug", "ord", *MODEL_COLUMNS), [F.col("slug").asc(), F.col("ord").asc(), F.col("id").asc()])
+    first = placed.groupBy("slug").agg(F.min("position").alias("first"))
+    body = placed.join(first, "slug").select("slug", (F.col("position") - F.col("first") + 1).alias("row"), F.to_json(F.struct(*MODEL_COLUMNS), options).alias("json"))
+    return head.unionByName(body)
 
 
 OPTIONAL = [("context", "Context"), ("max_output", "Max Output"), ("modality", "Modality"), ("rate_limit", "Rate Limit")]

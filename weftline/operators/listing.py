@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import fixed, numbers
-from weftline.session import cut_lineage
+from weftline.operators.parts import global_row_number
 
 
 def by_name(c: str) -> Column:
@@ -55,10 +55,15 @@ def model_order() -> list[Column]:
 
 
 def paginate(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
-    """One page; the page number is clamped to the pages there are. Only the count reaches the driver."""
-    pages = max(1, math.ceil(df.count() / size))
+    """One page; the page number is clamped to the pages there are. Only the count reaches the driver.
+
+    Positions come from sorted ranges and their counts, so a page, however deep, is picked from the ranges that hold it
+    and no task sees the rows before it.
+    """
+    placed = global_row_number(df, order, "_position")
+    pages = max(1, math.ceil(placed.count() / size))
     current = min(max(page, 1), pages)
-    return df.orderBy(*order).offset((current - 1) * size).limit(size)
+    return placed.where(F.col("_position").between((current - 1) * size + 1, current * size)).orderBy("_position").drop("_position")
 
 
 def page_after(df: DataFrame, order: list[Column], beyond: Column, size: int) -> DataFrame:
@@ -67,7 +72,6 @@ def page_after(df: DataFrame, order: list[Column], beyond: Column, size: int) ->
 
 
 def top_n_with_total(df: DataFrame, order: list[Column], n: int = 5) -> DataFrame:
-    """First n rows and the size of the whole result on each; the result is computed once."""
-    df = cut_lineage(df)
+    """First n rows and the size of the whole result on each: one aggregate and one top list over the same input."""
     total = df.agg(F.count("*").alias("n")).scalar()
     return df.orderBy(*order).limit(n).withColumn("total", total)

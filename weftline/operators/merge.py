@@ -296,10 +296,12 @@ def merge_entities(partials: DataFrame, models: DataFrame, run_at: str) -> DataF
     )
 
 
-def keep_authoritative(models: DataFrame, live: DataFrame, slug: str) -> DataFrame:
-    """For one entity keep only children its live source lists; an empty live list changes nothing."""
-    some = live.agg(F.count("id") > 0).scalar()
-    ids = live.select("id").distinct()
-    ours = models.where(F.col("slug") == slug)
-    kept = ours.where(some).join(ids, "id", "left_semi").select(*models.columns)
-    return models.where(F.col("slug") != slug).unionByName(kept).unionByName(ours.where(~some))
+def keep_authoritative(models: DataFrame, live: DataFrame) -> DataFrame:
+    """Children of the entities in ``live`` (slug, id) that their live source lists; an entity without live ids keeps all.
+
+    All entities at once: one join with the live ids, one with the few entities that have some.
+    """
+    ids = live.where("id IS NOT NULL").select("slug", "id").distinct()
+    listed = ids.select("slug").distinct().withColumn("_ruled", F.lit(True))
+    marked = models.join(listed, "slug", "left").join(ids.withColumn("_live", F.lit(True)), ["slug", "id"], "left")
+    return marked.where("_ruled IS NULL OR _live").select(*models.columns)

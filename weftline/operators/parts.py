@@ -1,8 +1,7 @@
-"""Bounded parts of large groups.
+"""Positions in a total order.
 
-One entity may own a third of all rows, so nothing nested or concatenated is built per entity.
-Groups are cut into parts of about ``part_rows`` rows by a hash of the child key: the part count
-comes from a counted size, the rows of one part meet in one task, and all parts together are whole.
+One entity may own a third of all rows, so nothing nested or concatenated is built per entity: long outputs are ordered
+rows, and their positions come from range partitions.
 """
 
 from __future__ import annotations
@@ -12,20 +11,6 @@ from pyspark.sql import functions as F
 
 from weftline.session import cut_lineage
 
-PART_ROWS = 1000
-
-
-def key_bucket(key: Column, buckets: Column) -> Column:
-    """Stable bucket of a key: leading 32 bits of its MD5 modulo the bucket count."""
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % buckets
-
-
-def with_parts(rows: DataFrame, group: list[str], key: str, part_rows: int = PART_ROWS) -> DataFrame:
-    """Adds ``part``. Group sizes are pre-aggregated on the map side before the one small join."""
-    sizes = rows.groupBy(*group).agg(F.ceil(F.count("*") / part_rows).alias("_parts"))
-    bucket = F.when(F.col("_parts") > 1, key_bucket(F.col(key), F.col("_parts"))).otherwise(F.lit(0).cast("bigint"))
-    return rows.join(sizes, group).withColumn("part", bucket).drop("_parts")
-
 
 def global_row_number(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """1-based position in a total order without moving all rows into one task.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import facets, fixed, numbers, text
 from weftline.operators.merge import max_context
-from weftline.operators.search import has_all, needle, offer_predicates, project_matches
+from weftline.operators.search import has_all, needle, offer_predicates, project_matches, text_hits
 from weftline.session import cut_lineage
 
 MIN_FACET_PROVIDERS = 3
@@ -81,17 +81,13 @@ def facet_sources_latest(providers: DataFrame, facet: str) -> DataFrame:
     return refs.groupBy(F.col("s.name").alias("name")).agg(F.max("s.synced_at").alias("synced_at"), F.max_by("s.url", "s.synced_at").alias("url"))
 
 
-def facet_counts_and(items: DataFrame, search: str = "", modalities: list[str] | None = None) -> DataFrame:
-    """Facet counts inside the current result, zero-filled for facets the whole list carries.
-
-    ``items`` has one row per part; an entity counts once however many of its parts match.
-    """
-    q = needle(search)
+def facet_counts_and(items: DataFrame, rows: DataFrame, search: str = "", modalities: list[str] | None = None) -> DataFrame:
+    """Facet counts inside the current result, zero-filled for facets the whole list carries; ``rows`` is the search text."""
     keep = has_all(F.col("modalities"), modalities or [])
-    hit = F.col("search_text").contains(q) if q else F.lit(True)
-    entities = items.groupBy("slug").agg(
-        F.first("modalities").alias("modalities"), F.first("free_limit").alias("free_limit"), F.bool_or(keep & hit).alias("kept")
-    )
+    entities = items.withColumn("kept", keep)
+    if needle(search):
+        found = text_hits(rows, search).withColumn("hit", F.lit(True))
+        entities = items.join(found, "slug", "left").withColumn("kept", keep & F.coalesce("hit", F.lit(False)))
     carries = {f: F.array_contains("modalities", f) for f in fixed.MODALITY_ORDER}
     aggs = {f: {"present": F.count_if(c), "n": F.count_if(c & F.col("kept"))} for f, c in carries.items()}
     aggs["free_info"] = {

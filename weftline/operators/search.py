@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text
 from weftline.functions.numbers import parse_context_tokens
-from weftline.operators.parts import PART_ROWS, with_parts
+from weftline.operators.parts import global_row_number
 
 LIST_COLUMNS = ["slug", "name", "model_count", "modalities", "max_context", "free_limit"]
 
@@ -20,27 +20,41 @@ def model_text(name: Column, model_id: Column) -> Column:
     return F.lower(F.concat_ws(" ", name, model_id))
 
 
-def slim_list(providers: DataFrame, models: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """Slim list columns and the search text of the entity and its models.
+def slim_list(providers: DataFrame) -> DataFrame:
+    """Slim list columns, one row per entity."""
+    return providers.select(*LIST_COLUMNS)
 
-    An entity with more than ``part_rows`` models has several rows, one per part; each carries the
-    entity name, and a search hits the entity when any part matches.
+
+def search_rows(providers: DataFrame, models: DataFrame) -> DataFrame:
+    """(slug, row, text): an entity's search text as ordered rows, its own name at 0 and each model from 1 on.
+
+    The text of an entity is its rows joined by blanks. It has no size bound, so it stays rows at every size.
     """
-    texts = (
-        with_parts(models.select("slug", "pos", "id", "name"), ["slug"], "id", part_rows)
-        .groupBy("slug", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "id", F.concat_ws(" ", "name", "id").alias("t")))).alias("ts"))
-        .select("slug", "part", F.array_join(F.col("ts.t"), " ").alias("t"))
-    )
-    return (
-        providers.select(*LIST_COLUMNS)
-        .join(texts, "slug", "left")
-        .select(
-            *LIST_COLUMNS,
-            F.coalesce("part", F.lit(0).cast("bigint")).alias("part"),
-            F.lower(F.concat(F.col("name"), F.lit(" "), text.text_or_empty(F.col("t")))).alias("search_text"),
-        )
-    )
+    own = providers.select("slug", F.lit(0).cast("bigint").alias("row"), F.lower("name").alias("text"))
+    named = global_row_number(models.join(providers.select("slug"), "slug").select("slug", "pos", "id", "name"), [F.col("slug").asc(), F.col("pos").asc(), F.col("id").asc()])
+    first = named.groupBy("slug").agg(F.min("position").alias("first"))
+    return own.unionByName(named.join(first, "slug").select("slug", (F.col("position") - F.col("first") + 1).alias("row"), model_text(F.col("name"), F.col("id")).alias("text")))
+
+
+def text_hits(rows: DataFrame, query: str) -> DataFrame:
+    """Slugs whose search text holds the query, inside one row or across rows that follow each other.
+
+    A query with s blanks reaches over s + 1 rows at most, and its first row ends with what stands before one of the
+    blanks: only such rows are joined, by position, with the ones that follow.
+    """
+    q = needle(query)
+    inside = rows.where(F.col("text").contains(q)).select("slug")
+    blanks = [k for k, c in enumerate(q) if c == " "]
+    if not blanks:
+        return inside.distinct()
+    begins = F.lit(False)
+    for k in blanks:
+        begins = begins | F.col("text").endswith(q[:k])
+    joined = rows.where(begins)
+    for step in range(1, len(blanks) + 1):
+        after = rows.select("slug", (F.col("row") - step).alias("row"), F.col("text").alias("_next"))
+        joined = joined.join(after, ["slug", "row"], "left").select("slug", "row", F.concat_ws(" ", "text", "_next").alias("text"))
+    return inside.union(joined.where(F.col("text").contains(q)).select("slug")).distinct()
 
 
 def has_all(values: Column, wanted: list[str]) -> Column:
@@ -51,13 +65,12 @@ def has_all(values: Column, wanted: list[str]) -> Column:
     return out
 
 
-def filter_list(items: DataFrame, search: str = "", modalities: list[str] | None = None) -> DataFrame:
-    """Entities whose search text holds the query and that carry every selected modality."""
-    q = needle(search)
+def filter_list(items: DataFrame, rows: DataFrame, search: str = "", modalities: list[str] | None = None) -> DataFrame:
+    """Entities whose search text (``rows``) holds the query and that carry every selected modality."""
     kept = items.where(has_all(F.col("modalities"), modalities or []))
-    if q:
-        kept = kept.where(F.col("search_text").contains(q))
-    return kept.select(*LIST_COLUMNS).dropDuplicates(["slug"])
+    if needle(search):
+        kept = kept.join(text_hits(rows, search), "slug", "left_semi")
+    return kept.select(*LIST_COLUMNS)
 
 
 def only_free_info(items: DataFrame) -> DataFrame:

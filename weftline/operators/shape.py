@@ -143,7 +143,8 @@ def shape_report(providers: DataFrame, models: DataFrame, group: list[str]) -> D
 def rule_counts(df: DataFrame, rule: str, group: list[str], field: str | None = None) -> DataFrame:
     """One rule alone over model rows."""
     picked = [r for r in model_rules() + provider_rules() if r[0] == rule and (field is None or r[1] == field) and _covered(df, r)]
-    rows = _counts(df, group, picked, [])
+    # A column may be covered by a model rule and a provider rule: one row for each (rule, field) all the same.
+    rows = _counts(df, group, list({r[:2]: r for r in reversed(picked)}.values())[::-1], [])
     return rows.withColumn("severity", severity(F.col("count"), F.col("total")))
 
 
