@@ -101,10 +101,11 @@ def _table(raw: list[bytes], size: int) -> np.ndarray:
 
 
 def _blocks(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(token, hub, prev, sid, and n and rest of each): the members of each block of two sets or more.
+    """(token, hub, prev, sid, n and rest of each, several): the members after the first of each block of two sets or more.
 
     Each stands beside the block's first member and the one before it, in an order by hash that is another in each
-    block. ``rest``: how many shingles a set has from this one on, in the global order.
+    block. ``rest``: how many shingles a set has from this one on, in the global order. ``several`` is false only where
+    the block has no further member, so that no pair is left besides these.
     """
     counts = sketch.count_hashes(texts.select("text"), lambda bs: (np.concatenate(s) for _, s in shingle_sets(bs, words)), ORDER_BITS)
 
@@ -126,8 +127,8 @@ def _blocks(texts: DataFrame, words: int, percent: int) -> DataFrame:
                     "n": pa.array(np.repeat(np.array(sizes, np.int32), each)), "rest": pa.array(np.concatenate(rests))})
 
     def groups(batches):
-        # Of the group at hand: token, then first and latest member (set, size, rest); whether it has shown a second one.
-        token, hub, latest, opened = None, None, None, False
+        # Of the group at hand: token, first and latest member (set, size, rest), and how many came after the first.
+        token, hub, latest, after = None, None, None, 0
         for b in batches:
             if not b.num_rows:
                 continue
@@ -144,19 +145,20 @@ def _blocks(texts: DataFrame, words: int, percent: int) -> DataFrame:
             hubs = [np.append(c[starts], 0 if hub is None else hub[k]).astype(c.dtype) for k, c in enumerate(member)]
             before = [np.r_[0 if latest is None else latest[k], c[:-1]].astype(c.dtype) for k, c in enumerate(member)]
             out = np.flatnonzero(~new)
+            each = np.bincount(which[out] + 1, minlength=len(starts) + 1)
+            each[0] += after
             if len(out):
-                first = np.unique(which[out])
-                first = first[first >= 0] if opened else first
-                tokens = np.append(t[starts], 0 if token is None else token)
-                pick = np.r_[first, which[out]]
-                rows = [tokens[pick], *[h[pick] for h in hubs], *[np.r_[h[first], c[out]] for h, c in zip(hubs, before, strict=True)], *[np.r_[h[first], c[out]] for h, c in zip(hubs, member, strict=True)]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["token", "hub", "hub_n", "hub_rest", "prev", "prev_n", "prev_rest", "sid", "n", "rest"])
-            opened = bool((which[out] == which[-1]).any()) or (which[-1] < 0 and opened)
+                group = which[out]
+                # Whether the block may have a third member: in the batch's last group that is not known yet.
+                several = (each[group + 1] > 1) | (group == which[-1])
+                rows = [t[out], *[h[group] for h in hubs], *[c[out] for c in before], *[c[out] for c in member], several]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["token", "hub", "hub_n", "hub_rest", "prev", "prev_n", "prev_rest", "sid", "n", "rest", "several"])
+            after = int(each[which[-1] + 1])
             token, hub, latest = t[-1], [h[which[-1]] for h in hubs], [c[-1] for c in member]
 
     by_token = texts.select("text").mapInArrow(rows, "token long, sid long, n int, rest int").repartition("token")
     ordered = by_token.sortWithinPartitions("token", F.xxhash64("sid", "token"), "sid")
-    return ordered.mapInArrow(groups, "token long, hub long, hub_n int, hub_rest int, prev long, prev_n int, prev_rest int, sid long, n int, rest int")
+    return ordered.mapInArrow(groups, "token long, hub long, hub_n int, hub_rest int, prev long, prev_n int, prev_rest int, sid long, n int, rest int, several boolean")
 
 
 def _members(texts: DataFrame, wanted: np.ndarray, words: int) -> DataFrame:
@@ -299,13 +301,14 @@ class Tree:
 def _tree_pairs(blocks: DataFrame, signatures: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that the dual traversal of the blocks' trees leaves over."""
     # The block's first set has met all others; what is left are pairs among those.
-    rows = blocks.where("sid != hub").select("token", "sid", "n", "rest").join(found.withColumnsRenamed({"node": "sid", "component": "comp"}), "sid", "left")
-    rows = cut_lineage(rows.withColumn("comp", F.coalesce("comp", "sid")))
+    rows = blocks.where("several").select("token", "sid", "n", "rest").join(found.withColumnsRenamed({"node": "sid", "component": "comp"}), "sid", "left")
+    rows = marked = cut_lineage(rows.withColumn("comp", F.coalesce("comp", "sid")))
     # Blocks of several components; those with the same sets (a passage has many shingles) become one, with the largest rests.
     same = [F.bit_xor(F.xxhash64("sid")).alias("f1"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("f2"), F.count("*").alias("c")]
     mixed = cut_lineage(rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *same).where("lo != hi").drop("lo", "hi"))
     one = mixed.join(mixed.groupBy("f1", "f2", "c").agg(F.min("token").alias("one")), ["f1", "f2", "c"]).select("token", "one")
     rows = cut_lineage(rows.join(one, "token").groupBy(F.col("one").alias("token"), "sid").agg(F.max("n").alias("n"), F.max("comp").alias("comp"), F.max("rest").alias("rest")))
+    release(marked, mixed)
     # Branches of bounded size; a block that has several is followed in all pairs of branches whose bounds allow it.
     sizes = rows.groupBy("token").agg(F.ceil(F.count("*") / BRANCH).cast("int").alias("branches"))
     rows = rows.join(sizes, "token").withColumn("branch", F.pmod(F.xxhash64("sid"), F.col("branches")).cast("int"))
@@ -362,11 +365,10 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.concat(F.coalesce(F.col(text), F.lit("")), F.lit("\n")).alias("text"))
     texts = texts.withColumn("text_key", F.xxhash64("text"))
     blocks = cut_lineage(_blocks(texts, words, percent))
-    wanted = sketch.count_hashes(blocks.select("sid"), sketch.hashes_of_column("sid"), WANTED_BITS)
+    wanted = sketch.count_hashes(blocks.select("sid").union(blocks.select("hub")), sketch.hashes_of_column("sid"), WANTED_BITS)
     every = cut_lineage(_members(texts, wanted, words))
     signatures = cut_lineage(_signatures(every))
-    rows = blocks.where("hub != sid")
-    stars = [rows.where(_fits(f"{k}_n", "n", f"{k}_rest", "rest", percent)).select(F.least(k, "sid").alias("a"), F.greatest(k, "sid").alias("b")) for k in ("hub", "prev")]
+    stars = [blocks.where(_fits(f"{k}_n", "n", f"{k}_rest", "rest", percent)).select(F.least(k, "sid").alias("a"), F.greatest(k, "sid").alias("b")) for k in ("hub", "prev")]
     stars = stars[0].union(stars[1]).distinct()
     stars = cut_lineage(_may_link(stars, signatures, percent))
     near = cut_lineage(_linked(stars, _sets(texts, every, stars, words), percent))
