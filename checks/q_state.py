@@ -11,7 +11,7 @@ from checks.bind import TEXT, with_views
 from checks.registry import case
 from weftline.operators import changelog, diff, limiter, quarantine
 from weftline.plans import browse, sync
-from weftline.session import checkpoint_dir, cut_lineage
+from weftline.session import cut_lineage, scratch_folder
 from weftline.sources.registry import SourceSpec
 from weftline.streaming import limiter as stream_limiter
 from weftline.streaming import runs as stream_runs
@@ -144,15 +144,27 @@ def _(spark, sf):
 
 
 @case("sliding_rate_limit_stream", f"""
-SELECT count(*) AS events, count(DISTINCT user_id) AS users FROM events""")
+WITH RECURSIVE t AS (SELECT user_id, event_id, epoch_us(ts) AS us, min(epoch_us(ts)) OVER () AS lo, max(epoch_us(ts)) OVER () AS hi FROM events),
+a AS (SELECT *, (us - lo) * 4 // (hi - lo + 1) + CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END AS arrival FROM t),
+o AS (SELECT user_id, event_id, us, coalesce(us < max(us) OVER (PARTITION BY user_id ORDER BY arrival RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM a),
+e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS n FROM o WHERE NOT late),
+r AS (SELECT user_id, event_id, us, n, true AS accepted, [us] AS kept FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.us, e.n, len(list_filter(r.kept, lambda t: t > e.us - {SPAN})) < {LIMIT},
+    CASE WHEN len(list_filter(r.kept, lambda t: t > e.us - {SPAN})) < {LIMIT} THEN list_append(list_filter(r.kept, lambda t: t > e.us - {SPAN}), e.us)
+      ELSE list_filter(r.kept, lambda t: t > e.us - {SPAN}) END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT user_id, event_id, accepted, false AS late FROM r UNION ALL SELECT user_id, event_id, false, true FROM o WHERE late""")
 def _(spark, sf):
-    """The stateful stream over the landed events; decisions are compared with the batch form in the tests."""
-    events = spark.readStream.schema(bind.table(spark, sf, "events").schema).parquet(f"{sf}/events*.parquet")
-    out = stream_limiter.sliding_limit_stream(events, "user_id", "ts", "event_id", DAY, LIMIT)
-    root = f"{checkpoint_dir(spark)}/limiter-{uuid.uuid4().hex}"
+    """The stateful stream over files that land one by one; every fiftieth event arrives a file too late."""
+    events = bind.table(spark, sf, "events").withColumn("us", limiter.micros(bind.table(spark, sf, "events"), "ts"))
+    lo, hi = events.agg(F.min("us"), F.max("us")).first()
+    arrival = F.floor((F.col("us") - lo) * 4 / F.lit(hi - lo + 1)) + F.when(F.col("event_id") % 50 == 0, 1).otherwise(0)
+    root = f"{scratch_folder(spark)}/limiter-{uuid.uuid4().hex}"
+    for n in range(5):
+        events.where(arrival == n).drop("us").coalesce(1).write.parquet(f"{root}/in/{n}")
+    landed = spark.readStream.schema(bind.table(spark, sf, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
+    out = stream_limiter.sliding_limit_stream(landed, "user_id", "ts", "event_id", DAY, LIMIT)
     out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start().awaitTermination()
-    done = spark.read.parquet(f"{root}/out")
-    return done.agg(F.count("accepted").alias("events"), F.count_distinct("user_id").alias("users"))
+    return spark.read.parquet(f"{root}/out")
 
 
 # --- runs ------------------------------------------------------------------------------------
@@ -181,7 +193,7 @@ def _options(spark, sf, run: str, day: str):
 SELECT 'ok-with-warnings' AS outcome, 'source' AS section, source AS label, 'ok' AS status, providers, models FROM
   (SELECT source, count(*) AS providers FROM p GROUP BY source) a JOIN (SELECT source, count(*) AS models FROM c GROUP BY source) b USING (source)""", "p", "c"))
 def _(spark, sf):
-    root = f"{checkpoint_dir(spark)}/sync-{uuid.uuid4().hex}"
+    root = f"{scratch_folder(spark)}/sync-{uuid.uuid4().hex}"
     result = sync.run_sync(spark, _specs(spark, sf), root, _options(spark, sf, "run-1", "2026-01-04"))
     return result.report.where("section = 'source'").select("outcome", "section", "label", "status", "providers", "models")
 
@@ -189,7 +201,7 @@ def _(spark, sf):
 @case("run_report_summary")
 def _(spark, sf):
     """Two runs one after the other; the second compares itself with the first."""
-    root = f"{checkpoint_dir(spark)}/sync-{uuid.uuid4().hex}"
+    root = f"{scratch_folder(spark)}/sync-{uuid.uuid4().hex}"
     sync.run_sync(spark, _specs(spark, sf), root, _options(spark, sf, "run-1", "2026-01-04"))
     second = sync.run_sync(spark, _specs(spark, sf), root, _options(spark, sf, "run-2", "2026-01-05"))
     return sync.report_summary(second.report)

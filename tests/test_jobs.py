@@ -95,15 +95,20 @@ def test_limiter_batch(spark):
 
 def test_limiter_stream(spark, tmp_path):
     rows = sorted(some_events(), key=lambda r: r[1])
+    late = {300, 450}  # arrive in the second file, after newer ones of their key
     df = events(spark, rows)
     for n, (lo, hi) in enumerate([(0, 500), (500, 900), (900, 1500)]):
-        df.where((F.col("id") >= lo) & (F.col("id") < hi)).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+        here = (F.col("id") >= lo) & (F.col("id") < hi) & ~F.col("id").isin(*late)
+        df.where(here | F.col("id").isin(*late) if n == 1 else here).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
     stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-    out = stream_limiter.sliding_limit_stream(stream, "k", "ts", "id")
+    out = stream_limiter.sliding_limit_stream(stream, "k", "ts", "id", 60, 5)
     q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck"))
     q.trigger(availableNow=True).start().awaitTermination()
-    got = {r.id: r.accepted for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == brute_limit(rows, 60, 5)
+    got = {r.id: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert len(got) == len(rows) and {i for i, r in got.items() if r.late} == late
+    on_time = {i: row for i, row in enumerate(rows) if i not in late}
+    want = brute_limit([on_time.get(i, ("nobody", row[1])) for i, row in enumerate(rows)], 60, 5)
+    assert {i: r.accepted for i, r in got.items() if i not in late} == {i: want[i] for i in on_time}
 
 
 def test_quarantine_stream(spark, tmp_path):

@@ -1,45 +1,52 @@
-"""Sliding-log rate limit on a stream; per key the state is the last ``limit`` accepted times."""
+"""Sliding-log rate limit on a stream; per key the state is the last ``limit`` accepted times and the latest one seen."""
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weftline.operators.limiter import micros
 
 
-def sliding_limit_stream(events: DataFrame, key: str, ts: str, tiebreak: str, window_seconds: int = 60, limit: int = 5,
-                         lateness: str = "0 seconds") -> DataFrame:
-    """Adds ``accepted``. Rows of one micro-batch are decided in time order; admission limits of the
-    source bound how many rows of a key meet in one batch. Idle keys lose their state by event time."""
+def sliding_limit_stream(events: DataFrame, key: str, ts: str, tiebreak: str, window_seconds: int, limit: int) -> DataFrame:
+    """(key, tiebreak, accepted, late) for every row; none is lost.
+
+    Rows of a micro-batch are decided in time order, after those of earlier batches. A row older than one that an
+    earlier batch has decided is ``late``: its decision came too late to count, so it is not accepted and leaves no
+    trace. There is no watermark, which would drop such rows unseen. Of a batch only times and tiebreaks of a key are
+    held; the source's admission limit (``maxFilesPerTrigger``) bounds how many meet. The state of a key, ``limit`` + 1
+    numbers at most, stays: without a watermark nothing says that no older row can come.
+    """
     span = window_seconds * 1_000_000
     types = dict(events.dtypes)
-    schema = f"{key} {types[key]}, {tiebreak} {types[tiebreak]}, accepted boolean"
+    schema = f"{key} {types[key]}, {tiebreak} {types[tiebreak]}, accepted boolean, late boolean"
 
     def decide(owner: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["us", tiebreak], kind="stable")
-        flags = []
-        for us in rows["us"]:
-            kept = [t for t in kept if t > us - span]
-            ok = len(kept) < limit
-            if ok:
-                kept.append(int(us))
-            flags.append(ok)
-        state.update((kept,))
-        due = (max(kept, default=0) + span) // 1000
-        if due > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(due)
-        yield rows[[key, tiebreak]].assign(accepted=flags)
-
-    timed = events.withColumn("us", micros(events, ts)).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
+        kept, seen = (deque(state.get[0]), state.get[1]) if state.exists else (deque(), None)
+        times, names = [], []
+        for b in batches:
+            times.append(b["us"].to_numpy())
+            names.append(b[tiebreak].to_numpy())
+        us, name = np.concatenate(times), np.concatenate(names)
+        order = np.lexsort((name, us))
+        us, name = us[order], name[order]
+        late = us < seen if seen is not None else np.zeros(len(us), dtype=bool)
+        flags = np.zeros(len(us), dtype=bool)
+        for k in np.flatnonzero(~late):
+            while kept and kept[0] <= us[k] - span:
+                kept.popleft()
+            if len(kept) < limit:
+                kept.append(int(us[k]))
+                flags[k] = True
+        state.update(([int(t) for t in kept], int(max(us[-1], seen if seen is not None else us[-1]))))
+        yield pd.DataFrame({key: [owner[0]] * len(us), tiebreak: name, "accepted": flags, "late": late})
+
+    timed = events.select(key, tiebreak, micros(events, ts).alias("us"))
     return timed.groupBy(key).applyInPandasWithState(
-        decide, schema, "kept array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
+        decide, schema, "kept array<bigint>, seen bigint", "append", GroupStateTimeout.NoTimeout
     )
