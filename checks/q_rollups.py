@@ -185,7 +185,7 @@ def _(spark, sf):
     return _entries(spark, sf)
 
 
-@case("cluster_cross_entity", with_views(_ENTRY + " SELECT en.*, display_name, entries FROM en JOIN cl USING (key) WHERE entries >= 2", "m", "g"))
+@case("cluster_cross_entity", with_views(_ENTRY + " SELECT en.*, display_name, entries, row_number() OVER (PARTITION BY key ORDER BY provider, slug) AS place FROM en JOIN cl USING (key) WHERE entries >= 2", "m", "g"))
 def _(spark, sf):
     return clusters.cluster_entries(_entries(spark, sf))
 

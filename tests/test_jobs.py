@@ -203,3 +203,11 @@ def test_corrupt_source_is_skipped_and_bad_merge_stops(spark, tmp_path):
     assert snapshots.latest_run(spark, root) == "run-2"
     forced = run(spark, root, 5, [source(spark, "a", 0, {"p0": 10, "p1": 10, "p2": 10, "p3": 1})], allow_shrink=True)
     assert forced.outcome == "ok-with-warnings" and forced.providers.count() == 4
+
+
+def test_damaged_snapshot_file_reads_as_absent(spark, tmp_path):
+    schema = "slug string, n bigint"
+    spark.createDataFrame([("a", 1)], schema).coalesce(1).write.parquet(str(tmp_path / "t"))
+    (tmp_path / "t" / "part-damaged.parquet").write_bytes(b"no parquet at all")
+    assert [tuple(r) for r in snapshots.read_fail_open(spark, str(tmp_path / "t"), schema).collect()] == [("a", 1)]
+    assert snapshots.read_fail_open(spark, str(tmp_path / "none"), schema).count() == 0

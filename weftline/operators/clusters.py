@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text
@@ -39,12 +39,13 @@ def clusters(entries: DataFrame) -> DataFrame:
 
 
 def cluster_entries(entries: DataFrame) -> DataFrame:
-    """Entry rows of real clusters; entry lists stay rows because a cluster has no size bound.
+    """Entry rows of real clusters with their place by provider name; a cluster has one entry per provider.
 
     Keys are computed once, for the count and for the rows.
     """
     entries = cut_lineage(entries)
-    return entries.join(clusters(entries), "key")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("provider", "slug"))
+    return entries.join(clusters(entries), "key").withColumn("place", place)
 
 
 def cluster_order() -> list:
