@@ -35,8 +35,8 @@ from weftline.session import cut_lineage, release
 
 #: log2 of the counters that order shingles, and of the bitmap of sets to be compared. Fixed: they bound what is broadcast.
 ORDER_BITS, WANTED_BITS = 22, 22
-#: Smallest and largest bitmap of a set, bits; 64-bit words of a branch's bitmap; sets in a leaf and in a branch.
-BITS, SIGNATURE, LEAF, BRANCH = (1024, 32768), 16, 32, 4096
+#: Smallest and largest bitmap of a set, bits; sets in a leaf and in a branch.
+BITS, LEAF, BRANCH = (1024, 32768), 32, 4096
 _SEEDS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
@@ -299,7 +299,7 @@ class Tree:
 
 
 def _tree_pairs(blocks: DataFrame, signatures: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that the dual traversal of the blocks' trees leaves over."""
+    """Table of pairs (a, b) of different components that the dual traversal of the blocks' trees leaves over."""
     # The block's first set has met all others; what is left are pairs among those.
     rows = blocks.where("several").select("token", "sid", "n", "rest").join(found.withColumnsRenamed({"node": "sid", "component": "comp"}), "sid", "left")
     rows = marked = cut_lineage(rows.withColumn("comp", F.coalesce("comp", "sid")))
@@ -311,45 +311,74 @@ def _tree_pairs(blocks: DataFrame, signatures: DataFrame, found: DataFrame, perc
     release(marked, mixed)
     # Branches of bounded size; a block that has several is followed in all pairs of branches whose bounds allow it.
     sizes = rows.groupBy("token").agg(F.ceil(F.count("*") / BRANCH).cast("int").alias("branches"))
-    rows = rows.join(sizes, "token").withColumn("branch", F.pmod(F.xxhash64("sid"), F.col("branches")).cast("int"))
-    nodes = rows.where("branches > 1").groupBy("token", "branch").agg(
+    placed = rows.join(sizes, "token").withColumn("branch", F.pmod(F.xxhash64("sid"), F.col("branches")).cast("int"))
+    nodes = placed.where("branches > 1").groupBy("token", "branch").agg(
         F.min("n").alias("lo_n"), F.max("n").alias("hi_n"), F.max("rest").alias("rest"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     a, b = nodes.alias("a"), nodes.alias("b")
     open_ = F.expr("a.branch < b.branch AND NOT (a.lo = a.hi AND b.lo = b.hi AND a.lo = b.lo)"
                    f" AND 100 * a.hi_n >= {percent} * b.lo_n AND 100 * b.hi_n >= {percent} * a.lo_n"
                    f" AND {100 + percent} * least(a.rest, b.rest) >= {percent} * (a.lo_n + b.lo_n)")
     several = a.join(b, (F.col("a.token") == F.col("b.token")) & open_).select(F.col("a.token").alias("token"), F.col("a.branch").alias("b1"), F.col("b.branch").alias("b2"))
-    members = rows.join(signatures.select("sid", "bits"), "sid").select("token", "branch", "sid", "n", "comp", "rest", "bits")
-    alone = members.select("token", F.col("branch").alias("b1"), F.col("branch").alias("b2"), F.lit(1).alias("side"), "sid", "n", "comp", "rest", "bits")
-    sides = [several.join(members.withColumnRenamed("branch", own), ["token", own]).select("token", "b1", "b2", F.lit(k).alias("side"), "sid", "n", "comp", "rest", "bits") for k, own in ((1, "b1"), (2, "b2"))]
-    units = alone.union(sides[0]).union(sides[1]).repartition("token", "b1", "b2").sortWithinPartitions("token", "b1", "b2", "side")
+    unit, member = ["token", "b1", "b2", "side"], ["sid", "n", "comp", "rest"]
+    alone = placed.select("token", F.col("branch").alias("b1"), F.col("branch").alias("b2"), F.lit(1).alias("side"), *member)
+    sides = [several.join(placed.withColumnRenamed("branch", own), ["token", own]).select("token", "b1", "b2", F.lit(k).alias("side"), *member) for k, own in ((1, "b1"), (2, "b2"))]
 
-    def follow(batches):
-        unit, parts = None, []
+    def together(df: DataFrame) -> DataFrame:
+        return df.repartition("token", "b1", "b2").sortWithinPartitions(*unit)
 
-        def done():
-            """Pairs of the unit read last."""
-            side, sid, n, comp, rest = (np.concatenate([p[k] for p in parts]) for k in range(5))
-            raw = [b for p in parts for b in p[5]]
-            table = _table(raw, 8 * min(map(len, raw)))
-            trees = [Tree(sid[at], n[at], comp[at], rest[at], table[at]) for k in (1, 2) if len(at := np.flatnonzero(side == k))]
-            x, y = trees[0].pairs(trees[-1], percent)
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    def units(batches):
+        """The rows of each unit as columns: token, b1, b2, side, sid, n, comp, rest, and what follows as lists."""
+        key, parts = None, []
+
+        def whole():
+            return [np.concatenate([p[k] for p in parts]) for k in range(8)], [x for p in parts for x in p[8]]
 
         for batch in batches:
-            keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], axis=1)
-            starts = np.flatnonzero(np.r_[np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]).any(axis=1)])
-            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
-                if parts and unit != tuple(keys[s]):
-                    yield done()
+            columns = [batch.column(k).to_numpy().astype(np.int64) for k in range(8)]
+            starts = np.flatnonzero(np.r_[np.ones(min(1, batch.num_rows), bool), np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)])
+            rest = batch.column(8).to_pylist() if batch.num_columns > 8 else []
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+                now = tuple(int(c[s]) for c in columns[:3])
+                if parts and key != now:
+                    yield whole()
                     parts = []
-                unit, piece = tuple(keys[s]), batch.slice(s, e - s)
-                parts.append((*(piece.column(k).to_numpy().astype(np.int64) for k in range(3, 8)), piece.column(8).to_pylist()))
+                key = now
+                parts.append((*(c[s:e] for c in columns), rest[s:e]))
         if parts:
-            yield done()
+            yield whole()
+
+    def fitting(batches):
+        """Members that have some other in the unit whose size, rest and component allow a link, before bitmaps are fetched."""
+        for columns, _ in units(batches):
+            side, _, n, comp, rest = columns[3:]
+            left = np.flatnonzero(side == 1)
+            right = np.flatnonzero(side == 2) if (side == 2).any() else left
+            kept = np.zeros(len(side), dtype=bool)
+            for k in range(0, len(left), 256):
+                own = left[k : k + 256]
+                need = percent * (n[own][:, None] + n[right][None, :])
+                may = (comp[own][:, None] != comp[right][None, :]) & ((100 + percent) * np.minimum(rest[own][:, None], rest[right][None, :]) >= need)
+                may &= 100 * np.minimum(n[own][:, None], n[right][None, :]) >= percent * np.maximum(n[own][:, None], n[right][None, :])
+                kept[own] |= may.any(axis=1)
+                kept[right] |= may.any(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in columns], names=[*unit, *member])
+
+    def follow(batches):
+        for columns, raw in units(batches):
+            side, sid, n, comp, rest = columns[3:]
+            table = _table(raw, 8 * min(map(len, raw)))
+            trees = [Tree(sid[at], n[at], comp[at], rest[at], table[at]) for k in (1, 2) if len(at := np.flatnonzero(side == k))]
+            x, y = trees[0].pairs(trees[-1], percent)
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return units.mapInArrow(follow, "a long, b long").distinct()
+    schema = ", ".join(f"{c} long" for c in [*unit, *member])
+    light = cut_lineage(together(alone.union(sides[0]).union(sides[1])).mapInArrow(fitting, schema))
+    release(rows)
+    full = light.join(signatures.select("sid", "bits"), "sid").select(*unit, *member, "bits")
+    pairs = cut_lineage(together(full).mapInArrow(follow, "a long, b long").distinct())
+    release(light)
+    return pairs
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
@@ -373,7 +402,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     stars = cut_lineage(_may_link(stars, signatures, percent))
     near = cut_lineage(_linked(stars, _sets(texts, every, stars, words), percent))
     found = cut_lineage(graph.components(near))
-    rest = cut_lineage(_tree_pairs(blocks, signatures, found, percent))
+    rest = _tree_pairs(blocks, signatures, found, percent)
     if not rest.isEmpty():
         more = cut_lineage(_linked(rest, _sets(texts, every, rest, words), percent))
         found = cut_lineage(graph.components(near.union(more)))
