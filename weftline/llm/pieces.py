@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Cached words of a worker, the longest word kept (characters), and cached pairs of pieces.
+#: Cached words of a worker in each of two generations, the longest word kept (characters), and cached pairs of pieces.
 CACHED_WORDS, CACHED_LENGTH, CACHED_PAIRS = 150_000, 48, 500_000
 
 
@@ -60,6 +60,7 @@ class PieceCodec:
         self.fine = re.compile(rf"{SPACE}*{mark}*\w+|{SPACE}+{mark}*|{mark}+" + (r"|\n+" if line else ""))
         self._pairs: dict[tuple[str, str], bool] = {}
         self._cache: dict[str, tuple[str, int, str]] = {}
+        self._older: dict[str, tuple[str, int, str]] = {}
 
     def _merge(self, text: str) -> list[str]:
         """Merges by themselves: the best scored pair first, the leftmost of equals."""
@@ -163,11 +164,13 @@ class PieceCodec:
         """(decimal ids joined by commas, how many, decoded text with its leading space) of one word."""
         hit = self._cache.get(word)
         if hit is None:
-            ids = self._word(word)
-            hit = ",".join(map(str, ids)), len(ids), self._plain(ids)
+            hit = self._older.get(word)
+            if hit is None:
+                ids = self._word(word)
+                hit = ",".join(map(str, ids)), len(ids), self._plain(ids)
             if len(word) <= CACHED_LENGTH:
-                if len(self._cache) >= CACHED_WORDS:
-                    self._cache.clear()
+                if len(self._cache) >= CACHED_WORDS:  # what the last generation did not meet goes
+                    self._older, self._cache = self._cache, {}
                 self._cache[word] = hit
         return hit
 
@@ -227,13 +230,14 @@ def digests(docs: DataFrame, model_file: str, text: str = "text", doc_id: str =
     """
     def rows(batches: Iterator[pa.RecordBatch]):
         c = codec(model_file)
-        get, make = c._cache.get, c.cached
+        make = c.cached
         for batch in batches:
             counts, encoded, decoded = [], [], []
             for t in batch.column(1):
                 ids, back, n = hashlib.sha256(), hashlib.sha256(), 0
                 words = c.split(t.as_py() or "")
                 for k in range(0, len(words), 50_000):  # a long text goes through in parts
+                    get = c._cache.get
                     hits = [get(w) or make(w) for w in words[k : k + 50_000]]
                     n += sum([h[1] for h in hits])
                     ids.update(((b"," if k else b"") + ",".join([h[0] for h in hits]).encode()))
