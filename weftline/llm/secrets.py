@@ -38,7 +38,12 @@ def _share(value: Column, pattern: str) -> Column:
 
 
 def triples(words: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(words) - 2, F.lit(1))), lambda k: F.substring(words, k, F.lit(3)))
+    """Every three letters in a row; a shorter word is one. From the array of letters, so that a long word costs its length."""
+    def of(letters: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(letters) - 2, F.lit(1))), lambda k: F.array_join(F.slice(letters, k, 3), ""))
+
+    # Bound by an outer lambda: an expression inside one is worked out again for every element.
+    return F.element_at(F.transform(F.array(F.split(words, "")), of), 1)
 
 
 def candidates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = "source") -> DataFrame:
