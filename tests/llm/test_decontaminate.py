@@ -57,3 +57,29 @@ def test_edges(spark):
     assert got == [(0, 7, 10, 0), (3, 7, 10, 0), (4, 7, 10, 0)]
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_recall_of_every_length_at_the_most_edits(spark):
+    rng = random.Random(11)
+    vocabulary = [f"{a}{b}{c}" for a in ["th", "er", "on", "an", "re", "in", "st"] for b in ["e", "at", "ing", "ion", "ou", "ly"] for c in ["s", "m", "k", "d"]]
+    lengths = [6, 7, 9, 10, 12, 16, 17, 23, 24, 34, 50, 52, 74, 100]
+    items = {n * 100 + k: [rng.choice(vocabulary) for _ in range(n)] for n in lengths for k in range(20)}
+    docs = {}
+    for i, w in items.items():
+        before, after = ([rng.choice(vocabulary) for _ in range(40)] for _ in range(2))
+        most = len(w) // 5
+        docs[i, "inside"] = before + edited(rng, w, most, vocabulary) + after
+        docs[i, "end"] = before + edited(rng, w, most, vocabulary)
+        docs[i, "cut"] = before + w[: len(w) - most]
+        docs[i, "first"] = before + [rng.choice(vocabulary), *w[1:]] + after
+        docs[i, "second"] = [w[0], rng.choice(vocabulary), *w[2:]] + after
+    keys = dict(enumerate(docs))
+    found = decontaminate.contaminated(
+        spark.createDataFrame([(d, " ".join(docs[k])) for d, k in keys.items()], "doc_id long, text string"),
+        spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")).collect()
+    got = {(keys[r["doc_id"]], r["item_id"]): r["edits"] for r in found}
+    assert all(e == word_edits(items[i], docs[k]) for (k, i), e in got.items())
+    share = {(n, how): sum((k, k[0]) in got for k in docs if k[0] // 100 == n and k[1] == how) / 20 for n in lengths for how in ("inside", "end", "cut", "first", "second")}
+    assert all(s == 1 for (_, how), s in share.items() if how in ("first", "second")), share
+    assert all(s == 1 for (n, _), s in share.items() if n < 10), share
+    assert min(share.values()) >= 0.9 and sum(share.values()) / len(share) >= 0.99, share

@@ -3,9 +3,11 @@
 Texts are lower-cased and read as words (letters, digits and characters beyond ASCII). A CGK embedding maps edit distance
 to Hamming distance: a pointer walks over a window's overlapping pairs of words, and at each step a random function of
 the step and the pair under it says whether it moves on; the pairs it saw, step by step, are the embedding. Bit sampling
-keeps a few steps of it. Windows of every item and of every document position, as long as the item (rounded down to a
-ladder), get ``REPEATS`` such keys from independent walks; equal keys make a candidate, and each candidate is verified
-by the exact edit distance between the item and the best matching stretch of the document.
+keeps a few steps of it. Windows of every item and of every document position, half as long as the item (rounded down to
+a ladder), get ``REPEATS`` such keys from independent walks, so that an item is met from any of its many starts, also
+where its first words are edited or its last ones missing. Equal keys make a candidate, and each candidate is verified
+by the exact edit distance between the item and the best matching stretch of the document. Items of few words admit one
+edit, which leaves three words in a row: their windows are any three words, and none of them is missed.
 
 Half of the repetitions sample the first third of the steps, so that stretches between two edits are found too; sampling
 step 0 always lets a worker drop most positions at once. Documents never meet the benchmark itself in the search: the keys of all items are
@@ -29,6 +31,8 @@ from weftline.session import cut_lineage
 REPEATS, SAMPLED, MAP_BITS = 16, 4, 18
 #: Items with fewer word pairs are too common to be passages; window lengths rise by half from there.
 LEAST_PAIRS = 5
+#: Items of up to so many pairs have windows of ``SHORT`` pairs, which are walked pair by pair.
+FEW_PAIRS, SHORT = 8, 2
 
 
 def ladder(most: int) -> list[int]:
@@ -38,8 +42,24 @@ def ladder(most: int) -> list[int]:
     return sizes
 
 
+def window_of(pairs: int) -> int:
+    """Window length of an item of so many pairs."""
+    return SHORT if pairs <= FEW_PAIRS else ladder(pairs // 2)[-1]
+
+
+def longest(size: int) -> int:
+    """Words of the longest item with windows of a length."""
+    return FEW_PAIRS + 1 if size == SHORT else 2 * (size * 3 // 2)
+
+
+def repeats_of(size: int) -> range:
+    return range(1 if size == SHORT else REPEATS)
+
+
 def steps_sampled(size: int, repeat: int) -> np.ndarray:
     """Sorted steps of one repetition, step 0 among them; half of the repetitions keep to the first third."""
+    if size == SHORT:
+        return np.arange(SAMPLED)
     rng = np.random.default_rng(size * 1009 + repeat)
     span = 2 * size if repeat % 2 else max(SAMPLED + 1, 2 * size // 3)
     return np.concatenate([[0], np.sort(rng.choice(np.arange(1, span), SAMPLED - 1, replace=False))])
@@ -58,7 +78,7 @@ def _walk(h: np.ndarray, at: np.ndarray, end: np.ndarray, size: int, repeat: int
     for level in range(1, SAMPLED):
         while step < sampled[level]:
             now = h[place]
-            place = place + ((now * seeds[step]) >> np.uint64(63)).astype(np.int64)
+            place = place + (1 if size == SHORT else ((now * seeds[step]) >> np.uint64(63)).astype(np.int64))
             place = np.minimum(place, end)  # end: one past the window
             step += 1
         seen = np.where(place < end, h[np.minimum(place, len(h) - 1)], np.uint64(0))
@@ -93,10 +113,10 @@ def _index(items: DataFrame) -> DataFrame:
                 n = e - s - 1
                 if n < LEAST_PAIRS:
                     continue
-                size = ladder(n)[-1]
+                size = window_of(n)
                 at = np.arange(s, s + n - size + 1)
                 parts = [("head", 0, np.unique(h[at]))]
-                for r in range(REPEATS):
+                for r in repeats_of(size):
                     def keep(level, keys, r=r):
                         parts.append(("key", r * SAMPLED + level, np.unique(keys)))
 
@@ -124,8 +144,11 @@ def _bitmaps(index: DataFrame) -> dict[tuple[int, int], np.ndarray]:
     return {k: np.packbits(np.unpackbits(m.view(np.uint8), bitorder="little")) for k, m in maps.items()}
 
 
-def candidates(docs: DataFrame, maps: dict[tuple[int, int], np.ndarray]) -> DataFrame:
-    """(doc_id, size, keys, stretch): words around each cluster of hits, with the whole keys found in it."""
+def candidates(docs: DataFrame, maps: dict[tuple[int, int], np.ndarray], percent: int) -> DataFrame:
+    """(doc_id, size, keys, stretch): words around each cluster of hits, with the whole keys found in it.
+
+    A stretch reaches as far to either side as an item with such windows can when words are added to it.
+    """
     def rows(batches):
         flags = {(size, level): np.unpackbits(packed).view(bool) for (size, level), packed in maps.items()}
         sizes = sorted({s for s, _ in flags})
@@ -143,7 +166,7 @@ def candidates(docs: DataFrame, maps: dict[tuple[int, int], np.ndarray]) -> Data
                 start = start[ends[start] - start >= size]
                 if not len(start):
                     continue
-                for r in range(REPEATS):
+                for r in repeats_of(size):
                     def keep(level, keys, r=r, size=size):
                         return flags[size, r * SAMPLED + level][(keys & low).astype(np.int64)]
 
@@ -159,7 +182,8 @@ def candidates(docs: DataFrame, maps: dict[tuple[int, int], np.ndarray]) -> Data
             out = []
             for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(at)], strict=True):
                 d, w = int(doc[s]), int(size[s])
-                lo, hi = max(int(first[d]), int(at[s]) - w), min(int(first[d + 1]), int(at[e - 1]) + 3 * w)
+                reach = longest(w) * (200 - percent) // 100 + 1
+                lo, hi = max(int(first[d]), int(at[s]) - reach), min(int(first[d + 1]), int(at[e - 1]) + reach)
                 out.append((d, w, np.unique(keys[s:e]).view(np.int64), h[lo:hi].view(np.int64)))
             if out:
                 yield pa.RecordBatch.from_pydict({
@@ -197,7 +221,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, text:
     if not shared:
         return spark.createDataFrame([], "doc_id long, text_key long, item_id long, item_words int, edits int")
     rows = _texts(docs, doc_id, text).withColumn("text_key", F.xxhash64("text"))
-    near = cut_lineage(candidates(rows, shared).withColumn("hit", F.xxhash64("doc_id", "text_key", "size", "stretch")))
+    near = cut_lineage(candidates(rows, shared, percent).withColumn("hit", F.xxhash64("doc_id", "text_key", "size", "stretch")))
     whole = index.where(F.col("level") % SAMPLED == SAMPLED - 1).select("key", "size", "item_id").distinct()
     pairs = near.select("hit", "size", F.explode("keys").alias("key")).join(whole, ["key", "size"]).select("hit", "item_id").distinct()
 
@@ -209,9 +233,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, text:
 
     def verify(batches):
         for batch in batches:
-            stretch, item = batch.column(3), batch.column(4)
-            edits = [fitting_distance(i.values.to_numpy(), s.values.to_numpy()) for i, s in zip(item, stretch, strict=True)]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text_key": batch.column(1), "item_id": batch.column(2), "item_words": pa.array([len(i.values) for i in item], pa.int32()), "edits": pa.array(edits, pa.int32())})
+            both = [(i.values.to_numpy(), s.values.to_numpy()) for i, s in zip(batch.column(4), batch.column(3), strict=True)]
+            # Every word of the item that the stretch lacks is an edit: most candidates need no more than this count.
+            likely = [k for k, (i, s) in enumerate(both) if 100 * (len(i) - int(np.isin(i, s).sum())) <= (100 - percent) * len(i)]
+            batch, item = batch.take(pa.array(likely, pa.int64())), [both[k][0] for k in likely]
+            edits = [fitting_distance(*both[k]) for k in likely]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text_key": batch.column(1), "item_id": batch.column(2), "item_words": pa.array([len(i) for i in item], pa.int32()), "edits": pa.array(edits, pa.int32())})
 
     both = near.select("hit", "doc_id", "text_key", "stretch").dropDuplicates(["hit"]).join(pairs, "hit").join(item_words, "item_id")
     checked = both.select("doc_id", "text_key", "item_id", "stretch", "item").mapInArrow(verify, "doc_id long, text_key long, item_id long, item_words int, edits int")
