@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import pytest
+
 from weftline.llm import pii
 
 P = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -57,3 +59,29 @@ def test_edges(spark):
     got = sorted((str(r["doc_id"]), r["n_email"], r["spans"]) for r in pii.digest(pii.personal_data(df)).collect())
     assert got == [("1", 0, ""), ("1", 1, "email:0:6"), ("1", 1, "email:0:6"), ("None", 1, "email:0:6")]
     assert pii.personal_data(df.limit(0)).count() == 0
+
+
+def chain(links):
+    """Each context holds eight known phones, what the context before makes known, and one more identifier."""
+    names = [f"{chr(97 + k)}line" for k in range(links)]
+    rows = []
+    for k, name in enumerate(names):
+        rows += [f"ring {name} +1 (212) 555-{1000 + j} today" for j in range(8)]
+        rows.append(f"ring {name} " + (f"0755/99{k - 1:02d}-44 today" if k else "+1 (212) 555-1008 today"))
+        rows.append(f"ring {name} 0755/99{k:02d}-44 today")
+    return list(enumerate(rows))
+
+
+def test_chains_of_contexts_are_followed_to_their_end(spark):
+    rows = chain(7)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.personal_data(df)).collect()}
+    assert all(got[i].startswith("phone:") for i, _ in rows)
+
+
+def test_a_chain_beyond_the_safety_stop_is_an_error(spark):
+    scanned = pii.scan(spark.createDataFrame(chain(4), "doc_id long, text string"))
+    known = scanned.selectExpr("explode(base) AS s").select("s.context", "s.value", "s.kind")
+    free = scanned.selectExpr("explode(free) AS s").select("s.value", "s.context").select("context", "value")
+    with pytest.raises(RuntimeError):
+        pii.bootstrap(known, free, most_rounds=3)

@@ -4,7 +4,8 @@ Base findings (email, ip, card, phone) are the seeds. Every other token that loo
 least four digits) is a candidate. The two words before a finding or candidate are its lexical pattern. In rounds, a
 pattern scores the share of its distinct instances that are known to be of one kind, and instances of patterns with
 enough support and score become known themselves; candidates of accepted patterns, and other occurrences of instances
-that they made known, are added to the spans. Base spans always stay, added ones never overlap them.
+that they made known, are added to the spans. Rounds go on until one adds nothing: known instances only grow in number,
+and with them the scores of patterns, so this ends and leaves no accepted pattern out. Base spans always stay, added ones never overlap them.
 
 All of it is column expressions and joins. Possessive patterns with a guard at their start read texts of any length in
 one go: a match can only begin where a run of its characters begins or the last match ended.
@@ -28,8 +29,10 @@ PATTERNS = {
 KINDS = list(PATTERNS)
 #: Tokens that may be identifiers.
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-#: Rounds, distinct known instances that a pattern needs, and the share of its instances that must be of the kind.
-ROUNDS, SUPPORT, CONFIDENCE = 3, 5, 0.8
+#: Distinct known instances that a pattern needs, and the share of its instances that must be of the kind.
+SUPPORT, CONFIDENCE = 5, 0.8
+#: A safety stop: a chain of patterns and instances that has not settled after so many rounds is an error, never a shorter result.
+MOST_ROUNDS = 500
 
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 
@@ -91,17 +94,18 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
         F.transform("free", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.rtrim(F.regexp_replace(s["value"], r"[.,;:!?)\"']+$", "")).alias("value"), before(F.col("text"), s["start"]).alias("context"))).alias("free"))
 
 
-def bootstrap(known: DataFrame, unknown: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+def bootstrap(known: DataFrame, unknown: DataFrame, most_rounds: int = MOST_ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
     """(context, kind) of the accepted patterns and (value, kind) of the instances that they made known.
 
     ``known``: (context, value, kind) of seeds; ``unknown``: (context, value) of candidates. Each round scores the
-    graph of patterns and instances anew with what the round before added.
+    graph of patterns and instances anew with what the round before added, until one adds nothing; more than
+    ``most_rounds`` raise an error.
     """
     seeds = known.select("context", "value", "kind").distinct()
     edges = cut_lineage(seeds.select("context", "value").union(unknown.select("context", "value")).distinct())
     labels = cut_lineage(seeds.groupBy("value").agg(F.min("kind").alias("kind")))
     sizes = cut_lineage(edges.groupBy("context").agg(F.count("*").alias("n")).where(F.col("n") >= support))
-    for _ in range(rounds):
+    for _ in range(most_rounds):
         scored = edges.join(labels, "value").groupBy("context", "kind").agg(F.count("*").alias("k")).where(F.col("k") >= support)
         accepted = scored.join(sizes, "context").where(F.col("k") >= confidence * (F.col("n") + 1)).select("context", "kind")
         accepted = accepted.groupBy("context").agg(F.min("kind").alias("kind"))
@@ -109,7 +113,11 @@ def bootstrap(known: DataFrame, unknown: DataFrame, rounds: int = ROUNDS, suppor
         added = cut_lineage(added)
         if added.isEmpty():
             break
-        labels = cut_lineage(labels.union(added))
+        grown = cut_lineage(labels.union(added))
+        release(labels, added)
+        labels = grown
+    else:
+        raise RuntimeError(f"contexts of personal data have not settled after {most_rounds} rounds")
     accepted, learned = cut_lineage(accepted), cut_lineage(labels.join(seeds.select("value").distinct(), "value", "left_anti"))
     release(edges, sizes)
     return accepted, learned
