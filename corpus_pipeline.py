@@ -22,8 +22,13 @@ def _carried(docs: DataFrame) -> DataFrame:
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays under the threshold; trained on the labels of the rows at hand."""
+    """Documents whose toxicity score stays under the threshold; trained on the labels of the rows at hand.
+
+    Without labels of both kinds there is nothing to judge by, and all documents stay.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not model.learned:
+        return docs
     return toxicity.with_score(_carried(docs), model).where(F.col("score") < toxicity.THRESHOLD).select("row.*")
 
 

@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline
 import pytest
 
 from weftline.llm import toxicity
@@ -78,3 +79,32 @@ def test_column_and_model_agree(spark, words):
     m = toxicity.Model(-1.0, {"idiotic": 2.0, "idio*": 0.25, "b": 0.1})
     df = spark.createDataFrame([(" ".join(words),)], "text string")
     assert toxicity.with_score(df, m).first()["score"] == pytest.approx(m.score("b idiotic"), abs=1e-15)
+
+
+def test_single_neutral_and_toxic_texts(spark):
+    docs, labels = frames(spark, labelled(random.Random(1), 800, biased=True))
+    plain = toxicity.fit(docs, labels, groups=GROUPS, counterfactual=0.0)
+    fair = toxicity.fit(docs, labels, groups=GROUPS, counterfactual=10.0)
+    assert fair.score("wax way gray waz") < toxicity.THRESHOLD < plain.score("wax way gray waz")
+    assert fair.score("wax idiotic way") > 0.5 > fair.score("wax way")
+
+
+def test_passages_do_not_fade_in_long_texts(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    given = toxicity.with_score(docs, model).join(labels, "doc_id").where(toxicity.held_out(docs["doc_id"])).select("text", "toxic", "score").toPandas()
+    toxic, clean = given[given.toxic == 1], given[given.toxic == 0]
+    assert (clean.score >= toxicity.THRESHOLD).mean() <= 0.01
+    # The same passage amid clean text, short and long.
+    calm = [w for t in clean[clean.score < 0.01].text for w in (t or "").split() if "!" not in w and not w.isupper()][:5000]
+    passage = "disgusting idiot stupid worthless pathetic".split()
+    scores = [model.score(" ".join([*calm[: n // 2], *passage, *calm[n // 2 : n]])) for n in (250, 5000)]
+    assert min(scores) >= toxicity.THRESHOLD
+
+
+@pytest.mark.parametrize("label", [None, 1])
+def test_pipeline_without_both_labels_rejects_nothing(spark, tmp_path, label):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(20)] + [(None, None)], "doc_id long, text string")
+    spark.createDataFrame([(k, label) for k in range(20)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.reject_toxic(spark, docs, str(tmp_path)).count() == 21

@@ -1,10 +1,11 @@
 """Toxicity by a linear classifier that is held to the same score when identity terms are swapped.
 
-A text's features are its words and their first four to six letters; a feature's value is the logarithm of how many of a
-thousand words have it. On a bounded sample of labelled rows Spark counts how many texts of either label hold a feature;
+A text's features are its words and their first four to six letters. The text is read in consecutive blocks, and a
+feature's value is the logarithm of how many of a thousand words have it in the block where it is densest, so that a
+passage weighs the same in a text of any length. On a bounded sample of labelled rows Spark counts how many texts of either label hold a feature;
 the most telling ones and all identity terms become the columns of a logistic regression. Every sampled text that names
-an identity term also enters with that term swapped for others of its group, and the squared change of its score is
-added to the loss, so that the weights of a group's terms are drawn together and a neutral mention decides nothing.
+an identity term also enters with that term swapped for others of its group, and without it, and the squared change of
+its score is added to the loss, so that the weights of a group's terms are drawn together and a neutral mention decides nothing.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,6 +25,8 @@ from weftline.session import cut_lineage, release
 
 #: Labelled rows in the sample, features kept, and the least number of sampled texts that hold a feature.
 SAMPLE, FEATURES, LEAST_TEXTS = 12_000, 1_024, 3
+#: Features whose log odds lie within so many standard errors tell nothing.
+LEAST_ERRORS = 2.0
 #: Scores from here on are rejected.
 THRESHOLD = 0.3
 #: Cached words of a worker.
@@ -43,6 +46,8 @@ IDENTITY_TERMS = [
 ]
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: Words of a block, about.
+BLOCK = 100
 
 
 #: First letters that are features.
@@ -50,7 +55,14 @@ PREFIXES = (4, 5, 6)
 
 
 def words_of(text: str) -> Counter[str]:
-    return Counter(_WORD.findall(text.lower()))
+    return Counter(w.lower() for w in _WORD.findall(text))
+
+
+def blocks_of(text: str) -> list[Counter[str]]:
+    """Words of the consecutive blocks of a whole text, all of about one length."""
+    words = [w.lower() for w in _WORD.findall(text)]
+    n = max(1, round(len(words) / BLOCK))
+    return [Counter(words[len(words) * k // n : len(words) * (k + 1) // n]) for k in range(n)]
 
 
 def features_of(word: str) -> list[str]:
@@ -63,6 +75,21 @@ def value_of(count: float, words: int) -> float:
     return math.log1p(1000 * count / (words + 20))
 
 
+def values_of(blocks: list[Counter[str]], of_word: Callable[[str], Iterable[str]]) -> dict[str, float]:
+    """Of each feature its largest value in any block; ``of_word`` gives the features of a word."""
+    out: dict[str, float] = {}
+    for words in blocks:
+        counts: dict[str, int] = {}
+        for w, n in words.items():
+            for f in of_word(w):
+                counts[f] = counts.get(f, 0) + n
+        size = words.total()
+        for f, n in counts.items():
+            if (v := value_of(n, size)) > out.get(f, 0.0):
+                out[f] = v
+    return out
+
+
 @dataclass
 class Model:
     """Intercept and the weights of features; a text's score is the logistic of their weighted sum."""
@@ -70,6 +97,8 @@ class Model:
     bias: float
     weights: dict[str, float] = field(default_factory=dict)
     known: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)
+    #: Whether there were labels of both kinds to learn from; else scores say nothing and must reject nothing.
+    learned: bool = True
 
     def of_word(self, word: str) -> tuple[str, ...]:
         """The weighted features of a word, from a cache of fixed size."""
@@ -81,13 +110,8 @@ class Model:
         return found
 
     def score(self, text: str) -> float:
-        words = words_of(text)
-        counts: dict[str, int] = {}
-        for w, n in words.items():
-            for f in self.of_word(w):
-                counts[f] = counts.get(f, 0) + n
-        size = words.total()
-        z = math.fsum([self.bias, *[self.weights[f] * value_of(n, size) for f, n in counts.items()]])  # the same in any order
+        values = values_of(blocks_of(text), self.of_word)
+        z = math.fsum([self.bias, *[self.weights[f] * v for f, v in values.items()]])  # the same in any order
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
@@ -119,7 +143,7 @@ def _telling(sample: DataFrame, groups: list[list[str]], keep: int) -> list[str]
     p, q = size["p"] + 1.0, size["n"] - size["p"] + 1.0
     odds = F.log((F.col("a") + 0.5) / (p - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (q - F.col("b") + 0.5))
     error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    found = [r["feature"] for r in held.orderBy(F.desc(F.abs(odds / error)), "feature").limit(keep).collect()]
+    found = [r["feature"] for r in held.where(F.abs(odds / error) >= LEAST_ERRORS).orderBy(F.desc(F.abs(odds / error)), "feature").limit(keep).collect()]
     terms = [t for g in groups for t in g]
     return found + [t for t in dict.fromkeys(terms) if t not in set(found)]
 
@@ -140,22 +164,23 @@ def swapped(words: Counter[str], groups: list[list[str]]) -> list[Counter[str]]:
 def _columns(sample: DataFrame, features: list[str], groups: list[list[str]]) -> pd.DataFrame:
     """(label, places, values, other): the kept features of each sampled text, and with swapped terms; a bounded table."""
     place = {f: k for k, f in enumerate(features)}
+    terms = {t for g in groups for t in g}
 
-    def of(words: Counter[str]) -> dict[int, float]:
-        counts: Counter[int] = Counter()
-        for w, n in words.items():
-            for f in features_of(w):
-                if f in place:
-                    counts[place[f]] += n
-        return {k: value_of(n, words.total()) for k, n in sorted(counts.items())}
+    def of(blocks: list[Counter[str]]) -> dict[int, float]:
+        values = values_of(blocks, lambda w: [f for f in features_of(w) if f in place])
+        return {place[f]: values[f] for f in sorted(values, key=place.get)}
 
     def rows(batches: Iterator[pd.DataFrame]):
         for b in batches:
             for label, text in zip(b["label"], b["text"], strict=True):
-                words = words_of(text)
-                for kind, w in enumerate([words, *swapped(words, groups)]):
+                blocks = blocks_of(text)
+                changed = [swapped(words, groups) for words in blocks]
+                ways = [[c[k] if c else words for c, words in zip(changed, blocks, strict=True)] for k in (0, 1)] if any(changed) else []
+                if ways:
+                    ways.append([Counter({w: n for w, n in words.items() if w not in terms}) for words in blocks])
+                for kind, w in enumerate([blocks, *ways]):
                     x = of(w)
-                    own = of(words) if kind else {}
+                    own = of(blocks) if kind else {}
                     if kind:  # a swapped text as the change that it makes
                         x = {k: d for k in sorted(x | own) if (d := x.get(k, 0.0) - own.get(k, 0.0))}
                     yield pd.DataFrame({"label": [label if not kind else -1], "places": [list(x)], "values": [list(x.values())]})
@@ -194,14 +219,17 @@ def _minimum(loss, w: np.ndarray, rounds: int, kept: int = 8) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, keep: int = FEATURES, groups: list[list[str]] | None = None, counterfactual: float = 1.0, decay: float = 1e-3, rounds: int = 100) -> Model:
-    """Logistic regression on the sample with the counterfactual penalty; without labelled rows every score is 0.5."""
+    """Logistic regression on the sample with the counterfactual penalty; without labelled rows every score is 0.5.
+
+    A model that has not met both labels says so in ``learned``.
+    """
     groups = IDENTITY_TERMS if groups is None else groups
     sample = cut_lineage(sample_of(docs, labels, rows))
     features = _telling(sample, groups, keep)
     table = _columns(sample, features, groups)
     release(sample)
     if not len(table):
-        return Model(0.0)
+        return Model(0.0, learned=False)
     # One order for any partitioning.
     table = table.iloc[sorted(range(len(table)), key=lambda k: (int(table["label"].iat[k]), list(table["places"].iat[k]), list(table["values"].iat[k])))]
 
@@ -225,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, keep: int = FEAT
         return float(value), np.append(slope.astype(np.float64) + decay * w[:-1], off.sum())
 
     w = _minimum(loss, np.zeros(len(features) + 1), rounds)
-    return Model(float(w[-1]), {f: float(k) for f, k in zip(features, w[:-1], strict=True) if k})
+    return Model(float(w[-1]), {f: float(k) for f, k in zip(features, w[:-1], strict=True) if k}, learned=bool(0 < y.mean() < 1))
 
 
 def with_score(docs: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
