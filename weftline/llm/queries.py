@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, decontaminate, embedding_dedup, line_dedup, ngram_join, pieces, pii, secrets, token_counts, toxicity
+from weftline.llm import chat_format, decontaminate, embedding_dedup, importance, line_dedup, ngram_join, pieces, pii, prefix_trie, secrets, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -139,3 +139,53 @@ def op8(spark, sf_dir):
 @query("op10_pii")
 def op10(spark, sf_dir):
     return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
+# The checksum of a feature's bytes, by a table of 256 registers; of an id's digits, bit by bit.
+_OP12 = r"""
+WITH k AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce([i] || range(0, 8), lambda a, j: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(0, 256) r(i))),
+w AS (SELECT 'd' AS side, doc_id, text FROM documents UNION ALL SELECT 'b', NULL, text FROM benchmark),
+a AS (SELECT side, row_number() OVER () AS pos, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS x FROM w),
+f AS (SELECT side, pos, g, count(*) AS c FROM (SELECT side, pos, unnest(flatten([list_transform(range(1, len(x) - n + 2), lambda i: array_to_string(x[i:i+n-1], ' ')) for n in [1, 2, 3]])) AS g FROM a) GROUP BY ALL),
+u AS (SELECT g, xor(list_reduce([4294967295] || list_transform(range(1, length(h) // 2 + 1), lambda i: (instr('123456789ABCDEF', h[2*i-1]) * 16 + instr('123456789ABCDEF', h[2*i]))::BIGINT), lambda s, b: xor(tab[xor(s, b) % 256 + 1], s >> 8)), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT g, hex(encode(g)) AS h FROM f), k),
+n AS (SELECT bucket, coalesce(sum(c) FILTER (WHERE side = 'd'), 0)::DOUBLE AS s, coalesce(sum(c) FILTER (WHERE side = 'b'), 0)::DOUBLE AS t FROM f JOIN u USING (g) GROUP BY bucket),
+z AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM n),
+v AS (SELECT bucket, floor(1000 * ln((n.t + 1) * (z.all_s + 10000) / ((n.s + 1) * (z.all_t + 10000))))::BIGINT AS gain FROM n, z),
+y AS (SELECT pos, sum(c)::BIGINT AS n_features, sum(c * gain)::BIGINT AS weight FROM f JOIN u USING (g) JOIN v USING (bucket) GROUP BY pos),
+q AS (SELECT a.doc_id, len(x) AS words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  ('0x' || substr(sha256('42:' || a.doc_id), 1, 8))::BIGINT::DOUBLE AS h FROM a LEFT JOIN y USING (pos) WHERE side = 'd'),
+e AS (SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0))))::BIGINT AS score FROM q),
+o AS (SELECT *, CASE WHEN words >= 20 THEN row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) END AS place, (SELECT count(*) * 5 // 100 FROM q WHERE words >= 20) AS draws FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= draws THEN place END::BIGINT AS rank FROM o
+"""
+
+
+@query("op12_importance_resampling", _OP12)
+def op12(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_OP13 = """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT DISTINCT conv_id, conv_id::VARCHAR AS s FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce([4294967295] || list_transform(range(0, 8 * length(s)), lambda j: CASE WHEN j % 8 = 0 THEN ascii(substr(s, (j // 8 + 1)::BIGINT, 1)) ELSE 0 END::BIGINT),
+  lambda a, b: CASE WHEN xor(a, b) % 2 = 1 THEN xor(xor(a, b) >> 1, 3988292384) ELSE xor(a, b) >> 1 END), 4294967295) % 6 AS h FROM i),
+b AS (SELECT c.conv_id, t.pos AS d, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h),
+k AS (SELECT conv_id, count(*) AS n FROM b GROUP BY conv_id),
+r AS (SELECT * FROM b UNION ALL SELECT t.conv_id, coalesce(k.n, 0) + t.pos - c.h, t.role, t.text FROM t JOIN c USING (conv_id) LEFT JOIN k USING (conv_id) WHERE t.pos > c.h),
+p AS (SELECT conv_id, d, length(text) AS chars, list(md5(length(role) || ':' || role || text)) OVER (PARTITION BY conv_id ORDER BY d) AS path FROM r UNION ALL SELECT conv_id, 0, 0, [] FROM c),
+m AS (SELECT conv_id, d, chars, min(conv_id) OVER (PARTITION BY path) AS rep FROM p),
+n AS (SELECT rep, d, count(*) AS n, max(chars) AS chars FROM m GROUP BY rep, d),
+x AS (SELECT n.*, u.rep AS up FROM n LEFT JOIN m u ON u.conv_id = n.rep AND u.d = n.d - 1),
+y AS (SELECT x.*, coalesce(z.kids, 0) AS kids FROM x LEFT JOIN (SELECT up, d - 1 AS d, count(*) AS kids FROM x WHERE d > 0 GROUP BY ALL) z ON z.up = x.rep AND z.d = x.d),
+s AS (SELECT m.rep, m.d, count(*) FILTER (WHERE y.kids = 0) AS leaves, sum((y.n - 1) * y.chars) AS saved FROM y JOIN m ON m.conv_id = y.rep AND m.d <= y.d GROUP BY m.rep, m.d),
+e AS (SELECT m.rep, m.d, string_agg(m.conv_id::VARCHAR, ',' ORDER BY m.conv_id) AS ids FROM m JOIN (SELECT conv_id, max(d) AS d FROM m GROUP BY conv_id) l USING (conv_id, d) GROUP BY m.rep, m.d)
+SELECT y.rep AS conv_id, y.d::BIGINT AS depth, y.up AS parent_conv_id, y.n::BIGINT AS n_convs, y.kids::BIGINT AS n_children, s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM y JOIN s ON s.rep = y.rep AND s.d = y.d LEFT JOIN e ON e.rep = y.rep AND e.d = y.d
+"""
+
+
+@query("op13_prefix_trie", _OP13)
+def op13(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
