@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, decontaminate, embedding_dedup, importance, line_dedup, ngram_join, pieces, pii, prefix_trie, secrets, token_counts, toxicity
+from weftline.llm import chat_format, decontaminate, embedding_dedup, hamming_search, importance, line_dedup, ngram_join, pieces, pii, prefix_trie, secrets, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -189,3 +189,8 @@ FROM y JOIN s ON s.rep = y.rep AND s.d = y.d LEFT JOIN e ON e.rep = y.rep AND e.
 @query("op13_prefix_trie", _OP13)
 def op13(spark, sf_dir):
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_hamming_search")
+def op11(spark, sf_dir):
+    return hamming_search.nearest(table(spark, sf_dir, "embeddings"))
