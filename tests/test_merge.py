@@ -53,9 +53,9 @@ def test_bridge_keeps_fold_order(spark):
     assert got == {0: (4, ("2K", None))}
 
 
-@pytest.mark.parametrize("core_pairs", [merge.CORE_PAIRS, 0, 6])
-def test_random_groups_equal_replay(spark, core_pairs):
-    rnd = random.Random(7)
+@pytest.mark.parametrize("seed", [7, 8])
+def test_random_groups_equal_replay(spark, seed):
+    rnd = random.Random(seed)
     cases = {}
     for n in range(400):
         size, keys = rnd.randint(2, 12), rnd.randint(2, 6)
@@ -64,19 +64,29 @@ def test_random_groups_equal_replay(spark, core_pairs):
             values = {f: f"{i}{u}" for f, u in (("context", "K"), ("rate_limit", " RPM")) if rnd.random() < 0.4}
             members.append((rnd.randrange(keys), rnd.randrange(keys), values))
         cases[f"s{n}"] = members
-    got = merged(spark, cases, core_pairs=core_pairs)
+    got = merged(spark, cases)
     wrong = {s: (got.get(s), replay(m), m) for s, m in cases.items() if got.get(s) != replay(m)}
     assert not wrong, (len(wrong), next(iter(wrong.items())))
 
 
-@pytest.mark.parametrize("core_pairs", [merge.CORE_PAIRS, 0])
-def test_long_chain_equals_replay(spark, core_pairs):
+@pytest.mark.parametrize("order", ["shuffled", "forwards", "backwards"])
+def test_long_chain_equals_replay(spark, order, monkeypatch):
+    """Links of a chain in any order: few rounds, each of logarithmically many steps."""
     rnd = random.Random(3)
-    chain = [(i, i, {"context": f"{i}K"} if i % 7 == 3 else {}) for i in range(60)]
-    links = [(i, i + 1, {}) for i in range(59)]
-    rnd.shuffle(links)
+    n = 2000
+    chain = [(i, i, {"context": f"{i}K"} if i % 7 == 3 else {}) for i in range(n)]
+    links = [(i, i + 1, {"rate_limit": f"{i} RPM"} if i % 11 == 5 else {}) for i in range(n - 1)]
+    links = {"shuffled": rnd.sample(links, n - 1), "forwards": links, "backwards": links[::-1]}[order]
+    rounds, levels = [], merge._levels
+    monkeypatch.setattr(merge, "_levels", lambda claims: rounds.append(len(out := levels(claims))) or out)
     rows = chain + links
-    assert merged(spark, {"c": rows}, core_pairs=core_pairs)["c"] == replay(rows)
+    assert merged(spark, {"c": rows})["c"] == replay(rows)
+    assert len(rounds) <= 8 and max(rounds) <= 13, rounds
+
+
+def test_young_key_that_joins_older_ones_in_turn(spark):
+    rows = [(i, i, {"context": f"{i}K"} if i % 3 else {}) for i in range(40)] + [(100, i, {}) for i in reversed(range(40))] + [(i, 101, {"rate_limit": f"{i} RPM"}) for i in range(40)]
+    assert merged(spark, {"c": rows})["c"] == replay(rows)
 
 
 def test_hot_key_is_one_row(spark):

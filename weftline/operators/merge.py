@@ -10,21 +10,19 @@ other children. Results follow the arrival order of rows (source priority, then
 The job works on aggregates, not on collected groups. Rows with the same key pair collapse first, so
 copies cost one row. Keys that occur in one pair only hang on their partner, which leaves a core of
 pairs between keys that each occur several times. There a key folds into an older key over its
-earliest pair, and its values then count as arriving no earlier than that pair. Small cores fold in
-one task per entity, behind a count of their size; larger ones fold in rounds of joins.
+earliest pair, and its values then count as arriving no earlier than that pair. The fold is found by
+joins and pointer doubling, the same way for cores of any size and shape.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import facets, numbers, text
-from weftline.session import cut_lineage
+from weftline.operators.parts import global_row_number
+from weftline.session import cut_lineage, release
 
-# Largest core of an entity, in key pairs, that one task folds.
-CORE_PAIRS = 50_000
 CHILD_FIELDS = ["context", "max_output", "modality", "rate_limit"]
 SCALARS = ["name", "category", "country", "flag", "url", "base_url", "description", "source_updated_at", "more_models"]
 
@@ -80,7 +78,7 @@ def _nodes(pairs: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
     """Keys that stay as nodes with the values of the pairs hanging on them, and the core pairs."""
     deg_a = pairs.groupBy(group, "ka").agg(F.count("*").alias("da"))
     deg_b = pairs.groupBy(group, "kb").agg(F.count("*").alias("db"))
-    p = pairs.join(deg_a, [group, "ka"]).join(deg_b, [group, "kb"])
+    p = cut_lineage(pairs.join(deg_a, [group, "ka"]).join(deg_b, [group, "kb"]))
     core = (F.col("da") > 1) & (F.col("db") > 1)
     anchor_b = (F.col("da") == 1) & (F.col("db") > 1)
     own = [F.struct(F.when(anchor_b, F.col("kb")).otherwise(F.col("ka")).alias("k"), F.lit(True).alias("holds"))]
@@ -98,138 +96,119 @@ def _nodes(pairs: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def _arrival(value: Column, folds: Column) -> Column:
-    """When a value reaches each absorbing key, last fold first.
-
-    A value is never earlier than the pair its key folded over. Two values delayed by the same fold
-    share that time and are told apart by their order before it.
+def _numbered(nodes: DataFrame, edges: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
+    """Core keys under numbers that rise with their age within an entity, and the pairs as (old, young, t)."""
+    nodes = cut_lineage(global_row_number(nodes, [F.col(group).asc(), F.col("born").asc(), F.col("k").asc()], "id"))
+    names = nodes.select(group, "k", "id")
+    met = edges.join(names.select(group, F.col("k").alias("u"), F.col("id").alias("iu")), [group, "u"]).join(names.select(group, F.col("k").alias("v"), F.col("id").alias("iv")), [group, "v"])
+    return nodes, cut_lineage(met.select(F.least("iu", "iv").alias("old"), F.greatest("iu", "iv").alias("young"), "t"))
+
+
+def _levels(claims: DataFrame) -> list[DataFrame]:
+    """Pointer doubling: level i leads 2**i steps up from ``id``, over steps of time ``t`` at the latest."""
+    levels = [cut_lineage(claims.select("id", "up", "t"))]
+    while True:
+        far = levels[-1].select(F.col("id").alias("up"), F.col("up").alias("far"), F.col("t").alias("then"))
+        further = cut_lineage(levels[-1].join(far, "up").select("id", F.col("far").alias("up"), F.greatest("t", "then").alias("t")))
+        if further.isEmpty():
+            release(further)
+            return levels
+        levels.append(further)
+
+
+def _climb(points: DataFrame, column: str, levels: list[DataFrame], until: str | None) -> DataFrame:
+    """The column moved up while the steps are no later than ``until``, or to the top without one."""
+    for level in reversed(levels):
+        step = level.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("t").alias("_t"))
+        same = F.col(column) == F.col("_id")
+        points = points.join(step, same if until is None else same & (F.col("_t") <= F.col(until)), "left").withColumn(column, F.coalesce("_up", column)).drop("_id", "_up", "_t")
+    return points
+
+
+def _fold_forest(pairs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(id, up, t): the key that absorbs each key and when, and the levels of that forest.
+
+    Claims say that a key is no longer its own group at a time, as an older one is connected by then. The first claims are
+    the earliest pairs with an older key. Both ends of every pair then climb the claims up to the pair's time; if they end
+    at different keys, the pair is a claim on the younger one, and where several meet the same key in turn, on the younger
+    of the newcomer and the oldest one met so far. Claims only get earlier, each holds in the sequential fold, and once all
+    pairs end at one key nothing is missing: the claims are the fold. Pairs that agree are done, but a claim that gives way
+    is a pair again, so a round reads what is left. A round takes logarithmically many steps of the longest path, and a
+    chain takes a few rounds in whatever order its links come.
     """
-    def later(acc: Column, at: Column) -> Column:
-        last = acc[0]
-        moved = F.when(at > last["at"], F.struct(at.alias("at"), F.lit(0).alias("phase"))).otherwise(last)
-        return F.concat(F.array(moved), acc)
-
-    return F.aggregate(folds, F.array(value["t"]), later)
-
-
-def _first_arrival(f: str) -> Column:
-    """Aggregate: the field value that arrives first at the absorbing key."""
-    value = F.col(f)
-    first = F.min(F.when(value.isNotNull(), F.struct(_arrival(value, F.col("folds")).alias("e"), value["v"].alias("v"))))
-    return F.when(first.isNotNull(), F.struct(first["e"][0].alias("t"), first["v"].alias("v")))
-
-
-def _fold_rounds(nodes: DataFrame, edges: DataFrame, group: str) -> DataFrame:
-    """Fold core keys into older ones until no pair joins two of them; for cores of any size.
-
-    A key whose earliest pair leads to an older key was a group of its own until that pair, so it can
-    fold at once. An absorbing key keeps its age, so a round only touches the remaining pairs.
+    claims = pairs.groupBy(F.col("young").alias("id")).agg(F.min(F.struct("t", F.col("old").alias("up"))).alias("c")).select("id", "c.up", "c.t")
+    while True:
+        levels = _levels(claims)
+        ends = _climb(_climb(pairs, "old", levels, "t"), "young", levels, "t").where("old <> young")
+        left = cut_lineage(ends.select(F.least("old", "young").alias("old"), F.greatest("old", "young").alias("young"), "t"))
+        if left.isEmpty():
+            break
+        before = Window.partitionBy("young").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+        met = left.withColumn("oldest", F.coalesce(F.min("old").over(before), F.col("young"))).where("old <> oldest")
+        more = met.select(F.greatest("old", "oldest").alias("id"), F.struct("t", F.least("old", "oldest").alias("up")).alias("c"))
+        so_far = levels[0].select("id", F.struct("t", "up").alias("c"))
+        claims = cut_lineage(so_far.unionByName(more).groupBy("id").agg(F.min("c").alias("c")).select("id", "c.up", "c.t"))
+        # A claim that gave way to an earlier one is a pair to be looked at again.
+        late = so_far.join(claims, "id").where("c.t > t").select(F.col("c.up").alias("old"), F.col("id").alias("young"), F.col("c.t").alias("t"))
+        pairs = left.unionByName(late)
+    alive = _climb(levels[0].select("id", F.col("up").alias("at"), "t"), "at", levels, "t")
+    forest = _levels(alive.select("id", F.col("at").alias("up"), "t"))
+    release(*levels)
+    return forest[0], forest
+
+
+def _first_values(nodes: DataFrame, forest: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """(id, field, v): the value of each field that reaches a key first, for the keys at the top.
+
+    Times rise on the way up, so what a key hands on at time ``t`` arrives at the later of ``t`` and the earliest time in
+    its whole subtree: one number for a path of any length. Each key points at the child or at itself, whichever is first,
+    and the pointers from the top lead to the value.
     """
-    births = nodes.select(group, "k", "born")
-    older = births.select(group, F.col("k").alias("v"), F.col("born").alias("vb"))
-    edges = cut_lineage(edges.join(births.select(group, F.col("k").alias("u"), F.col("born").alias("ub")), [group, "u"]).join(older, [group, "v"]))
-    moves = nodes.select(group, "k", F.col("k").alias("cur"), F.array().cast("array<bigint>").alias("folds"))
-    while not edges.isEmpty():
-        ends = edges.select(group, F.col("u").alias("k"), F.col("ub").alias("kb"), F.col("v").alias("o"), F.col("vb").alias("ob"), "t").unionByName(
-            edges.select(group, F.col("v").alias("k"), F.col("vb").alias("kb"), F.col("u").alias("o"), F.col("ub").alias("ob"), "t")
-        )
-        first = ends.groupBy(group, "k").agg(F.min(F.struct("t", "o", "ob", "kb")).alias("e"))
-        folds = first.select(group, "k", "e.*").where("ob < kb or (ob = kb and o < k)").select(group, "k", "o", "ob", "t")
-        # A target that folds as well hands on to its own target; one whose second target moves waits.
-        hop = folds.select(group, F.col("k").alias("o"), F.col("o").alias("o2"), F.col("ob").alias("ob2"))
-        moving = folds.select(group, F.col("k").alias("root"), F.lit(True).alias("moving"))
-        ready = cut_lineage(
-            folds.join(hop, [group, "o"], "left")
-            .select(group, "k", F.coalesce("o2", "o").alias("root"), F.coalesce("ob2", "ob").alias("root_born"), "t")
-            .join(moving, [group, "root"], "left").where("moving is null").drop("moving")
-        )
-        to_u = ready.select(group, F.col("k").alias("u"), F.col("root").alias("ru"), F.col("root_born").alias("rub"))
-        to_v = ready.select(group, F.col("k").alias("v"), F.col("root").alias("rv"), F.col("root_born").alias("rvb"))
-        moved = edges.join(to_u, [group, "u"], "left").join(to_v, [group, "v"], "left").select(
-            group, F.struct(F.coalesce("ru", "u").alias("k"), F.coalesce("rub", "ub").alias("b")).alias("x"),
-            F.struct(F.coalesce("rv", "v").alias("k"), F.coalesce("rvb", "vb").alias("b")).alias("y"), "t",
-        )
-        edges = cut_lineage(
-            moved.where("x.k <> y.k").groupBy(group, F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("t").alias("t"))
-            .select(group, F.col("x.k").alias("u"), F.col("x.b").alias("ub"), F.col("y.k").alias("v"), F.col("y.b").alias("vb"), "t")
-        )
-        step = ready.select(group, F.col("k").alias("cur"), "root", "t")
-        moves = moves.join(step, [group, "cur"], "left").select(
-            group, "k", F.coalesce("root", "cur").alias("cur"),
-            F.when(F.col("t").isNotNull(), F.array_append("folds", F.col("t"))).otherwise(F.col("folds")).alias("folds"),
-        )
-    landed = nodes.join(moves, [group, "k"])
-    return landed.groupBy(group, F.col("cur").alias("k")).agg(
-        F.min("born").alias("born"), F.min_by("owner", F.struct("born", F.size("folds"))).alias("owner"),
-        F.sum("members").alias("members"), F.bool_or("core").alias("core"),
-        *[_first_arrival(f).alias(f) for f in CHILD_FIELDS],
-    )
-
-
-def _fold_in_order(edges: pa.Table, nodes: pa.Table) -> pa.Table:
-    """The same fold for one entity with a small core: pairs in time order, the older key absorbs."""
-    rows = {n["k"]: n for n in nodes.to_pylist()}
-    parent = {k: k for k in rows}
-
-    def find(k: str) -> str:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    def rank(value: dict) -> tuple:
-        return value["t"]["at"], value["t"]["phase"]
-
-    for e in sorted(edges.to_pylist(), key=lambda e: e["t"]):
-        keep, gone = sorted((find(e["u"]), find(e["v"])), key=lambda k: (rows[k]["born"], k))
-        if keep == gone:
-            continue
-        parent[gone] = keep
-        mine, other = rows[keep], rows.pop(gone)
-        mine["members"] += other["members"]
-        for f in CHILD_FIELDS:
-            value = other[f]
-            if value is None:
-                continue
-            if value["t"]["at"] < e["t"]:
-                value = {"t": {"at": e["t"], "phase": 0}, "v": value["v"]}
-            if mine[f] is None or rank(value) < rank(mine[f]):
-                mine[f] = value
-    return pa.Table.from_pylist(list(rows.values()), schema=nodes.schema)
-
-
-def _fold_core(nodes: DataFrame, edges: DataFrame, group: str, core_pairs: int) -> DataFrame:
-    """Entities with a counted, bounded core fold in one task each; larger cores fold in rounds."""
-    sizes = edges.groupBy(group).agg(F.count("*").alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0]
-    if largest is None:
-        return nodes
-    core, rest = nodes.where("core"), nodes.where("not core")
-
-    def small(n: DataFrame, e: DataFrame) -> DataFrame:
-        return e.groupBy(group).cogroup(n.groupBy(group)).applyInArrow(_fold_in_order, nodes.schema)
-
-    if largest <= core_pairs:
-        return rest.unionByName(small(core, edges))
-    large = sizes.where(F.col("n") > core_pairs).select(group)
-    folded = _fold_rounds(core.join(large, group, "left_semi"), edges.join(large, group, "left_semi"), group)
-    tight = small(core.join(large, group, "left_anti"), edges.join(large, group, "left_anti"))
-    return rest.unionByName(tight).unionByName(folded)
-
-
-def merge_children(rows: DataFrame, group: str = "slug", ord_col: str = "ord", core_pairs: int = CORE_PAIRS) -> DataFrame:
+    stated = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("field"), F.col(f"{f}.t.at").alias("at"), F.col(f"{f}.v").alias("v"))) for f in CHILD_FIELDS]))
+    own = cut_lineage(nodes.select("id", F.inline(stated)))
+    least = own.select("id", "field", "at")
+    for level in levels:
+        raised = least.join(level.select("id", "up"), "id").select(F.col("up").alias("id"), "field", "at")
+        least = cut_lineage(least.unionByName(raised).groupBy("id", "field").agg(F.min("at").alias("at")))
+    handed = least.join(forest, "id").select(
+        F.col("up").alias("id"), "field", F.struct(F.greatest("at", "t").alias("at"), F.when(F.col("at") < F.col("t"), 0).otherwise(1).alias("phase"), F.col("id").alias("from")).alias("c"))
+    mine = own.select("id", "field", F.struct("at", F.lit(1).alias("phase"), F.col("id").alias("from")).alias("c"))
+    point = cut_lineage(mine.unionByName(handed).groupBy("id", "field").agg(F.min("c").alias("c")).select("id", "field", F.col("c.from").alias("src")))
+    for _ in levels:
+        on = point.select(F.col("id").alias("src"), "field", F.col("src").alias("further"))
+        point = cut_lineage(point.join(on, ["src", "field"]).select("id", "field", F.col("further").alias("src")))
+    top = point.join(forest.select("id"), "id", "left_anti")
+    return top.join(own.select(F.col("id").alias("src"), "field", "v"), ["src", "field"]).select("id", "field", "v")
+
+
+def _fold_core(nodes: DataFrame, edges: DataFrame, group: str) -> DataFrame:
+    """Core keys folded into the groups they end in: owner, members and first values of each."""
+    nodes, pairs = _numbered(nodes, edges, group)
+    forest, levels = _fold_forest(pairs)
+    tops = _climb(nodes.select("id", F.col("id").alias("top"), group, "k", "born", "owner", "members"), "top", levels, None)
+    folded = tops.groupBy("top").agg(
+        F.min_by(group, "id").alias(group), F.min_by("k", "id").alias("k"), F.min("born").alias("born"), F.min_by("owner", "id").alias("owner"), F.sum("members").alias("members"))
+    values = _first_values(nodes, forest, levels).groupBy(F.col("id").alias("top")).agg(*[F.max(F.when(F.col("field") == f, F.col("v"))).alias(f) for f in CHILD_FIELDS])
+    return folded.join(values, "top", "left").drop("top")
+
+
+def merge_children(rows: DataFrame, group: str = "slug", ord_col: str = "ord") -> DataFrame:
     """Merged children: one row per distinct child of each entity.
 
     ``ord`` is unique and sortable within the group (source priority, then position).
     """
     pairs = cut_lineage(key_pairs(rows, group, ord_col))
     nodes, edges = _nodes(pairs, group)
-    nodes = _fold_core(cut_lineage(nodes), cut_lineage(edges), group, core_pairs)
-    flat = nodes.select(
+    nodes, edges = cut_lineage(nodes), cut_lineage(edges)
+    plain = [F.col(f"{f}.v").alias(f) for f in CHILD_FIELDS]
+    found = nodes.where("not core").select(group, "k", "born", "owner", "members", *plain)
+    if not edges.isEmpty():
+        found = found.unionByName(_fold_core(nodes.where("core"), edges, group))
+    flat = found.select(
         group, F.col("born").alias("ord"), "members",
         text.text_or_empty(F.col("owner.id")).alias("id"),
         text.text_or_empty(F.col("owner.name")).alias("name"),
-        *[F.col(f"{f}.v").alias(f) for f in CHILD_FIELDS],
+        *CHILD_FIELDS,
     ).withColumn("modality", facets.clean_modality(F.col("modality")))
     windowless = numbers.no_token_context(F.col("modality"), F.col("id"), F.col("name"))
     return flat.withColumn("context", F.when(~windowless, F.col("context"))).withColumn(
