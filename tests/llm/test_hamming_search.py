@@ -67,6 +67,7 @@ def test_every_code_within_the_radius_is_found():
     shard = hamming_search.Shard(np.zeros((500, 1), np.float32), codes, [np.array([k]) for k in range(500)])
     for radius in (0, 5, 7, 8, 20, 47, 64, 128):
         found = shard.found(codes[0], radius // 8)
+        assert (shard.within(codes[:3], np.full(3, radius)) == (hamming_search.distances(codes[None], codes[:3, None]) <= radius)).all()
         assert set(np.flatnonzero(hamming_search.distances(codes, codes[0]) <= radius)) <= set(found.tolist()) and len(set(found)) == len(found)
 
 

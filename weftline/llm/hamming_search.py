@@ -5,15 +5,16 @@ one more component, ``sqrt(M**2 - |x|**2)`` for the longest norm ``M`` and 0 for
 sample (iterative quantisation of the leading directions) gives ``BITS`` signs.
 
 A shard holds a bounded share of the classes with their codes cut into substrings of ``WIDTH`` bits, each with an index
-of the values that occur. A query with radius r looks up, in every substring, all values within floor(r / substrings) bits,
-as flipped copies of its own or by comparison with the values there are, whichever are fewer: by pigeonhole no code
-within r is missed. What is found is checked on the whole code and scored on the vectors.
-
-The radius is the query's own. A first round looks up values within ``PROBE`` bits and scores all it meets; that gives a
-lower bound of the last answer's score, so an upper bound of its angle. The sample tells how far codes of vectors at such
-an angle lie apart but for one in ``1 / (1 - CAUGHT)``; the second round retrieves every code within that distance. So the
-radius follows from the data at every size, recall does not hang on a cap of candidates, and queries that met too few in
-the first round take all codes. Queries go through the shards in blocks.
+of the values that occur. A query with radius r looks up, in every substring, all values within floor(r / substrings) bits:
+by pigeonhole no code within r is missed. What is found is checked on the whole code and scored on the vectors. Where the
+values to look up would be more than the shard holds, the codes themselves are compared, which finds the same.
+
+The radius is the query's own. It follows from a lower bound of the last answer's score, so an upper bound of its angle:
+the sample tells how far codes of vectors at such an angle lie apart but for one in ``1 / (1 - CAUGHT)``, and every code
+within that distance is retrieved. A query's first bound is the k-th score among the values within ``PROBE`` bits in its
+first shard; then shards come in waves, each as many as all before, and a wave starts from the bounds of those before it.
+So the radius follows from the data at every size, recall does not hang on a cap of candidates, and a wave gives about as
+many answers as the one before. A query that met too few takes all codes. Queries go through a shard in blocks.
 """
 
 from __future__ import annotations
@@ -35,9 +36,8 @@ BITS, WIDTH, PROBE, CAUGHT = 128, 16, 2, 0.98
 #: Classes and bytes of the sample that rotation and radii are learned on.
 SAMPLE, SAMPLE_BYTES = 8192, 64 << 20
 #: Most bytes of vectors in a shard, and classes from which on one more shard is worth a task of its own; queries of a
-#: block, pairs scored at once.
-SHARD_BYTES, SHARD_ROWS, BLOCK, PAIRS = 32 << 20, 4096, 256, 1 << 18
-_POP = np.array([bin(k).count("1") for k in range(1 << 16)], np.uint8)
+#: block, pairs of a block.
+SHARD_BYTES, SHARD_ROWS, BLOCK, PAIRS = 32 << 20, 4096, 256, 1 << 22
 
 
 def rotation(sample: np.ndarray, bits: int, rounds: int = 20, seed: int = 0) -> np.ndarray:
@@ -63,7 +63,7 @@ def codes_of(x: np.ndarray, turn: np.ndarray) -> np.ndarray:
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return _POP[a ^ b].sum(axis=-1, dtype=np.int32)
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
 
 
 def radii(sample: np.ndarray, codes: np.ndarray, caught: float, bins: int = 40) -> np.ndarray:
@@ -98,7 +98,7 @@ class Shard:
     """Classes of a shard: their vectors, codes, and for each substring the values in order with the rows they lead to."""
 
     def __init__(self, vectors: np.ndarray, codes: np.ndarray, ids: list[np.ndarray]) -> None:
-        self.vectors, self.codes = vectors, codes
+        self.vectors, self.codes, self.words = vectors, codes, np.ascontiguousarray(codes).view(np.uint64)
         self.count = np.array([len(i) for i in ids], np.int64)
         self.ids, self.first = np.concatenate(ids), np.concatenate([[0], np.cumsum(self.count)[:-1]])
         self.index = []
@@ -116,34 +116,55 @@ class Shard:
                 at = np.searchsorted(values, probe)
                 at = at[values[np.minimum(at, len(values) - 1)] == probe]
             else:
-                at = np.flatnonzero(_POP[values ^ code[j]] <= most)
+                at = np.flatnonzero(np.bitwise_count(values ^ code[j]) <= most)
             n = start[at + 1] - start[at]
             hit[order[np.repeat(start[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]] = True
         return np.flatnonzero(hit)
 
-    def best(self, query: np.ndarray, own: int, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best among the rows, the query's own id left out; ties to smaller ids."""
-        rough = np.concatenate([self.vectors[rows[s : s + PAIRS]].astype(np.float64) @ query for s in range(0, len(rows), PAIRS)]) if len(rows) else np.zeros(0)
-        if len(rows) > k + 1:
-            least = np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1]
-            with np.errstate(invalid="ignore"):
-                near = ~(rough < least - 1e-9 * max(1.0, np.abs(query).max()) * max(1.0, np.abs(least)))
-            rows = rows[near]
-        score = exact(self.vectors[rows].astype(np.float64), query)
+    def within(self, codes: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """Which rows have a code within each query's radius."""
+        most = radius // codes.shape[1]
+        out = np.zeros((len(codes), len(self.codes)), bool)
+        narrow = np.array([r <= 4 and len(flips(WIDTH, int(r))) < len(self.codes) // 4 for r in most])
+        for q in np.flatnonzero(narrow):
+            rows = self.found(codes[q], int(most[q]))
+            out[q, rows[distances(self.codes[rows], codes[q]) <= radius[q]]] = True
+        wide = np.flatnonzero(~narrow)
+        if len(wide):
+            words = np.ascontiguousarray(codes[wide]).view(np.uint64)
+            apart = sum(np.bitwise_count(words[:, None, w] ^ self.words[None, :, w]).astype(np.int16) for w in range(words.shape[1]))
+            out[wide] = apart <= radius[wide, None]
+        return out
+
+    def best(self, x: np.ndarray, own: np.ndarray, among: np.ndarray, bound: np.ndarray, k: int, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score): for each query its k best among the marked rows and not under its bound, its own id left out.
+
+        The k + 1 best rows are picked on a matrix product with some slack, and their scores computed anew.
+        """
+        with np.errstate(invalid="ignore", over="ignore"):
+            rough = np.where(among, x @ self.vectors.astype(np.float64).T, -np.inf)
+            slack = 1e-9 * scale * np.sqrt((x * x).sum(axis=1))
+            least = bound - slack
+            if rough.shape[1] > k + 1:
+                least = np.fmax(least, np.partition(rough, -k - 1, axis=1)[:, -k - 1] - slack)
+            q, rows = np.nonzero(among & ~(rough < least[:, None]))
+        score = exact(self.vectors[rows].astype(np.float64), x[q])
         n = self.count[rows]
         ids = self.ids[np.repeat(self.first[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())] if len(rows) else self.ids[:0]
-        score = np.repeat(score, n)
-        other = ids != own
-        ids, score = ids[other], score[other]
-        order = np.lexsort((ids, -score))[:k]
-        return ids[order], score[order]
+        q, score = np.repeat(q, n), np.repeat(score, n)
+        other = (ids != own[q]) & ~(score < bound[q])
+        q, ids, score = q[other], ids[other], score[other]
+        order = np.lexsort((ids, -score, q))
+        q, ids, score = q[order], ids[order], score[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        return q[place < k], ids[place < k], score[place < k]
 
 
 def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Inner products in double precision, summed from the first component on, so that they do not depend on the batch."""
     out = np.zeros(len(x))
     for c in range(x.shape[1]):
-        out += x[:, c] * q[c]
+        out += x[:, c] * q[..., c]
     return out
 
 
@@ -177,13 +198,15 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, bits: int = BITS,
     shared = vectors.sparkSession.sparkContext.broadcast(learned)
     asked = cut_lineage(rows.where(F.col("id") % every == 0).select("id", "v").distinct())
     shards = F.element_at(F.create_map(*[F.lit(x) for d, m in learned.items() for x in (d, int(m[3]))]), F.size("v")) if learned else F.lit(1)
-    stored = classes.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("class", F.lit(1)), shards).cast("int").alias("shard"), F.lit(False).alias("asks"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("radius"), "v", "ids")
+    stored = classes.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("class", F.lit(1)), shards).cast("int").alias("shard"), F.lit(False).alias("asks"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("bound"), "v", "ids")
 
-    def search(queries: DataFrame) -> DataFrame:
-        """The k best of each query in each shard; a null radius is the first round."""
-        spread = queries.select(F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), (shards - 1).cast("int"))).alias("shard"), F.lit(True).alias("asks"), "id", "radius", "v", F.lit(None).cast("array<bigint>").alias("ids"))
-        both = stored.unionByName(spread).repartition(max(1, sum(m[3] for m in learned.values())), "dim", "shard").sortWithinPartitions("dim", "shard", "asks")
-        return both.mapInArrow(answer, "id long, vec_id long, score double")
+    def search(queries: DataFrame, low: int, high: int) -> DataFrame:
+        """The k best of each query in each of the shards from ``low`` on, those under its bound left out."""
+        several = F.explode(F.sequence(F.lit(low), F.least(F.lit(high), shards.cast("int")) - 1))
+        spread = queries.where(shards > low).select(F.size("v").alias("dim"), several.alias("shard"), F.lit(True).alias("asks"), "id", "bound", "v", F.lit(None).cast("array<bigint>").alias("ids"))
+        both = stored.where((F.col("shard") >= low) & (F.col("shard") < high)).unionByName(spread)
+        tasks = max(1, sum(max(0, min(high, m[3]) - low) for m in learned.values()))
+        return both.repartition(tasks, "dim", "shard").sortWithinPartitions("dim", "shard", "asks").mapInArrow(answer, "id long, vec_id long, score double")
 
     def answer(batches: Iterator[pa.RecordBatch]):
         key, shard, parts = None, None, []
@@ -191,56 +214,60 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, bits: int = BITS,
             head = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
             at = 0
             while at < len(head):
-                stop = at + 1
-                while stop < len(head) and stop < at + BLOCK and head[stop] == head[at]:
-                    stop += 1
                 dim, number, asks = head[at]
                 if key != (dim, number):
                     key, shard, parts = (dim, number), None, []
+                if asks and shard is None:
+                    whole = np.concatenate([p for p, _ in parts])
+                    longest, turn = shared.value[dim][:2]
+                    codes = np.concatenate([codes_of(longer(whole[s : s + 4096].astype(np.float64), longest), turn) for s in range(0, len(whole), 4096)])
+                    shard, parts = Shard(whole, codes, [i for _, p in parts for i in p]), []
+                most = max(1, min(BLOCK, PAIRS // len(shard.codes))) if asks else 4096
+                stop = at + 1
+                while stop < len(head) and stop < at + most and head[stop] == head[at]:
+                    stop += 1
                 part = batch.slice(at, stop - at)
                 x = part.column(5).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                if not asks:
-                    parts.append((x.astype(kind), [np.array(i, np.int64) for i in part.column(6).to_pylist()]))
+                if asks:
+                    yield block(shard, dim, part.column(3).to_numpy(), np.array(part.column(4).fill_null(-np.inf).to_pylist()), x.astype(np.float64))
                 else:
-                    if shard is None:
-                        x_all = np.concatenate([p for p, _ in parts])
-                        longest, turn = shared.value[dim][:2]
-                        codes = np.concatenate([codes_of(longer(x_all[s : s + 4096].astype(np.float64), longest), turn) for s in range(0, len(x_all), 4096)])
-                        shard, parts = Shard(x_all, codes, [i for _, p in parts for i in p]), []
-                    yield block(shard, dim, part.column(3).to_pylist(), part.column(4).to_pylist(), x.astype(np.float64))
+                    parts.append((x.astype(kind), [np.array(i, np.int64) for i in part.column(6).to_pylist()]))
                 at = stop
 
-    def block(shard: Shard, dim: int, ids: list, radius: list, x: np.ndarray) -> pa.RecordBatch:
-        size = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        codes = codes_of(np.concatenate([x / size, np.zeros((len(x), 1))], axis=1), shared.value[dim][1])
-        out = []
-        for q, i, r, c in zip(x, ids, radius, codes, strict=True):
-            rows = shard.found(c, PROBE if r is None else r // codes.shape[1])
-            if r is not None:
-                rows = rows[distances(shard.codes[rows], c) <= r]
-            names, score = shard.best(q, i, rows, k)
-            out.append((np.full(len(names), i), names, score))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["id", "vec_id", "score"])
+    def block(shard: Shard, dim: int, ids: np.ndarray, bound: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        longest, turn, table, _ = shared.value[dim]
+        size = np.sqrt((x * x).sum(axis=1))
+        codes = codes_of(np.concatenate([x / size[:, None], np.zeros((len(x), 1))], axis=1), turn)
+        fresh = np.flatnonzero(np.isneginf(bound))
+        if len(fresh):  # no bound yet: the k-th score of what the first look-ups meet
+            met = np.zeros((len(fresh), len(shard.codes)), bool)
+            for row, q in enumerate(fresh):
+                met[row, shard.found(codes[q], PROBE)] = True
+            q, _, score = shard.best(x[fresh], ids[fresh], met, bound[fresh], k, longest)
+            full = np.flatnonzero(np.bincount(q, minlength=len(fresh)) == k)
+            bound = bound.copy()
+            bound[fresh[full]] = score[np.searchsorted(q, full, side="right") - 1]
+        with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
+            cosine = bound / size / longest
+        place = np.clip(((np.where(np.isfinite(cosine), cosine, -1) + 1) * len(table) / 2).astype(int), 0, len(table) - 1)
+        radius = np.where(np.isfinite(cosine), table[place], turn.shape[1])
+        q, names, score = shard.best(x, ids, shard.within(codes, radius), bound, k, longest)
+        return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(names), pa.array(score)], ["id", "vec_id", "score"])
 
     best = Window.partitionBy("id").orderBy(F.col("score").desc(), "vec_id")
-    first = search(asked.withColumn("radius", F.lit(None).cast("int"))).withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("id", "score")
-
-    def reach(batches: Iterator[pa.RecordBatch]):
-        """The radius of each query: that of its bound's angle, or the whole code without a bound."""
-        for batch in batches:
-            x, bound = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            out = []
-            for v, score in zip(x, bound, strict=True):
-                longest, turn, table, _ = shared.value[len(v)]
-                size = float(np.sqrt(np.square(np.array(v, np.float64)).sum()))
-                cosine = -1.0 if score is None or not np.isfinite(score / size / longest) else score / size / longest
-                out.append(turn.shape[1] if score is None else int(table[min(max(int((cosine + 1) * len(table) / 2), 0), len(table) - 1)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], ["id", "v", "radius"])
-
-    told = cut_lineage(asked.join(first, "id", "left").select("id", "v", "score").mapInArrow(reach, f"id long, v array<{element}>, radius int"))
-    answers = cut_lineage(search(told))
-    release(asked, told)
-    return answers.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(F.col("id").alias("query_id"), "rank", "vec_id", "score")
+    answers, low = None, 0
+    while low < max([1, *(m[3] for m in learned.values())]):
+        high, before = max(1, 2 * low), answers
+        bound = F.lit(None).cast("double").alias("bound")
+        told = asked.select("id", "v", bound) if before is None else asked.join(before.where(F.col("rank") == k).select("id", F.col("score").alias("bound")), "id", "left").select("id", "v", "bound")
+        seen = search(told, low, high)
+        seen = seen if before is None else seen.unionByName(before.select("id", "vec_id", "score"))
+        answers = cut_lineage(seen.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
+        if before is not None:
+            release(before)
+        low = high
+    release(asked)
+    return answers.select(F.col("id").alias("query_id"), "rank", "vec_id", "score")
 
 
 def longer(x: np.ndarray, longest: float) -> np.ndarray:
