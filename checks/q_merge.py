@@ -48,10 +48,31 @@ def _(spark, sf):
     return merge.merge_children(bind.view(spark, sf, "cx")).select("slug", "id", "name", "ord", F.col("members").cast("bigint").alias("members"))
 
 
-@case("merge_children_values")
+# Values in fold order, said without a fold: two keys are one group from the smallest largest time on a path between them
+# (``mm``). A value reaches the oldest key then or at its own time, whichever is later; values that wait for the same pair
+# are told apart by when they reached the group that joined over it, and so on inwards (``e``).
+@case("merge_children_values", with_views(f"""
+, k AS (SELECT *, 'a' || {s.model_key('name')} AS ka, 'b' || {s.slugify('id')} AS kb FROM cx),
+pr AS (SELECT slug, ka, kb, min(ord) AS t FROM k GROUP BY ALL),
+ed AS (SELECT slug, ka AS x, kb AS y, t FROM pr UNION ALL SELECT slug, kb, ka, t FROM pr),
+nd AS (SELECT slug, x, min(t) AS born FROM ed GROUP BY slug, x),
+pt(slug, x, y, t) AS (SELECT slug, x, x, -1::BIGINT FROM nd UNION SELECT pt.slug, pt.x, ed.y, greatest(pt.t, ed.t) FROM pt JOIN ed ON ed.slug = pt.slug AND ed.x = pt.y),
+mm AS (SELECT pt.slug, pt.x, y, min(t) AS t, min(born) AS born FROM pt JOIN nd ON nd.slug = pt.slug AND nd.x = y GROUP BY pt.slug, pt.x, y),
+rt AS (SELECT slug, x, min((born, y)) AS r FROM mm GROUP BY slug, x),
+vs AS (SELECT slug, ka, ord, unnest([{{'f': 'context', 'v': context}}, {{'f': 'max_output', 'v': max_output}}, {{'f': 'modality', 'v': modality}}, {{'f': 'rate_limit', 'v': rate_limit}}], recursive := true) FROM k),
+go(slug, ka, ord, f, v, r, e, live) AS (
+  SELECT vs.slug, ka, ord, f, v, r, CAST([] AS BIGINT[]), true FROM vs JOIN rt ON rt.slug = vs.slug AND rt.x = ka WHERE nullif(v, '') IS NOT NULL
+  UNION ALL
+  SELECT g.slug, g.ka, g.ord, g.f, g.v, (SELECT min((i.born, i.y)) FROM mm i WHERE i.slug = g.slug AND i.x = g.ka AND i.t < m.t OR i.slug = g.slug AND i.x = g.ka AND i.y = g.ka),
+    g.e || [CASE WHEN g.ord >= m.t THEN 2 * g.ord + 1 ELSE 2 * m.t END], g.ord < m.t
+  FROM go g JOIN mm m ON m.slug = g.slug AND m.x = g.ka AND m.y = g.r[2] WHERE g.live),
+fv AS (SELECT go.slug, rt.r, f, min_by(v, e) AS v FROM go JOIN rt ON rt.slug = go.slug AND rt.x = ka WHERE NOT live GROUP BY go.slug, rt.r, f),
+z AS (SELECT k.slug, r, min_by(id, ord) AS id, min_by(name, ord) AS name, min(ord) AS ord, count(*) AS members FROM k JOIN rt ON rt.slug = k.slug AND rt.x = ka GROUP BY k.slug, r),
+w AS (SELECT slug, r, max(v) FILTER (WHERE f = 'context') AS c, max(v) FILTER (WHERE f = 'max_output') AS o, max(v) FILTER (WHERE f = 'modality') AS modality, max(v) FILTER (WHERE f = 'rate_limit') AS rate_limit FROM fv GROUP BY slug, r)
+SELECT z.slug, ord, members, id, name, CASE WHEN NOT {s.no_token('modality', 'id', 'name')} THEN c END AS context, CASE WHEN NOT {s.no_token('modality', 'id', 'name')} THEN o END AS max_output, modality, rate_limit
+FROM z LEFT JOIN w ON w.slug = z.slug AND w.r = z.r""", "cx", recursive=True))
 def _(spark, sf):
-    """Field values in sequential fold order: not expressible in SQL, tested against a replay."""
-    return merge.merge_children(bind.view(spark, sf, "cx"))
+    return merge.merge_children(bind.view(spark, sf, "cx")).withColumn("members", F.col("members").cast("bigint"))
 
 
 # Same keys throughout, so that no row bridges and the first stated value decides.
