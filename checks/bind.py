@@ -16,7 +16,7 @@ from checks import sqlfn as s
 from weftline.functions import fixed
 from weftline.operators import merge
 from weftline.operators.diff import Snapshot
-from weftline.session import checkpoint_dir
+from weftline.session import scratch_folder
 
 RUN_AT = "2026-01-02T12:00:00.000Z"
 PRIO = "CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END"
@@ -186,7 +186,7 @@ def published(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """The catalogue as queries meet it: merged once per session and scale, then read as a table."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _PUBLISHED:
-        root = f"{checkpoint_dir(spark)}/catalogue-{uuid.uuid4().hex}"
+        root = f"{scratch_folder(spark)}/catalogue-{uuid.uuid4().hex}"
         _merge_models(spark, sf).write.parquet(f"{root}/models")
         merged = merge.merge_entities(view(spark, sf, "p"), spark.read.parquet(f"{root}/models"), RUN_AT)
         merged.write.parquet(f"{root}/providers")

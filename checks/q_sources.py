@@ -10,7 +10,7 @@ from checks import bind, sqlfn as s
 from checks.bind import TEXT, with_views
 from checks.registry import case
 from weftline.operators import changelog, clusters, export, rollups
-from weftline.session import checkpoint_dir
+from weftline.session import scratch_folder
 from weftline.sources import html_tables, json_payloads, markdown, projects, snapshots
 
 # One JSON document per part: good, duplicate, note and mistyped models, and broken documents.
@@ -170,7 +170,7 @@ _LIMIT = "CASE WHEN p_partkey % 4 < 2 THEN p_size || ' requests/minute, 50 reque
 
 
 @case("markdown_bullets", f"""
-SELECT p_partkey AS doc_id, {s.slugify("p_name || '-7b'")} AS id, p_name || '-7b' AS name, {_LIMIT} AS rate_limit FROM part
+SELECT p_partkey AS doc_id, 1 AS block, {s.slugify("p_name || '-7b'")} AS id, p_name || '-7b' AS name, {_LIMIT} AS rate_limit FROM part
 UNION ALL SELECT p_partkey, {s.slugify("p_type || ' ' || p_size")}, p_type || ' ' || p_size, {_LIMIT} FROM part
 UNION ALL SELECT p_partkey, {s.slugify("p_name || '-7b'")}, upper(p_name) || '-7B', {_LIMIT} FROM part""")
 def _(spark, sf):
@@ -202,7 +202,7 @@ def _(spark, sf):
 
 
 @case("dispatch_by_format", f"""
-SELECT p_partkey AS doc_id, {s.slugify("p_name || '-7b'")} AS id, p_name || '-7b' AS name, {_LIMIT} AS rate_limit FROM part
+SELECT p_partkey AS doc_id, 1 AS block, {s.slugify("p_name || '-7b'")} AS id, p_name || '-7b' AS name, {_LIMIT} AS rate_limit FROM part
 UNION ALL SELECT p_partkey, 1, {s.slugify("p_type || ' ' || p_size")}, p_type || ' ' || p_size, {_LIMIT} FROM part
 UNION ALL SELECT p_partkey, 2, {s.slugify('p_name')}, p_name, p_size || ' RPM' FROM part""")
 def _(spark, sf):
@@ -245,7 +245,7 @@ PROVIDER_STATE = "slug string, name string, model_count bigint, max_context stri
 
 def _published(spark, sf):
     """A run written to the shared folder of the session."""
-    root = f"{checkpoint_dir(spark)}/published-{uuid.uuid4().hex}"
+    root = f"{scratch_folder(spark)}/published-{uuid.uuid4().hex}"
     p = bind.providers(spark, sf).select("slug", "name", F.col("model_count").cast("bigint").alias("model_count"), "max_context", "synced_at")
     snapshots.publish_run({"providers": p}, root, "2026-01-02")
     return root

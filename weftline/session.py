@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
-_FOLDERS: set[str] = set()
+_FOLDERS: dict[str, tuple] = {}
 
 
 def local_session(cpus: int | str = "*", app: str = "weftline", shuffle_partitions: int = 8) -> SparkSession:
@@ -43,27 +44,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder every executor can reach")
     made = tempfile.mkdtemp(prefix="weftline-ckpt-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     sc.setCheckpointDir(made)
     return made
 
 
 def scratch_folder(spark: SparkSession) -> str:
     """Folder of this application under the shared checkpoint folder; it goes when the Python driver ends."""
-    folder = f"{checkpoint_dir(spark)}/weftline-{spark.sparkContext.applicationId}"
+    sc = spark.sparkContext
+    folder = f"{checkpoint_dir(spark)}/weftline-{sc.applicationId}"
     if folder not in _FOLDERS:
-        _FOLDERS.add(folder)
-        atexit.register(_remove, spark, folder)
+        # Kept beside the folder, as a stopped session has neither.
+        _FOLDERS[folder] = (sc._jvm, sc._jsc.hadoopConfiguration())
+        atexit.register(_remove, folder, folder)
     return folder
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is None:  # the session ended first
-        return
+def _remove(folder: str, path: str) -> None:
+    """Delete a path in a scratch folder, also once its session has stopped."""
+    jvm, conf = _FOLDERS[folder]
     try:
         target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except (Py4JError, OSError):  # a stopped session, at exit: the folder is named after the application and harmless
+        target.getFileSystem(conf).delete(target, True)
+    except (Py4JError, OSError):  # the JVM ended first: the folder is named after the application and harmless
         pass
 
 
@@ -86,4 +89,4 @@ def release(*tables: DataFrame) -> None:
     """Delete tables that ``cut_lineage`` wrote and that no later plan reads."""
     for df in tables:
         if path := getattr(df, "_cut_path", None):
-            _remove(df.sparkSession, path)
+            _remove(path.rpartition("/")[0], path)
