@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.hashing import ALNUM, mix, small_batches, text_buffer, words_of
+from weftline.llm.memory import frugal
 from weftline.session import cut_lineage
 
 #: Independent walks, steps sampled of each, and log2 of a bitmap's size.
@@ -126,7 +127,7 @@ def _index(items: DataFrame) -> DataFrame:
                         "key": pa.array(keys.view(np.int64)), "item_id": pa.array([item] * len(keys), pa.int64()),
                         "size": pa.array([size] * len(keys), pa.int32()), "level": pa.array([level] * len(keys), pa.int32())})
 
-    return items.mapInArrow(rows, "key long, item_id long, size int, level int")
+    return items.mapInArrow(frugal(rows), "key long, item_id long, size int, level int")
 
 
 def _bitmaps(index: DataFrame) -> dict[tuple[int, int], np.ndarray]:
@@ -191,7 +192,7 @@ def candidates(docs: DataFrame, maps: dict[tuple[int, int], np.ndarray], percent
                     "size": pa.array([o[1] for o in out], pa.int32()),
                     "keys": pa.array([o[2] for o in out], pa.list_(pa.int64())), "stretch": pa.array([o[3] for o in out], pa.list_(pa.int64()))})
 
-    return docs.mapInArrow(rows, "doc_id long, text_key long, size int, keys array<long>, stretch array<long>")
+    return docs.mapInArrow(frugal(rows), "doc_id long, text_key long, size int, keys array<long>, stretch array<long>")
 
 
 def fitting_distance(item: np.ndarray, stretch: np.ndarray) -> int:
@@ -229,7 +230,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, text:
         for batch, h, first in _words(batches):
             yield pa.RecordBatch.from_pydict({"item_id": batch.column(0), "item": pa.array([h[s:e].view(np.int64) for s, e in zip(first[:-1], first[1:], strict=True)], pa.list_(pa.int64()))})
 
-    item_words = items.mapInArrow(tokens, "item_id long, item array<long>").distinct()
+    item_words = items.mapInArrow(frugal(tokens), "item_id long, item array<long>").distinct()
 
     def verify(batches):
         for batch in batches:
@@ -241,5 +242,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, text:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text_key": batch.column(1), "item_id": batch.column(2), "item_words": pa.array([len(i) for i in item], pa.int32()), "edits": pa.array(edits, pa.int32())})
 
     both = near.select("hit", "doc_id", "text_key", "stretch").dropDuplicates(["hit"]).join(pairs, "hit").join(item_words, "item_id")
-    checked = both.select("doc_id", "text_key", "item_id", "stretch", "item").mapInArrow(verify, "doc_id long, text_key long, item_id long, item_words int, edits int")
+    checked = both.select("doc_id", "text_key", "item_id", "stretch", "item").mapInArrow(frugal(verify), "doc_id long, text_key long, item_id long, item_words int, edits int")
     return checked.where(F.expr(f"100 * edits <= {100 - percent} * item_words")).groupBy("doc_id", "text_key", "item_id").agg(F.max("item_words").alias("item_words"), F.min("edits").alias("edits"))

@@ -31,12 +31,15 @@ from pyspark.sql import functions as F
 
 from weftline.llm import graph, sketch
 from weftline.llm.hashing import SPACED, mix, small_batches, text_buffer, words_of
+from weftline.llm.memory import frugal
 from weftline.session import cut_lineage, release
 
 #: log2 of the counters that order shingles, and of the bitmap of sets to be compared. Fixed: they bound what is broadcast.
 ORDER_BITS, WANTED_BITS = 22, 22
 #: Smallest and largest bitmap of a set, bits; sets in a leaf and in a branch.
 BITS, LEAF, BRANCH = (1024, 32768), 32, 4096
+#: Sets that a task remembers to have met, so that copies near each other go out once; others meet after the shuffle.
+MET = 1 << 16
 _SEEDS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
@@ -115,7 +118,7 @@ def _blocks(texts: DataFrame, words: int, percent: int) -> DataFrame:
             parts, ids, sizes, rests = [], [], [], []
             for x in sets:
                 if len(x) and (sid := set_id(x)) not in seen:
-                    seen.add(sid)
+                    _meet(seen, sid)
                     parts.append(prefix(x, counts, percent))
                     ids.append(sid)
                     sizes.append(len(x))
@@ -156,9 +159,9 @@ def _blocks(texts: DataFrame, words: int, percent: int) -> DataFrame:
             after = int(each[which[-1] + 1])
             token, hub, latest = t[-1], [h[which[-1]] for h in hubs], [c[-1] for c in member]
 
-    by_token = texts.select("text").mapInArrow(rows, "token long, sid long, n int, rest int").repartition("token")
+    by_token = texts.select("text").mapInArrow(frugal(rows), "token long, sid long, n int, rest int").repartition("token")
     ordered = by_token.sortWithinPartitions("token", F.xxhash64("sid", "token"), "sid")
-    return ordered.mapInArrow(groups, "token long, hub long, hub_n int, hub_rest int, prev long, prev_n int, prev_rest int, sid long, n int, rest int, several boolean")
+    return ordered.mapInArrow(frugal(groups), "token long, hub long, hub_n int, hub_rest int, prev long, prev_n int, prev_rest int, sid long, n int, rest int, several boolean")
 
 
 def _members(texts: DataFrame, wanted: np.ndarray, words: int) -> DataFrame:
@@ -173,13 +176,19 @@ def _members(texts: DataFrame, wanted: np.ndarray, words: int) -> DataFrame:
             for x, sid in zip(sets, ids, strict=True):
                 new = len(x) and _holds(wanted, sid) and sid not in seen
                 if new:
-                    seen.add(sid)
+                    _meet(seen, sid)
                 bits.append(signature(x) if new else None)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(batch.schema.get_field_index("doc_id")), "text_key": batch.column(batch.schema.get_field_index("text_key")),
                 "n": pa.array([len(x) for x in sets], pa.int32()), "sid": pa.array(ids, pa.int64()), "bits": pa.array(bits, pa.binary())})
 
-    return texts.mapInArrow(rows, "doc_id long, text_key long, n int, sid long, bits binary")
+    return texts.mapInArrow(frugal(rows), "doc_id long, text_key long, n int, sid long, bits binary")
+
+
+def _meet(seen: set[int], sid: int) -> None:
+    if len(seen) >= MET:
+        seen.clear()
+    seen.add(sid)
 
 
 def _holds(packed: np.ndarray, key: int) -> int:
@@ -202,11 +211,11 @@ def _sets(texts: DataFrame, every: DataFrame, pairs: DataFrame, words: int) -> D
                 yield batch.filter(pa.array((wanted[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
 
         for _, sets in shingle_sets(chosen(), words):
-            new = [(sid, x.view(np.int64)) for x in sets if len(x) and (sid := set_id(x)) not in seen and not seen.add(sid)]
+            new = [(sid, x.view(np.int64)) for x in sets if len(x) and (sid := set_id(x)) not in seen and not _meet(seen, sid)]
             if new:
                 yield pa.RecordBatch.from_pydict({"sid": pa.array([i for i, _ in new], pa.int64()), "tokens": pa.array([x for _, x in new], pa.list_(pa.int64()))})
 
-    return texts.select("text_key", "text").mapInArrow(rows, "sid long, tokens array<long>").dropDuplicates(["sid"])
+    return texts.select("text_key", "text").mapInArrow(frugal(rows), "sid long, tokens array<long>").dropDuplicates(["sid"])
 
 
 def _signatures(every: DataFrame) -> DataFrame:
@@ -246,7 +255,7 @@ def _may_link(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFram
                     ok[at] = (100 + percent) * _most(x, y, n1[at], n2[at]) >= percent * (n1[at] + n2[at])
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
-    return both.mapInArrow(enough, "a long, b long")
+    return both.mapInArrow(frugal(enough), "a long, b long")
 
 
 def _most(x: np.ndarray, y: np.ndarray, n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
@@ -373,10 +382,10 @@ def _tree_pairs(blocks: DataFrame, signatures: DataFrame, found: DataFrame, perc
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     schema = ", ".join(f"{c} long" for c in [*unit, *member])
-    light = cut_lineage(together(alone.union(sides[0]).union(sides[1])).mapInArrow(fitting, schema))
+    light = cut_lineage(together(alone.union(sides[0]).union(sides[1])).mapInArrow(frugal(fitting), schema))
     release(rows)
     full = light.join(signatures.select("sid", "bits"), "sid").select(*unit, *member, "bits")
-    pairs = cut_lineage(together(full).mapInArrow(follow, "a long, b long").distinct())
+    pairs = cut_lineage(together(full).mapInArrow(frugal(follow), "a long, b long").distinct())
     release(light)
     return pairs
 

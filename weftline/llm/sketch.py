@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from weftline.llm.memory import frugal
+
 #: Counters in one shuffled row.
 BLOCK = 1 << 13
 
@@ -40,7 +42,7 @@ def count_hashes(df: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Ite
             yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "counts": pa.array([np.minimum(s, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
 
     schema = "block int, counts binary"
-    parts = df.mapInArrow(tally, schema).repartition(min(blocks, 32), "block").mapInArrow(add, schema)
+    parts = df.mapInArrow(frugal(tally), schema).repartition(min(blocks, 32), "block").mapInArrow(frugal(add), schema)
     total = np.zeros(1 << bits, dtype=np.int32)
     for row in parts.collect():
         total[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["counts"], dtype=np.int32)

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.memory import give_back
 from weftline.session import cut_lineage, release
 
 #: Labelled rows in the sample, features kept, and the least number of sampled texts that hold a feature.
@@ -30,7 +31,7 @@ LEAST_ERRORS = 2.0
 #: Scores from here on are rejected.
 THRESHOLD = 0.3
 #: Cached words of a worker.
-CACHED = 300_000
+CACHED = 1 << 16
 
 # Identity terms, by group.
 IDENTITY_TERMS = [
@@ -260,8 +261,12 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", to: str = "sco
     """All columns plus the score of each whole text, from 0 to 1; null and empty texts get the score of no words."""
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(model.score).astype(float)
+        try:
+            for texts in batches:
+                yield texts.map(model.score).astype(float)
+        finally:
+            model.known.clear()
+            give_back()
 
     return docs.withColumn(to, scores(F.coalesce(F.col(text), F.lit(""))))
 
