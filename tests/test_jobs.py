@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import duplicates, enrich, gates, limiter, parts, quarantine, recommend, search
@@ -93,6 +94,32 @@ def test_limiter_batch(spark):
         assert got == brute_limit(rows, window, limit)
 
 
+@pytest.mark.parametrize(("window", "limit", "step"), [(60, 5, 4), (60, 5, 0.2), (600, 30, 1), (7, 1, 3)])
+def test_limiter_splits_a_hot_key(spark, window, limit, step, monkeypatch):
+    """All events are of one key that is never idle: many chunks, decided at once, as if one after the other."""
+    rnd = random.Random(window)
+    rows, at = [], 0.0
+    for _ in range(3000):
+        at += rnd.expovariate(1 / step) if rnd.random() < 0.98 else 2 * step
+        rows.append(("hot", int(at)))
+    rounds, turn = [], limiter._in_turn
+    monkeypatch.setattr(limiter, "_in_turn", lambda *a: rounds.append(a[-1]) or turn(*a))
+    df = events(spark, rows)
+    got = {r.id: r.accepted for r in limiter.sliding_limit(df, "k", "ts", "id", window, limit, 200).collect()}
+    assert got == brute_limit(rows, window, limit)
+    timed = df.select("k", "id", limiter.micros(df, "ts").alias("us"))
+    assert limiter._chunks(timed, "k", "id", window * 1_000_000, limit, 200).select("run", "chunk").distinct().count() >= 8
+    assert rounds.count(True) <= 17
+
+
+def test_limiter_edges(spark):
+    rows = [(None, 1), (None, 2), ("a", 1), ("a", 1), ("a", 1), ("b", 5)]
+    df = events(spark, rows).unionByName(events(spark, [("a", 1)]).withColumn("id", F.lit(99).cast("bigint")).withColumn("ts", F.lit(None).cast("timestamp")))
+    got = {r.id: r.accepted for r in limiter.sliding_limit(df, "k", "ts", "id", 60, 1).collect()}
+    assert got == brute_limit(rows, 60, 1)
+    assert limiter.sliding_limit(events(spark, rows).limit(0), "k", "ts", "id").collect() == []
+
+
 def test_limiter_stream(spark, tmp_path):
     rows = sorted(some_events(), key=lambda r: r[1])
     late = {300, 450}  # arrive in the second file, after newer ones of their key
