@@ -168,13 +168,13 @@ def _(spark, sf):
 @case("anti_disappeared", with_views("SELECT slug FROM prev_p WHERE slug NOT IN (SELECT slug FROM next_p)", "prev_p", "next_p"))
 def _(spark, sf):
     prev, nxt = bind.snapshots(spark, sf)
-    return prev.providers.select("slug").join(nxt.providers.select("slug"), "slug", "left_anti")
+    return diff.only_in(prev.providers.select("slug"), nxt.providers.select("slug"), ["slug"])
 
 
 @case("anti_appeared", with_views("SELECT slug FROM next_p WHERE slug NOT IN (SELECT slug FROM prev_p)", "prev_p", "next_p"))
 def _(spark, sf):
     prev, nxt = bind.snapshots(spark, sf)
-    return nxt.providers.select("slug").join(prev.providers.select("slug"), "slug", "left_anti")
+    return diff.only_in(nxt.providers.select("slug"), prev.providers.select("slug"), ["slug"])
 
 
 @case("join_prev_next_models", with_views("SELECT slug, id, a.context AS old_context, b.context AS new_context, a.rate_limit AS old_rate, b.rate_limit AS new_rate FROM prev_m a JOIN next_m b USING (slug, id)", "prev_m", "next_m"))
@@ -212,8 +212,7 @@ def _(spark, sf):
 
 @case("id_difference", with_views("SELECT slug, id FROM next_m EXCEPT SELECT slug, id FROM prev_m", "prev_m", "next_m"))
 def _(spark, sf):
-    prev, nxt = bind.snapshots(spark, sf)
-    return nxt.models.select("slug", "id").exceptAll(prev.models.select("slug", "id"))
+    return diff.new_ids(*bind.snapshots(spark, sf))
 
 
 # --- near duplicates -------------------------------------------------------------------------

@@ -1,7 +1,7 @@
 """Snapshot diff: what vanished, shrank, churned or changed value between two runs.
 
-Everything per provider comes from one table built in two aggregates: child rows of both snapshots
-are tagged, unioned and counted per (slug, id), then per slug. Global gates are one-row aggregates
+Child rows of both snapshots are tagged, unioned and compared per (slug, id) once; counts per provider,
+churn, examples and the change log are read from that table. Global gates are one-row aggregates
 read back as scalar subqueries, so no rows are collected and nothing is cross-joined.
 """
 
@@ -40,20 +40,53 @@ class Snapshot:
     models: DataFrame
 
 
-def provider_stats(prev: Snapshot, next_: Snapshot) -> DataFrame:
-    """Per slug: presence, row counts, distinct ids and kept ids of both snapshots."""
-    def tagged(df: DataFrame, was: int) -> DataFrame:
-        return df.select("slug", "id", F.lit(was).alias("p"), F.lit(1 - was).alias("n"))
+def compared_models(prev: Snapshot, next_: Snapshot) -> DataFrame:
+    """Every model row of both snapshots beside what the other one has of its (slug, id).
 
-    ids = tagged(prev.models, 1).unionByName(tagged(next_.models, 0)).groupBy("slug", "id").agg(
-        F.sum("p").alias("p"), F.sum("n").alias("n")
-    )
+    (slug, id, name, was, values, p, n, nxt, lead): ``was`` marks previous rows, p and n count the rows of the id in either
+    snapshot, ``nxt`` has its values in the next one (a repeated id counts once, the last), ``lead`` marks one row of each
+    id. Counts, churn and the change log all read this table, and one exchange by (slug, id) makes it. Rows without an id
+    can be most of a provider: they meet the counts of their kind only, which are summed up before the shuffle.
+    """
+    def side(df: DataFrame, was: bool) -> DataFrame:
+        return df.select("slug", "id", "name", F.lit(was).alias("was"), F.col("pos").cast("long").alias("pos"), F.struct(*MODEL_FIELDS).alias("values"))
+
+    rows = side(prev.models, True).unionByName(side(next_.models, False))
     real = text.null_if_empty(F.col("id")).isNotNull()
-    per = ids.groupBy("slug").agg(
-        F.sum("p").alias("prev_models"), F.sum("n").alias("next_models"),
-        F.count_if(real & (F.col("p") > 0)).alias("prev_ids"),
-        F.count_if(real & (F.col("n") > 0)).alias("next_ids"),
-        F.count_if(real & (F.col("p") > 0) & (F.col("n") > 0)).alias("kept_ids"),
+    same = Window.partitionBy("slug", "id")
+    last = F.max(F.when(~F.col("was"), F.struct("pos", "values"))).over(same)
+    named = rows.where(real).select(
+        "*", F.count_if("was").over(same).alias("p"), F.count_if(~F.col("was")).over(same).alias("n"), last["values"].alias("nxt"),
+        (F.row_number().over(same.orderBy(F.col("was").desc(), "pos")) == 1).alias("lead"))
+    blank = rows.where(~real)
+    kinds = blank.groupBy(F.col("slug").alias("_slug"), F.col("id").alias("_id")).agg(F.count_if("was").alias("p"), F.count_if(~F.col("was")).alias("n"))
+    met = blank.join(kinds, F.col("slug").eqNullSafe(F.col("_slug")) & F.col("id").eqNullSafe(F.col("_id"))).drop("_slug", "_id")
+    return named.unionByName(met.withColumn("nxt", F.lit(None).cast(named.schema["nxt"].dataType)).withColumn("lead", F.lit(False))).drop("pos")
+
+
+def only_in(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys the other table does not have; null keys are equal."""
+    same = None
+    for k in keys:
+        cond = left[k].eqNullSafe(right[k])
+        same = cond if same is None else same & cond
+    return left.join(right, same, "left_anti")
+
+
+def new_ids(prev: Snapshot, next_: Snapshot) -> DataFrame:
+    """(slug, id) that the next snapshot has and the previous one has not."""
+    return compared_models(prev, next_).where("NOT was AND p = 0").select("slug", "id").distinct()
+
+
+def provider_stats(prev: Snapshot, next_: Snapshot, models: DataFrame | None = None) -> DataFrame:
+    """Per slug: presence, row counts, distinct ids and kept ids of both snapshots."""
+    models = compared_models(prev, next_) if models is None else models
+    once = F.col("lead")
+    per = models.groupBy("slug").agg(
+        F.count_if("was").alias("prev_models"), F.count_if(~F.col("was")).alias("next_models"),
+        F.count_if(once & (F.col("p") > 0)).alias("prev_ids"),
+        F.count_if(once & (F.col("n") > 0)).alias("next_ids"),
+        F.count_if(once & (F.col("p") > 0) & (F.col("n") > 0)).alias("kept_ids"),
     )
     here = prev.providers.select("slug", F.lit(True).alias("p"), F.lit(False).alias("n")).unionByName(
         next_.providers.select("slug", F.lit(False).alias("p"), F.lit(True).alias("n"))
@@ -141,12 +174,10 @@ def global_findings(stats: DataFrame, t: Thresholds) -> DataFrame:
     return drop.unionByName(floor)
 
 
-def matched_models(prev: Snapshot, next_: Snapshot) -> DataFrame:
+def matched_models(prev: Snapshot, next_: Snapshot, models: DataFrame | None = None) -> DataFrame:
     """Previous model rows with the next row of the same (slug, id); a repeated next id counts once, the last."""
-    named = text.null_if_empty(F.col("id")).isNotNull()
-    last = next_.models.where(named).groupBy("slug", "id").agg(F.max_by(F.struct(*MODEL_FIELDS), "pos").alias("nxt"))
-    old = prev.models.where(named).select("slug", "id", F.struct(*MODEL_FIELDS).alias("old"))
-    return old.join(last, ["slug", "id"])
+    models = compared_models(prev, next_) if models is None else models
+    return models.where(F.col("was") & F.col("nxt").isNotNull()).select("slug", "id", F.col("values").alias("old"), "nxt")
 
 
 def matched_providers(prev: Snapshot, next_: Snapshot) -> DataFrame:
@@ -171,9 +202,9 @@ def churn_counts(matched: DataFrame, level: str, fields: list[str]) -> DataFrame
     return matched.agg(*aggs).select(F.lit(level).alias("level"), F.inline(F.array(*rows)))
 
 
-def field_churn(prev: Snapshot, next_: Snapshot, t: Thresholds) -> DataFrame:
+def field_churn(prev: Snapshot, next_: Snapshot, t: Thresholds, models: DataFrame | None = None) -> DataFrame:
     """Changed share per field with its severity (NULL when within bounds or the sample is small)."""
-    rows = churn_counts(matched_models(prev, next_), "model", MODEL_FIELDS).unionByName(
+    rows = churn_counts(matched_models(prev, next_, models), "model", MODEL_FIELDS).unionByName(
         churn_counts(matched_providers(prev, next_), "provider", PROVIDER_FIELDS)
     )
     pct = F.when(F.col("eligible") > 0, F.col("changed") / F.col("eligible") * 100).otherwise(F.lit(0.0))
@@ -184,23 +215,24 @@ def field_churn(prev: Snapshot, next_: Snapshot, t: Thresholds) -> DataFrame:
     return rows.withColumn("ratio_pct", pct).withColumn("severity", level)
 
 
-def churn_examples(prev: Snapshot, next_: Snapshot, n: int = 3) -> DataFrame:
+def churn_examples(prev: Snapshot, next_: Snapshot, n: int = 3, models: DataFrame | None = None) -> DataFrame:
     """First changed values per model field, at most n; the group limit prunes before the shuffle."""
     entries = [
         F.when(_changed(f), F.struct(F.lit(f).alias("field"), F.col(f"old.{f}").alias("from_value"), F.col(f"nxt.{f}").alias("to_value")))
         for f in MODEL_FIELDS
     ]
-    rows = matched_models(prev, next_).select("slug", "id", F.inline(F.array_compact(F.array(*entries))))
+    rows = matched_models(prev, next_, models).select("slug", "id", F.inline(F.array_compact(F.array(*entries))))
     w = Window.partitionBy("field").orderBy("slug", "id")
     return rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= n)
 
 
-def diff_report(prev: Snapshot, next_: Snapshot, t: Thresholds, stats: DataFrame | None = None) -> DataFrame:
+def diff_report(prev: Snapshot, next_: Snapshot, t: Thresholds, stats: DataFrame | None = None, models: DataFrame | None = None) -> DataFrame:
     """Every finding of every rule. An empty previous snapshot skips the guard with a note."""
-    # Per-provider counts are read by every rule; they are written once.
-    stats = cut_lineage(provider_stats(prev, next_)) if stats is None else stats
+    # The comparison is read by the counts and by the churn, the counts by every rule; both are written once.
+    models = cut_lineage(compared_models(prev, next_)) if models is None else models
+    stats = cut_lineage(provider_stats(prev, next_, models)) if stats is None else stats
     some = stats.agg(F.count_if("in_prev") > 0).scalar()
-    churn = field_churn(prev, next_, t).where("severity is not null")
+    churn = field_churn(prev, next_, t, models).where("severity is not null")
     none = F.lit(None).cast("string")
     fields = _finding(
         churn, "field-churn", none, F.col("severity"), F.col("ratio_pct"),
