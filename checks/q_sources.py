@@ -252,14 +252,18 @@ def _published(spark, sf):
 
 
 @case("snapshot_read_fail_open", with_views("""
-SELECT 'providers' AS table_name, count(*) AS n FROM g UNION ALL SELECT 'missing', 0""", "g"))
+SELECT 'providers' AS table_name, count(*) AS n FROM g UNION ALL SELECT 'missing', 0 UNION ALL SELECT 'damaged', 0""", "g"))
 def _(spark, sf):
     root = _published(spark, sf)
     here = snapshots.read_latest(spark, root, "providers", PROVIDER_STATE)
     gone = snapshots.read_latest(spark, root + "-none", "providers", PROVIDER_STATE)
+    # One row more than was published, as a file of its own.
+    other = _published(spark, sf)
+    here.limit(1).write.mode("append").parquet(f"{other}/providers/run_id=2026-01-02")
+    harmed = snapshots.read_latest(spark, other, "providers", PROVIDER_STATE)
     def counted(df, name):
         return df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
-    return counted(here, "providers").unionByName(counted(gone, "missing"))
+    return counted(here, "providers").unionByName(counted(gone, "missing")).unionByName(counted(harmed, "damaged"))
 
 
 @case("snapshot_write", with_views("SELECT slug, name, model_count, max_context, synced_at FROM g", "g"))

@@ -234,7 +234,39 @@ def test_corrupt_source_is_skipped_and_bad_merge_stops(spark, tmp_path):
 
 def test_damaged_snapshot_file_reads_as_absent(spark, tmp_path):
     schema = "slug string, n bigint"
-    spark.createDataFrame([("a", 1)], schema).coalesce(1).write.parquet(str(tmp_path / "t"))
-    (tmp_path / "t" / "part-damaged.parquet").write_bytes(b"no parquet at all")
+    spark.createDataFrame([("a", 1)], schema).write.parquet(str(tmp_path / "t"))
     assert [tuple(r) for r in snapshots.read_fail_open(spark, str(tmp_path / "t"), schema).collect()] == [("a", 1)]
+    (tmp_path / "t" / "part-damaged.parquet").write_bytes(b"no parquet at all")
+    assert snapshots.read_fail_open(spark, str(tmp_path / "t"), schema).count() == 0
     assert snapshots.read_fail_open(spark, str(tmp_path / "none"), schema).count() == 0
+
+
+@pytest.mark.parametrize("harm", ["none", "cut", "changed", "gone", "more", "list"])
+def test_a_run_reads_whole_or_not_at_all(spark, tmp_path, harm):
+    schema = "slug string, sources array<struct<name: string>>, n bigint"
+    rows = spark.range(4000).select(F.concat(F.lit("s"), "id").alias("slug"), F.array(F.struct(F.lit("x").alias("name"))).alias("sources"), F.col("id").alias("n"))
+    root = str(tmp_path / "r")
+    snapshots.publish_run({"t": rows.where("n < 10").coalesce(1), "other": rows.limit(5)}, root, "run-1")
+    snapshots.publish_run({"t": rows.repartition(4), "other": rows.limit(5)}, root, "run-2")
+    files = sorted((tmp_path / "r/t/run_id=run-2").glob("*.parquet"))
+    assert len(files) == 4
+    for crc in files[0].parent.glob(".*.crc"):
+        crc.unlink()
+    if harm == "cut":
+        files[1].write_bytes(files[1].read_bytes()[:-200])
+    if harm == "changed":
+        other = str(tmp_path / "other")
+        spark.read.schema(schema).parquet(str(files[1])).withColumn("n", F.col("n") + F.when(F.col("n") % 7 == 0, 1).otherwise(0)).coalesce(1).write.parquet(other)
+        files[1].write_bytes(next((tmp_path / "other").glob("*.parquet")).read_bytes())
+    if harm == "gone":
+        files[1].unlink()
+    if harm == "more":
+        (files[0].parent / "part-more.parquet").write_bytes(files[1].read_bytes())
+    if harm == "list":
+        for f in (tmp_path / "r/files/run_id=run-2").glob("*.parquet"):
+            f.write_bytes(b"PAR1")
+        for crc in (tmp_path / "r/files/run_id=run-2").glob(".*.crc"):
+            crc.unlink()
+    assert snapshots.read_latest(spark, root, "t", schema).count() == (4000 if harm == "none" else 0)
+    assert snapshots.read_latest(spark, root, "other", schema).count() == (0 if harm == "list" else 5)
+    assert snapshots.read_latest(spark, root, "t", schema, before="run-2").count() == 10
