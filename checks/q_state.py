@@ -128,7 +128,7 @@ def _(spark, sf):
 
 # --- sliding limiter -------------------------------------------------------------------------
 
-DAY, LIMIT = 86_400, 5
+DAY, LIMIT, IDLE = 86_400, 5, 3 * 86_400
 SPAN = f"CAST({DAY * 1_000_000} AS BIGINT)"
 
 
@@ -146,7 +146,8 @@ def _(spark, sf):
 @case("sliding_rate_limit_stream", f"""
 WITH RECURSIVE t AS (SELECT user_id, event_id, epoch_us(ts) AS us, min(epoch_us(ts)) OVER () AS lo, max(epoch_us(ts)) OVER () AS hi FROM events),
 a AS (SELECT *, (us - lo) * 4 // (hi - lo + 1) + CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END AS arrival FROM t),
-o AS (SELECT user_id, event_id, us, coalesce(us < max(us) OVER (PARTITION BY user_id ORDER BY arrival RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM a),
+o AS (SELECT user_id, event_id, us, coalesce(us < max(us) OVER (PARTITION BY user_id ORDER BY arrival RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)
+  OR coalesce(us < max(us) OVER (ORDER BY arrival RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - CAST({IDLE * 1_000_000} AS BIGINT), false) AS late FROM a),
 e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS n FROM o WHERE NOT late),
 r AS (SELECT user_id, event_id, us, n, true AS accepted, [us] AS kept FROM e WHERE n = 1
   UNION ALL SELECT e.user_id, e.event_id, e.us, e.n, len(list_filter(r.kept, lambda t: t > e.us - {SPAN})) < {LIMIT},
@@ -159,12 +160,15 @@ def _(spark, sf):
     lo, hi = events.agg(F.min("us"), F.max("us")).first()
     arrival = F.floor((F.col("us") - lo) * 4 / F.lit(hi - lo + 1)) + F.when(F.col("event_id") % 50 == 0, 1).otherwise(0)
     root = f"{scratch_folder(spark)}/limiter-{uuid.uuid4().hex}"
-    for n in range(5):
-        events.where(arrival == n).drop("us").coalesce(1).write.parquet(f"{root}/in/{n}")
-    landed = spark.readStream.schema(bind.table(spark, sf, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
-    out = stream_limiter.sliding_limit_stream(landed, "user_id", "ts", "event_id", DAY, LIMIT)
-    out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+    for n in range(5):  # a batch is one folder of files, written by as many tasks as read it
+        events.where(arrival == n).withColumn("arrival", F.lit(n)).drop("us").write.parquet(f"{root}/in/{n}")
+    step = stream_limiter.limit_step(f"{root}/limited", "user_id", "ts", "event_id", DAY, LIMIT, IDLE, 1000)
+    files = [f"{root}/in/{n}" for n in range(5)]
+    schema = spark.read.parquet(files[0]).schema
+    for n, folder in enumerate(files):  # each landing is a run of the stream over what is new
+        landed = spark.readStream.schema(schema).parquet(folder)
+        landed.writeStream.foreachBatch(lambda df, _, at=n: step(df, at)).option("checkpointLocation", f"{root}/ck/{n}").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.option("basePath", f"{root}/limited/decisions").parquet(f"{root}/limited/decisions").select("user_id", "event_id", "accepted", "late")
 
 
 # --- runs ------------------------------------------------------------------------------------

@@ -138,6 +138,40 @@ def test_limiter_stream(spark, tmp_path):
     assert {i: r.accepted for i, r in got.items() if i not in late} == {i: want[i] for i in on_time}
 
 
+def test_limit_step_busy_key_late_rows_and_idle_state(spark, tmp_path):
+    """A busy key over several batches in small chunks, late rows of a key and of a forgotten key, a batch run twice."""
+    rnd = random.Random(5)
+    rows, at = [], 0.0
+    for _ in range(900):
+        at += rnd.expovariate(1 / 3)
+        rows.append((rnd.choice(["hot", "hot", "hot", "b"]), int(at)))
+    rows += [("old", 5), (None, int(at) + 1), (None, int(at) + 2), ("new", int(at) + 4000)]
+    batches = [rows[:300] + rows[900:901], rows[300:600], rows[600:900] + rows[901:903], rows[903:], [("hot", 10), ("old", 20), ("new", int(at) + 4001)]]
+    root, step = str(tmp_path / "r"), stream_limiter.limit_step(str(tmp_path / "r"), "k", "ts", "id", 60, 5, 3600, 40)
+    want, late, kept, seen, clock, first = {}, set(), {}, {}, None, 0
+    for n, batch in enumerate(batches):
+        base = dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc)
+        df = spark.createDataFrame([(k, first + i, base + dt.timedelta(seconds=s)) for i, (k, s) in enumerate(batch)], EVENT)
+        for _ in range(2 if n == 1 else 1):
+            step(df, n)
+        fresh = {}
+        for i, (k, s) in sorted(enumerate(batch), key=lambda x: (x[1][1], x[0])):
+            if s < seen.get(k, s) or (clock is not None and s < clock - 3600):
+                late.add(first + i)
+                continue
+            mine = [t for t in kept.get(k, []) if t > s - 60]
+            want[first + i] = len(mine) < 5
+            kept[k], fresh[k] = (mine + [s] if want[first + i] else mine), s
+        seen |= {k: max(s, seen.get(k, s)) for k, s in fresh.items()}
+        clock = max([*fresh.values(), *([] if clock is None else [clock])])
+        first += len(batch)
+    out = spark.read.option("basePath", f"{root}/decisions").parquet(f"{root}/decisions").collect()
+    assert len(out) == first and {r.id for r in out if r.late} == late and len(late) == 2
+    assert {r.id: r.accepted for r in out if not r.late} == want
+    state = snapshots.read_latest(spark, root, "state", "k string, log array<bigint>, seen bigint").collect()
+    assert {r.k for r in state} == {"new"}  # all others were idle for an hour
+
+
 def test_quarantine_stream(spark, tmp_path):
     days = [[("a", "shrunk", 13), ("b", "disappeared", 0)], [("a", "shrunk", 13)], [("a", "shrunk", 14)], []]
     root = str(tmp_path / "q")

@@ -67,7 +67,7 @@ def decide(us: np.ndarray, free: np.ndarray, log: list[int], span: int, limit: i
     return flags, log
 
 
-def _chunks(events: DataFrame, key: str, tiebreak: str, span: int, limit: int, size: int) -> DataFrame:
+def _chunks(events: DataFrame, key: str, tiebreak: str, span: int, limit: int, size: int, logs: DataFrame | None = None) -> DataFrame:
     """Events with their run, chunk, number of chunks, and whether they are free and whether they must be decided in turn.
 
     Runs and chunks come from counts by slot: the window over a key sees a row for each slot, not for each event.
@@ -82,7 +82,11 @@ def _chunks(events: DataFrame, key: str, tiebreak: str, span: int, limit: int, s
     runs = runs.withColumn("last", F.max("chunk").over(Window.partitionBy(key, "run"))).select(F.col(key).alias("_key"), F.col("slot").alias("_slot"), "run", "chunk", "last")
     rows = placed.join(runs, F.col(key).eqNullSafe(F.col("_key")) & (F.col("slot") == F.col("_slot"))).drop("_key", "_slot", "slot")
     order = Window.partitionBy(key, "run", "chunk").orderBy("us", tiebreak)
-    free = F.coalesce(F.col("us") - F.lag("us", limit).over(order) >= span, F.lit(False)) | ((F.col("chunk") == 0) & (F.row_number().over(order) <= limit))
+    # Only a key's first run can follow a log from before.
+    rows = rows.withColumn("after", F.lit(False)) if logs is None else rows.join(
+        logs.select(F.col(key).alias("_key"), F.lit(True).alias("_after")), F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("after", F.col("_after").isNotNull() & (F.col("run") == 1)).drop("_key", "_after")
+    begins = (F.col("chunk") == 0) & ~F.col("after")
+    free = F.coalesce(F.col("us") - F.lag("us", limit).over(order) >= span, F.lit(False)) | (begins & (F.row_number().over(order) <= limit))
     rows = rows.withColumn("free", free)
     near = order.rowsBetween(0, limit)
     # The end of a chunk that another follows is decided too, as it gives the log.
@@ -123,7 +127,7 @@ def _in_turn(rows: DataFrame, carries: DataFrame | None, key: str, tiebreak: str
                 us, free = part.column(4).to_numpy(), part.column(6).to_numpy(zero_copy_only=False)
                 flags, log = decide(us, free, log, span, limit)
                 if not ends:
-                    yield pa.RecordBatch.from_arrays([part.column(1), part.column(5), pa.array(flags)], [key, tiebreak, "accepted"])
+                    yield pa.RecordBatch.from_arrays([part.column(1), part.column(5), part.column(4), pa.array(flags)], [key, tiebreak, "us", "accepted"])
                 elif bare is not None:
                     _, bare = decide(us, free, bare, span, limit)
                     if met := bare == log:
@@ -135,16 +139,19 @@ def _in_turn(rows: DataFrame, carries: DataFrame | None, key: str, tiebreak: str
         return pa.RecordBatch.from_arrays([head.column(1), head.column(2), head.column(3), pa.array([log], pa.list_(pa.int64()))], [key, "run", "chunk", "log"])
 
     types = dict(rows.dtypes)
-    schema = f"{key} {types[key]}, run long, chunk long, log array<long>" if ends else f"{key} {types[key]}, {tiebreak} {types[tiebreak]}, accepted boolean"
+    schema = f"{key} {types[key]}, run long, chunk long, log array<long>" if ends else f"{key} {types[key]}, {tiebreak} {types[tiebreak]}, us long, accepted boolean"
     return ordered.mapInArrow(walk, schema)
 
 
-def _carried(turns: DataFrame, key: str, tiebreak: str, span: int, limit: int) -> DataFrame:
-    """(key, run, chunk, carry, log): the log each chunk after the first of its run begins from."""
+def _carried(turns: DataFrame, logs: DataFrame | None, key: str, tiebreak: str, span: int, limit: int) -> DataFrame:
+    """(key, run, chunk, carry, log): the log each chunk begins from, where that is not empty."""
     where = ["run", "chunk"]
     order = Window.partitionBy(key, "run").orderBy("chunk")
     empty = F.array().cast("array<bigint>")
-    state = cut_lineage(_in_turn(turns, None, key, tiebreak, span, limit, True).withColumn("carry", empty).withColumn("log_0", F.col("log")))
+    bare = _in_turn(turns, None, key, tiebreak, span, limit, True)
+    if logs is not None:  # a log from before is the end of a chunk before the first
+        bare = bare.unionByName(logs.select(key, F.lit(1).cast("long").alias("run"), F.lit(-1).cast("long").alias("chunk"), "log"))
+    state = cut_lineage(bare.withColumn("carry", empty).withColumn("log_0", F.col("log")))
     while True:
         told = state.withColumn("next", F.coalesce(F.lag("log").over(order), empty))
         changed = cut_lineage(told.where(F.col("next") != F.col("carry")).select(key, *where, F.col("next").alias("carry"), F.col("log_0").alias("log")))
@@ -162,13 +169,19 @@ def _carried(turns: DataFrame, key: str, tiebreak: str, span: int, limit: int) -
         state = after
 
 
+def limit_after(timed: DataFrame, logs: DataFrame | None, key: str, tiebreak: str, span: int, limit: int, chunk_rows: int = CHUNK) -> DataFrame:
+    """(key, tiebreak, us, accepted) of events at ``us``, after the accepted times (key, log) from before, if any."""
+    rows = cut_lineage(_chunks(timed, key, tiebreak, span, limit, chunk_rows, logs))
+    turns = rows.where("turn")
+    long = turns.where("last > 0 OR after")
+    carries = None if long.isEmpty() else cut_lineage(_carried(long, logs, key, tiebreak, span, limit))
+    if carries is not None:
+        carries = carries.where("chunk >= 0")
+    decided = _in_turn(turns, carries, key, tiebreak, span, limit, False)
+    return decided.unionByName(rows.where("NOT turn").select(key, tiebreak, "us", F.lit(True).alias("accepted")))
+
+
 def sliding_limit(events: DataFrame, key: str, ts: str, tiebreak: str, window_seconds: int = 60, limit: int = 5, chunk_rows: int = CHUNK) -> DataFrame:
     """(key, tiebreak, accepted) of each event; events of no key are those of one key, events of no time are left out."""
-    span = window_seconds * 1_000_000
     timed = events.select(key, tiebreak, micros(events, ts).alias("us")).where("us IS NOT NULL")
-    rows = cut_lineage(_chunks(timed, key, tiebreak, span, limit, chunk_rows))
-    turns = rows.where("turn")
-    long = turns.where("last > 0")
-    carries = None if long.isEmpty() else cut_lineage(_carried(long, key, tiebreak, span, limit))
-    decided = _in_turn(turns, carries, key, tiebreak, span, limit, False)
-    return decided.unionByName(rows.where("NOT turn").select(key, tiebreak, F.lit(True).alias("accepted")))
+    return limit_after(timed, None, key, tiebreak, window_seconds * 1_000_000, limit, chunk_rows).drop("us")
