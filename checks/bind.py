@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from checks import sqlfn as s
 from weftline.functions import fixed
-from weftline.operators import merge
+from weftline.operators import listing, merge, search
 from weftline.operators.diff import Snapshot
 from weftline.session import scratch_folder
 
@@ -194,6 +194,29 @@ def published(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{_PUBLISHED[key]}/{name}")
 
 
+_INDEXED: dict[str, str] = {}
+
+
+def _once(spark: SparkSession, sf: str, name: str, write) -> str:
+    """Folder that a publishing step writes at its first use in a session and scale."""
+    published(spark, sf, "providers")
+    root = f"{_PUBLISHED[spark.sparkContext.applicationId, sf]}/{name}"
+    if root not in _INDEXED:
+        write(root)
+        _INDEXED[root] = root
+    return root
+
+
+def search_index(spark: SparkSession, sf: str) -> search.SearchIndex:
+    """The search index as it is published beside the catalogue."""
+    return search.read_index(spark, _once(spark, sf, "search", lambda root: search.publish_index(providers(spark, sf), models(spark, sf), root)))
+
+
+def project_listing(spark: SparkSession, sf: str) -> str:
+    """The projects by stars, published as a listing."""
+    return _once(spark, sf, "listing", lambda root: listing.publish_listing(projects(spark, sf).select("slug", "stars"), listing.project_order("stars"), root))
+
+
 def models(spark: SparkSession, sf: str) -> DataFrame:
     return published(spark, sf, "models")
 

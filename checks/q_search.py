@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from checks import bind, sqlfn as s
 from checks.bind import TEXT, with_views
 from checks.registry import case
+from weftline.functions import fixed
 from weftline.operators import listing, merge, parts, search, shape
 from weftline.operators import rollups
+from weftline.sources.registry import SourceSpec, union_sources
 
 G_COLS = "slug, name, model_count, array_to_string(modalities, ',') AS modalities, max_context, free_limit"
 
@@ -27,14 +29,14 @@ def list_items(spark, sf):
 
 
 def text_rows(spark, sf):
-    return search.search_rows(bind.providers(spark, sf), bind.models(spark, sf))
+    return bind.search_index(spark, sf)
 
 
 @case("slim_list_projection", with_views(f"""
 SELECT {G_COLS}, 0 AS row, lower(name) AS text FROM g
 UNION ALL SELECT slug, NULL, NULL, NULL, NULL, NULL, row_number() OVER (PARTITION BY slug ORDER BY pos, id), lower(name || ' ' || id) FROM m WHERE slug IN (SELECT slug FROM g)""", "g", "m"))
 def _(spark, sf):
-    rows = text_rows(spark, sf)
+    rows = text_rows(spark, sf).rows
     return shown(list_items(spark, sf)).withColumn("row", F.lit(0).cast("bigint")).join(rows, ["slug", "row"], "right").select(
         "slug", "name", "model_count", "modalities", "max_context", "free_limit", "row", "text")
 
@@ -197,11 +199,19 @@ def _(spark, sf):
 
 # --- orderings -------------------------------------------------------------------------------
 
-@case("sort_popularity", with_views(f"SELECT slug, 999 AS rank, row_number() OVER (ORDER BY slug) AS position FROM g", "g"))
+# Every third supplier goes by the slug of a ranked provider, as far as there are some.
+_RANKED = f"list_value({', '.join(chr(39) + x + chr(39) for x in fixed.POPULARITY)})"
+
+
+@case("sort_popularity", with_views(f"""
+, n AS (SELECT CASE WHEN k > 0 AND k % 3 = 0 AND k <= {3 * len(fixed.POPULARITY)} THEN {_RANKED}[k // 3] ELSE slug END AS slug FROM (SELECT slug, CAST(substr(slug, 10) AS BIGINT) AS k FROM g)),
+r AS (SELECT slug, coalesce(list_position({_RANKED}, slug) - 1, {fixed.UNRANKED}) AS rank FROM n)
+SELECT slug, CAST(rank AS INTEGER) AS rank, row_number() OVER (ORDER BY rank, slug) AS position FROM r""", "g"))
 def _(spark, sf):
-    p = bind.providers(spark, sf).select("slug")
-    order = listing.provider_order("popular")
-    return parts.global_row_number(p, order).withColumn("rank", listing.popularity_rank(F.col("slug")).cast("int"))
+    k = F.substring("slug", 10, 20).cast("int")
+    known = F.try_element_at(F.array(*[F.lit(x) for x in fixed.POPULARITY]), F.when((k > 0) & (k % 3 == 0), (k / 3).cast("int")))
+    p = bind.providers(spark, sf).select(F.coalesce(known, "slug").alias("slug"))
+    return parts.global_row_number(p, listing.provider_order("popular")).withColumn("rank", listing.popularity_rank(F.col("slug")).cast("int"))
 
 
 @case("sort_context", with_views(f"SELECT slug, max_context, row_number() OVER (ORDER BY {s.ctx_num('max_context')} DESC, slug) AS position FROM g", "g"))
@@ -239,13 +249,23 @@ def _(spark, sf):
 
 
 @case("paginate", with_views("SELECT slug, stars FROM projects ORDER BY stars DESC, slug LIMIT 20 OFFSET 40", "projects"))
+def _(spark, sf):
+    return listing.listed_page(spark, bind.project_listing(spark, sf), 3, 20)
+
+
+@case("paginate_unpublished", with_views("SELECT slug, stars FROM projects ORDER BY stars DESC, slug LIMIT 20 OFFSET 40", "projects"))
 def _(spark, sf):
     return listing.paginate(bind.projects(spark, sf).select("slug", "stars"), listing.project_order("stars"), 3, 20)
 
 
+@case("paginate_first_page", with_views("SELECT slug, stars FROM projects ORDER BY stars DESC, slug LIMIT 20", "projects"))
+def _(spark, sf):
+    return listing.paginate(bind.projects(spark, sf).select("slug", "stars"), listing.project_order("stars"), -3, 20)
+
+
 @case("paginate_last_page", with_views("SELECT slug, stars FROM projects ORDER BY stars DESC, slug OFFSET (SELECT (CAST(ceil(count(*) / 20) AS BIGINT) - 1) * 20 FROM orders)", "projects"))
 def _(spark, sf):
-    return listing.paginate(bind.projects(spark, sf).select("slug", "stars"), listing.project_order("stars"), 10**9, 20)
+    return listing.listed_page(spark, bind.project_listing(spark, sf), 10**9, 20)
 
 
 @case("paginate_keyset", with_views("SELECT slug, stars FROM projects WHERE stars < 250000 ORDER BY stars DESC, slug LIMIT 20", "projects"))
@@ -262,11 +282,13 @@ def _(spark, sf):
 # --- set operations --------------------------------------------------------------------------
 
 
-@case("union_sources", with_views("SELECT * FROM c", "c"))
+@case("union_sources", with_views("""
+SELECT 'src_' || prio AS source, prio, prio * 1099511627776 + pos AS ord, slug, pos, id, name, context, max_output, modality, rate_limit FROM c""", "c"))
 def _(spark, sf):
-    """The sources one by one, as separate readers deliver them."""
-    c = bind.view(spark, sf, "c")
-    return c.where("prio = 0").unionByName(c.where("prio = 1"), allowMissingColumns=True).unionByName(c.where("prio = 2"), allowMissingColumns=True)
+    """The sources one by one, as separate readers deliver them, tagged by their registration."""
+    p, c = bind.view(spark, sf, "p"), bind.view(spark, sf, "c").drop("source", "ord")
+    specs = [SourceSpec(f"src_{k}", f"https://src-{k}.example.com", k, p.where(F.col("prio") == k), c.where(F.col("prio") == k).drop("prio"), f"2026-01-0{k + 1}T00:00:00.000Z") for k in range(3)]
+    return union_sources(specs)[1]
 
 
 @case("facet_union", with_views(f"SELECT slug, array_to_string({bind._MODS}, ',') AS facets FROM m GROUP BY slug", "m"))

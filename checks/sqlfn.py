@@ -75,7 +75,7 @@ def alnum(x: str) -> str:
 
 def canonical_slug(x: str) -> str:
     s = slugify(x)
-    rows = ", ".join(f"{q(a)}: {q(slug)}" for slug, others in fixed.SLUG_ALIASES.items() for a in others)
+    rows = ", ".join(f"{q(a)}: {q(slug)}" for a, slug in fixed.SLUG_ALIASES.items())
     return f"coalesce((MAP {{{rows}}})[{s}], {s})"
 
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import duplicates, enrich, gates, limiter, parts, quarantine, recommend, search
+from weftline.operators import duplicates, enrich, gates, limiter, listing, parts, quarantine, recommend, search
 from weftline.plans import sync
 from weftline.sources import snapshots
 from weftline.sources.registry import SourceSpec
@@ -187,6 +187,36 @@ def test_quarantine_stream(spark, tmp_path):
     assert snapshots.read_latest(spark, root, "state", quarantine.STATE_SCHEMA).count() == 0
 
 
+def test_search_by_index_equals_search_of_all_rows(spark, tmp_path):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abé") for _ in range(rnd.choice([1, 1, 2, 3, 5])))
+    p = [(f"s{k}", rnd.choice(["", word(), f"{word()} {word()}"])) for k in range(40)]
+    m = [(s, pos, rnd.choice([word(), ""]), word()) for s, _ in p for pos in range(rnd.choice([0, 1, 6]))] + [("gone", 0, "ab", "ab")]
+    providers, models = spark.createDataFrame(p, "slug string, name string"), spark.createDataFrame(m, "slug string, pos bigint, id string, name string")
+    search.publish_index(providers, models, str(tmp_path / "i"))
+    index = search.read_index(spark, str(tmp_path / "i"))
+    texts = {s: " ".join([n.lower(), *[f"{name} {i}".lower() for t, _, i, name in sorted(m, key=lambda x: (x[0], x[1], x[2])) if t == s]]) for s, n in p}
+    for q in ["a", "ab", "abé", "b a", "a b a", "é ab", " Ab ", "aab", "zz", "a a", "bb é b"]:
+        want = {s for s, t in texts.items() if q.strip().lower() in t}
+        assert {r.slug for r in search.text_hits(index, q).collect()} == want, q
+        assert {r.slug for r in search.text_hits(index.rows, q).collect()} == want, q
+
+
+def test_published_listing_pages(spark, tmp_path):
+    rows = [(i, i * 7 % 101) for i in range(205)]
+    df = spark.createDataFrame(rows, "id bigint, x bigint").repartition(3)
+    order = [F.col("x").desc(), F.col("id").asc()]
+    listing.publish_listing(df, order, str(tmp_path / "l"))
+    want = sorted(rows, key=lambda r: (-r[1], r[0]))
+    for page, at in ((0, 0), (1, 0), (2, 20), (11, 200), (99, 200)):
+        got = listing.listed_page(spark, str(tmp_path / "l"), page, 20)
+        assert [tuple(r) for r in got.collect()] == want[at : at + 20] and got.columns == ["id", "x"]
+        assert [tuple(r) for r in listing.paginate(df, order, page, 20).collect()] == want[at : at + 20]
+    assert len(listing.listed_page(spark, str(tmp_path / "l"), 4, 20).inputFiles()) < len(spark.read.parquet(str(tmp_path / "l/rows")).inputFiles())
+    listing.publish_listing(df.limit(0), order, str(tmp_path / "e"))
+    assert listing.listed_page(spark, str(tmp_path / "e"), 3, 20).collect() == []
+
+
 def test_global_row_number(spark):
     df = spark.range(5000).withColumn("x", F.col("id") % 7)
     rows = parts.global_row_number(df, [F.col("x").asc(), F.col("id").desc()]).collect()

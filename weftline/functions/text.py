@@ -91,14 +91,10 @@ def alnum_key(c: Column) -> Column:
 header_key = alnum_key
 
 
-def slug_aliases() -> dict[str, str]:
-    return {alias: slug for slug, others in fixed.SLUG_ALIASES.items() for alias in others}
-
-
 def canonical_slug(c: Column) -> Column:
     """Slug of a name after resolving known other spellings; the table has a fixed size."""
     slug = slugify(c)
-    table = F.create_map(*[F.lit(part) for pair in slug_aliases().items() for part in pair])
+    table = F.create_map(*[F.lit(part) for pair in fixed.SLUG_ALIASES.items() for part in pair])
     return F.coalesce(F.try_element_at(table, slug), slug)
 
 

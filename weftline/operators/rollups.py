@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import facets, fixed, numbers, text
 from weftline.operators.merge import max_context
-from weftline.operators.search import has_all, needle, offer_predicates, project_matches, text_hits
+from weftline.operators.search import SearchIndex, has_all, needle, offer_predicates, project_matches, text_hits
 from weftline.session import cut_lineage
 
 MIN_FACET_PROVIDERS = 3
@@ -81,7 +81,7 @@ def facet_sources_latest(providers: DataFrame, facet: str) -> DataFrame:
     return refs.groupBy(F.col("s.name").alias("name")).agg(F.max("s.synced_at").alias("synced_at"), F.max_by("s.url", "s.synced_at").alias("url"))
 
 
-def facet_counts_and(items: DataFrame, rows: DataFrame, search: str = "", modalities: list[str] | None = None) -> DataFrame:
+def facet_counts_and(items: DataFrame, rows: DataFrame | SearchIndex, search: str = "", modalities: list[str] | None = None) -> DataFrame:
     """Facet counts inside the current result, zero-filled for facets the whole list carries; ``rows`` is the search text."""
     keep = has_all(F.col("modalities"), modalities or [])
     entities = items.withColumn("kept", keep)

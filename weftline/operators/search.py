@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text
 from weftline.functions.numbers import parse_context_tokens
 from weftline.operators.parts import global_row_number
 
+#: Characters of a gram, and what stands behind the end of a text.
+GRAM, END = 3, "\x01"
 LIST_COLUMNS = ["slug", "name", "model_count", "modalities", "max_context", "free_limit"]
 
 
@@ -36,23 +41,71 @@ def search_rows(providers: DataFrame, models: DataFrame) -> DataFrame:
     return own.unionByName(named.join(first, "slug").select("slug", (F.col("position") - F.col("first") + 1).alias("row"), model_text(F.col("name"), F.col("id")).alias("text")))
 
 
-def text_hits(rows: DataFrame, query: str) -> DataFrame:
+@dataclass(frozen=True)
+class SearchIndex:
+    """Search text as rows (slug, row, text) and where each run of three characters occurs (gram, slug, row)."""
+
+    rows: DataFrame
+    postings: DataFrame
+
+
+def _grams(q: str) -> list[str]:
+    return sorted({q[k : k + GRAM] for k in range(len(q) - GRAM + 1)})
+
+
+def postings_of(rows: DataFrame) -> DataFrame:
+    """Every run of ``GRAM`` characters of a row's text once; marks behind the end make runs of the last ones too."""
+    marked = F.concat("text", F.lit(END * (GRAM - 1)))
+    places = F.sequence(F.lit(1), F.length("text"))
+    grams = F.array_distinct(F.transform(places, lambda i: F.substring(marked, i, F.lit(GRAM))))
+    return rows.where(F.length("text") > 0).select(F.explode(grams).alias("gram"), "slug", "row")
+
+
+def publish_index(providers: DataFrame, models: DataFrame, root: str) -> None:
+    """Write the index of a catalogue once: rows by entity, postings by gram, so that a query reads the files of its grams."""
+    spark = providers.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    search_rows(providers, models).repartitionByRange(parts, "slug", "row").sortWithinPartitions("slug", "row").write.parquet(f"{root}/search_rows")
+    postings = postings_of(spark.read.parquet(f"{root}/search_rows"))
+    postings.repartitionByRange(parts, "gram", "slug", "row").sortWithinPartitions("gram", "slug", "row").write.parquet(f"{root}/search_grams")
+
+
+def read_index(spark: SparkSession, root: str) -> SearchIndex:
+    return SearchIndex(spark.read.parquet(f"{root}/search_rows"), spark.read.parquet(f"{root}/search_grams"))
+
+
+def _candidates(index: SearchIndex, q: str, ends: bool) -> DataFrame:
+    """Rows that may hold the string, or end with it: those with all its grams; a shorter one begins some gram."""
+    grams = _grams(q + END * (GRAM - 1) if ends else q)
+    if not grams:
+        found = index.postings.where(F.col("gram").startswith(q)).select("slug", "row").distinct()
+    else:
+        found = index.postings.where(F.col("gram").isin(grams)).groupBy("slug", "row").agg(F.count("*").alias("n")).where(F.col("n") == len(grams))
+    return index.rows.join(found, ["slug", "row"], "left_semi")
+
+
+def text_hits(rows: DataFrame | SearchIndex, query: str) -> DataFrame:
     """Slugs whose search text holds the query, inside one row or across rows that follow each other.
 
     A query with s blanks reaches over s + 1 rows at most, and its first row ends with what stands before one of the
-    blanks: only such rows are joined, by position, with the ones that follow.
+    blanks: only such rows are joined, by position, with the ones that follow. With an index only rows that have the grams
+    of the query, or of what stands before a blank, are looked at.
     """
     q = needle(query)
-    inside = rows.where(F.col("text").contains(q)).select("slug")
+    whole = rows.rows if isinstance(rows, SearchIndex) else rows
+    near = _candidates(rows, q, False) if isinstance(rows, SearchIndex) else rows
+    inside = near.where(F.col("text").contains(q)).select("slug")
     blanks = [k for k, c in enumerate(q) if c == " "]
     if not blanks:
         return inside.distinct()
-    begins = F.lit(False)
-    for k in blanks:
-        begins = begins | F.col("text").endswith(q[:k])
-    joined = rows.where(begins)
+    if isinstance(rows, SearchIndex):
+        parts = [_candidates(rows, q[:k], True).where(F.col("text").endswith(q[:k])) for k in blanks]
+        joined = reduce(DataFrame.unionByName, parts).distinct()
+    else:
+        begins = reduce(lambda a, b: a | b, [F.col("text").endswith(q[:k]) for k in blanks])
+        joined = rows.where(begins)
     for step in range(1, len(blanks) + 1):
-        after = rows.select("slug", (F.col("row") - step).alias("row"), F.col("text").alias("_next"))
+        after = whole.select("slug", (F.col("row") - step).alias("row"), F.col("text").alias("_next"))
         joined = joined.join(after, ["slug", "row"], "left").select("slug", "row", F.concat_ws(" ", "text", "_next").alias("text"))
     return inside.union(joined.where(F.col("text").contains(q)).select("slug")).distinct()
 
@@ -65,7 +118,7 @@ def has_all(values: Column, wanted: list[str]) -> Column:
     return out
 
 
-def filter_list(items: DataFrame, rows: DataFrame, search: str = "", modalities: list[str] | None = None) -> DataFrame:
+def filter_list(items: DataFrame, rows: DataFrame | SearchIndex, search: str = "", modalities: list[str] | None = None) -> DataFrame:
     """Entities whose search text (``rows``) holds the query and that carry every selected modality."""
     kept = items.where(has_all(F.col("modalities"), modalities or []))
     if needle(search):

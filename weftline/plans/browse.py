@@ -21,16 +21,16 @@ class BrowseRequest:
     size: int = PAGE_SIZE
 
 
-def results(items: DataFrame, rows: DataFrame, request: BrowseRequest) -> DataFrame:
+def results(items: DataFrame, rows: DataFrame | search.SearchIndex, request: BrowseRequest) -> DataFrame:
     found = search.filter_list(items, rows, request.search, request.modalities)
     return search.only_free_info(found) if request.only_free else found
 
 
-def page(items: DataFrame, rows: DataFrame, request: BrowseRequest) -> DataFrame:
+def page(items: DataFrame, rows: DataFrame | search.SearchIndex, request: BrowseRequest) -> DataFrame:
     """Rows of the requested page; ``items`` is the published slim list, ``rows`` its search text."""
     return listing.paginate(results(items, rows, request), listing.provider_order(request.sort), request.page, request.size)
 
 
-def chips(items: DataFrame, rows: DataFrame, request: BrowseRequest) -> DataFrame:
+def chips(items: DataFrame, rows: DataFrame | search.SearchIndex, request: BrowseRequest) -> DataFrame:
     """Facet counts of the current result."""
     return rollups.facet_counts_and(items, rows, request.search, request.modalities)

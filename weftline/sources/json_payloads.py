@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import facets, numbers, text
+from weftline.session import cut_lineage
 
 NUMERIC = r"\A(?:TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)\z"
 
@@ -50,55 +51,55 @@ class NestedIngest:
     errors: DataFrame  # documents whose top level is not usable
 
 
-def ingest_nested_json(payloads: DataFrame, doc: str = "doc_id", payload: str = "payload") -> NestedIngest:
-    """Documents of the form {"providers": [{"name", "models": [...]}]}.
-
-    Each document is one row, so entries spread over the cluster after the explode.
-    """
-    v = F.col("v")
-    docs = payloads.select(F.col(doc).alias("doc_id"), F.try_parse_json(F.col(payload)).alias("v"))
-    top = F.schema_of_variant(v)
+def _shredded(payloads: DataFrame, doc: str, payload: str) -> DataFrame:
+    """(doc_id, error, source_updated_at, entry, the entry's fields, pos, model): typed rows of one parse."""
+    # Generated rows, so that later columns read the parsed value instead of parsing again.
+    docs = payloads.select(F.col(doc).alias("doc_id"), F.inline(F.array(F.struct(F.try_parse_json(F.col(payload)).alias("v")))))
+    v, e, m = F.col("v"), F.col("e"), F.col("m")
+    entries = F.try_variant_get(v, "$.providers", "array<variant>")
     error = (
-        F.when(v.isNull() | ~F.coalesce(top.startswith("OBJECT"), F.lit(False)), "not-an-object")
+        F.when(v.isNull() | ~F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)), "not-an-object")
         .when(~is_array(v, "$.providers"), "providers-not-an-array")
-        .when(F.size(F.try_variant_get(v, "$.providers", "array<variant>")) == 0, "providers-empty")
+        .when(F.size(entries) == 0, "providers-empty")
     )
-    checked = docs.withColumn("error", error)
-    errors = checked.where("error is not null").select("doc_id", "error")
-
-    e = F.col("e")
-    entries = (
-        checked.where("error is null")
-        .select("doc_id", str_or_null(v, "$.lastUpdated").alias("source_updated_at"),
-                F.posexplode(F.try_variant_get(v, "$.providers", "array<variant>")).alias("entry", "e"))
-        .select(
-            "doc_id", "entry", "source_updated_at",
-            str_or_null(e, "$.name").alias("name"),
-            str_or_null(e, "$.category").alias("category"),
-            str_or_null(e, "$.country").alias("country"),
-            str_or_null(e, "$.flag").alias("flag"),
-            text.safe_url(str_or_null(e, "$.url")).alias("url"),
-            text.safe_url(str_or_null(e, "$.baseUrl")).alias("base_url"),
-            str_or_null(e, "$.description").alias("description"),
-            (_at(e, "$.models").isNotNull() & ~is_array(e, "$.models") & (_type_at(e, "$.models") != "VOID")).alias("bad_models"),
-            F.when(is_array(e, "$.models"), F.try_variant_get(e, "$.models", "array<variant>")).alias("models"),
-        )
-        .withColumn("bad_name", text.is_blank(F.col("name")))
+    checked = docs.select("doc_id", F.inline(F.array(F.struct(error.alias("error"), str_or_null(v, "$.lastUpdated").alias("source_updated_at"), entries.alias("entries")))))
+    spread = checked.select("doc_id", "error", "source_updated_at", F.posexplode_outer(F.when(F.col("error").isNull(), F.col("entries"))).alias("entry", "e"))
+    fields = F.struct(
+        str_or_null(e, "$.name").alias("name"),
+        str_or_null(e, "$.category").alias("category"),
+        str_or_null(e, "$.country").alias("country"),
+        str_or_null(e, "$.flag").alias("flag"),
+        text.safe_url(str_or_null(e, "$.url")).alias("url"),
+        text.safe_url(str_or_null(e, "$.baseUrl")).alias("base_url"),
+        str_or_null(e, "$.description").alias("description"),
+        (_at(e, "$.models").isNotNull() & ~is_array(e, "$.models") & (_type_at(e, "$.models") != "VOID")).alias("bad_models"),
+        F.when(is_array(e, "$.models"), F.try_variant_get(e, "$.models", "array<variant>")).alias("models"),
     )
-    usable = entries.where(~F.col("bad_name"))
-    m = F.col("m")
-    raw = (
-        usable.select("doc_id", "entry", text.canonical_slug(F.col("name")).alias("slug"), F.posexplode("models").alias("pos", "m"))
-        .select(
-            "doc_id", "entry", "slug", "pos",
-            text.blank_to_null(str_or_null(m, "$.id")).alias("id"),
-            str_or_null(m, "$.name").alias("name"),
-            scalar_or_null(m, "$.context").alias("context"),
-            scalar_or_null(m, "$.maxOutput").alias("max_output"),
-            str_or_null(m, "$.modality").alias("modality"),
-            scalar_or_null(m, "$.rateLimit").alias("rate_limit"),
-        )
+    entry = spread.select("doc_id", "error", "source_updated_at", "entry", F.inline(F.array(fields))).withColumn("bad_name", text.is_blank(F.col("name")))
+    models = F.posexplode_outer(F.when(~F.col("bad_name"), F.col("models"))).alias("pos", "m")
+    model = F.struct(
+        text.blank_to_null(str_or_null(m, "$.id")).alias("id"),
+        str_or_null(m, "$.name").alias("name"),
+        scalar_or_null(m, "$.context").alias("context"),
+        scalar_or_null(m, "$.maxOutput").alias("max_output"),
+        str_or_null(m, "$.modality").alias("modality"),
+        scalar_or_null(m, "$.rateLimit").alias("rate_limit"),
     )
+    return entry.select("*", models).withColumn("model", F.when(F.col("pos").isNotNull(), model)).drop("models", "m")
+
+
+def ingest_nested_json(payloads: DataFrame, doc: str = "doc_id", payload: str = "payload") -> NestedIngest:
+    """Documents of the form {"providers": [{"name", "models": [...]}]}.
+
+    Each document is parsed once, into typed rows that are written once: one for each model, one for an entry without
+    models, one for a document that is not usable. Everything else reads those.
+    """
+    rows = cut_lineage(_shredded(payloads, doc, payload))
+    errors = rows.where("error is not null").select("doc_id", "error")
+    entries = rows.where("entry is not null and coalesce(pos, 0) = 0")
+    usable = entries.where(~F.col("bad_name"))
+    raw = rows.where("pos is not null").select(
+        "doc_id", "entry", text.canonical_slug(F.col("name")).alias("slug"), "pos", *[F.col(f"model.{c}").alias(c) for c in ("id", "name", "context", "max_output", "modality", "rate_limit")])
     fields = ["name", "context", "max_output", "modality", "rate_limit"]
     models = (
         raw.where("id is not null")
@@ -114,7 +115,7 @@ def ingest_nested_json(payloads: DataFrame, doc: str = "doc_id", payload: str =
     )
     providers = (
         usable.withColumn("slug", text.canonical_slug(F.col("name")))
-        .drop("models", "bad_models", "bad_name")
+        .drop("error", "pos", "model", "bad_models", "bad_name")
         .join(notes, ["doc_id", "entry"], "left")
     )
     per_entry = entries.groupBy("doc_id").agg(
