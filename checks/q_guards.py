@@ -75,10 +75,31 @@ def _(spark, sf):
     return shape.shape_counts(*_inputs(spark, sf), ["source"])
 
 
-@case("shape_report", with_views(_COUNTS + """ SELECT source, rule, field, count, total, severity, round(count / total, 9) AS ratio,
-  'Field "' || field || '": ' || count || '/' || total || ' (' || CAST(floor(count / total * 100 + 0.5) AS BIGINT) || '%) break rule ' || rule AS message FROM iss WHERE severity IS NOT NULL""", "p", "cb"))
+def _offending(src: str, rules: list, kind: int, place: str) -> list[str]:
+    value = {"maxOutput": "max_output", "rateLimit": "rate_limit", "baseUrl": "base_url", "context/rateLimit": "context"}
+    return [
+        f"SELECT source, '{rule}' AS rule, '{field}' AS field, {kind} AS kind, slug, {place} AS o, {value.get(field, field)} AS v FROM {src} WHERE ({t}) AND ({b})"
+        for rule, field, t, b in rules if not rule.startswith("empty-")
+    ]
+
+
+_SAMPLES = f""", of AS ({' UNION ALL '.join(_offending('p', _PROVIDER_RULES, 0, 'pos') + _offending('cb', _MODEL_RULES, 1, 'ord'))}),
+nf AS (SELECT *, row_number() OVER (PARTITION BY source, rule, field ORDER BY kind, slug, o) AS n FROM of WHERE v IS NOT NULL),
+sm AS (SELECT source, rule, field, string_agg(v, ' | ' ORDER BY n) AS samples FROM nf WHERE n <= 3 GROUP BY source, rule, field)"""
+
+
+@case("shape_report", with_views(_COUNTS + _SAMPLES + """ SELECT source, rule, field, count, total, severity, round(count / total, 9) AS ratio,
+  'Field "' || field || '": ' || count || '/' || total || ' (' || CAST(floor(count / total * 100 + 0.5) AS BIGINT) || '%) break rule ' || rule AS message, samples
+  FROM iss LEFT JOIN sm USING (source, rule, field) WHERE severity IS NOT NULL""", "p", "cb"))
 def _(spark, sf):
-    return shape.shape_report(*_inputs(spark, sf), ["source"]).withColumn("ratio", F.round("ratio", 9)).drop("samples")
+    report = shape.shape_report(*_inputs(spark, sf), ["source"])
+    return report.withColumn("ratio", F.round("ratio", 9)).withColumn("samples", F.array_join("samples", " | "))
+
+
+@case("shape_samples", with_views(_COUNTS + _SAMPLES + " SELECT * FROM sm", "p", "cb"))
+def _(spark, sf):
+    p, m = _inputs(spark, sf)
+    return shape.shape_samples(m, ["source"], providers=p).withColumn("samples", F.array_join("samples", " | "))
 
 
 @case("severity_by_ratio", with_views(_COUNTS + " SELECT severity, count(*) AS n FROM iss GROUP BY severity", "p", "cb"))
@@ -156,6 +177,18 @@ def _(spark, sf):
     return stats.agg(*sums).withColumn("failed_rules", failed)
 
 
+# The documents of one kind alone: entries without a usable name or list, and models without a context or modality.
+@case("entry_shape_guard_fires", """
+SELECT rule, n AS entries, b AS bad_entries, r AS model_entries FROM (
+  SELECT count(*) AS n, count_if(k % 11 = 0 OR k % 13 = 0) AS b, 4 * count_if(k % 11 <> 0 AND k % 13 <> 0) AS r
+  FROM (SELECT p_partkey AS k FROM part WHERE p_partkey % 17 <> 0 AND p_partkey % 19 <> 0 AND p_partkey % 23 <> 0 AND (p_partkey % 11 = 0 OR p_partkey % 13 = 0 OR p_partkey % 9 = 1))),
+  (SELECT unnest(['entry-shape', 'fill-modality']) AS rule) WHERE rule = 'entry-shape' AND n >= 5 AND b / n > 0.5 OR rule = 'fill-modality' AND r >= 20""")
+def _(spark, sf):
+    raw = bind.view(spark, sf, "payloads").where("doc_id % 11 = 0 OR doc_id % 13 = 0 OR doc_id % 9 = 1")
+    bare = raw.withColumn("payload", F.regexp_replace("payload", '"modality": "Text"', '"modality": ""'))
+    return json_payloads.nested_shape_guard(json_payloads.ingest_nested_json(bare).stats)
+
+
 @case("suffix_feed_guard", """
 WITH e AS (SELECT event_id, user_id, event_type || '/' || k AS id, event_type, CAST(k AS BIGINT) AS k FROM (SELECT *, regexp_extract(props, '[0-9]+', 0) AS k FROM events)),
 f AS (SELECT id, min(event_id) AS ord FROM e WHERE user_id % 2 = 0 GROUP BY id), x AS (SELECT e.* FROM f JOIN e ON e.event_id = f.ord)

@@ -107,14 +107,22 @@ def shape_issues(providers: DataFrame, models: DataFrame, group: list[str]) -> D
     )
 
 
-def shape_samples(models: DataFrame, group: list[str], n: int = 3) -> DataFrame:
-    """First offending values per rule, at most n: the group limit prunes before the shuffle."""
+def _offending(df: DataFrame, group: list[str], rules: list, kind: int, place: Column) -> DataFrame:
+    """(group, rule, field, kind, slug, ord, value) of every value that breaks a rule, all rules in one pass."""
     entries = [
         F.when(counted & bad & value.isNotNull(), F.struct(F.lit(rule).alias("rule"), F.lit(field).alias("field"), value.alias("value")))
-        for rule, field, counted, bad, value in model_rules()
+        for rule, field, counted, bad, value in rules
     ]
-    bad_rows = models.select(*group, "slug", "ord", F.inline(F.array_compact(F.array(*entries))))
-    w = Window.partitionBy(*group, "rule", "field").orderBy("slug", "ord")
+    return df.select(*group, F.lit(kind).alias("kind"), "slug", place.cast("bigint").alias("ord"), F.inline(F.array_compact(F.array(*entries))))
+
+
+def shape_samples(models: DataFrame, group: list[str], n: int = 3, providers: DataFrame | None = None) -> DataFrame:
+    """First offending values per rule, at most n, providers before models: the group limit prunes before the shuffle."""
+    bad_rows = _offending(models, group, model_rules(), 1, F.col("ord"))
+    if providers is not None:
+        place = F.col("pos") if "pos" in providers.columns else F.lit(None)
+        bad_rows = _offending(providers, group, provider_rules(), 0, place).unionByName(bad_rows)
+    w = Window.partitionBy(*group, "rule", "field").orderBy("kind", "slug", "ord")
     first = bad_rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= n)
     return first.groupBy(*group, "rule", "field").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("xs")).select(
         *group, "rule", "field", F.col("xs.value").alias("samples")
@@ -136,7 +144,7 @@ def shape_stats(providers: DataFrame, models: DataFrame, group: list[str]) -> Da
 def shape_report(providers: DataFrame, models: DataFrame, group: list[str]) -> DataFrame:
     """Issues with samples."""
     issues = shape_issues(providers, models, group)
-    samples = shape_samples(models, group)
+    samples = shape_samples(models, group, providers=providers)
     return issues.join(samples, [*group, "rule", "field"], "left")
 
 
