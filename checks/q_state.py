@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from checks import bind
+from checks import bind, q_guards, q_merge, sqlfn as s
 from checks.bind import TEXT, with_views
 from checks.registry import case
 from weftline.operators import changelog, diff, limiter, quarantine
@@ -202,9 +202,37 @@ def _(spark, sf):
     return result.report.where("section = 'source'").select("outcome", "section", "label", "status", "providers", "models")
 
 
-@case("run_report_summary")
+# What a run over the three sources reports: their sizes, the merged catalogue (one provider's models as its live source
+# lists them), every shape rule over it with samples, and that nothing was there to compare with.
+_RUN = q_merge._STAR + f""",
+am AS (SELECT 'all' AS source, * FROM mm WHERE slug <> 'supplier-1' OR id IN (SELECT id FROM c WHERE slug = 'supplier-1' AND source = 'src_0')),
+mp AS (SELECT 'all' AS source, slug, name, description, url, base_url, NULL AS pos FROM g WHERE slug IN (SELECT slug FROM am)),
+rw AS ({' UNION ALL '.join(q_guards._rule_rows('am', q_guards._MODEL_RULES, ['context', 'maxOutput', 'modality', 'rateLimit']) + q_guards._rule_rows('mp', q_guards._PROVIDER_RULES, ['url', 'baseUrl']) + [q_guards._DUP.replace('cb', 'am')])}),
+sc AS (SELECT source, rule, field, CAST(sum(count) AS BIGINT) AS count, CAST(sum(total) AS BIGINT) AS total FROM rw GROUP BY source, rule, field),
+iss AS (SELECT *, CASE WHEN rule IN ('duplicate-id-in-provider', 'all-null-collapse') AND count > 0 THEN 'warn' ELSE {s.severity('count', 'total')} END AS severity FROM sc),
+of AS ({' UNION ALL '.join(q_guards._offending('mp', q_guards._PROVIDER_RULES, 0, 'pos') + q_guards._offending('am', q_guards._MODEL_RULES, 1, 'ord'))}),
+nf AS (SELECT *, row_number() OVER (PARTITION BY rule, field ORDER BY kind, slug, o) AS n FROM of WHERE v IS NOT NULL),
+sm AS (SELECT rule, field, string_agg(v, ', ' ORDER BY n) AS samples FROM nf WHERE n <= 3 GROUP BY rule, field),
+rr AS (
+  SELECT 'source' AS section, source AS label, 'ok' AS status, providers, models, NULL AS detail FROM
+    (SELECT source, count(*) AS providers FROM p GROUP BY source) a JOIN (SELECT source, count(*) AS models FROM c GROUP BY source) b USING (source)
+  UNION ALL SELECT 'merged', NULL, NULL, (SELECT count(*) FROM mp), (SELECT count(*) FROM am), NULL
+  UNION ALL SELECT 'dropped', slug, NULL, NULL, NULL, NULL FROM g WHERE slug NOT IN (SELECT slug FROM am)
+  UNION ALL SELECT 'shape', rule || ' ' || field, severity, NULL, count,
+    'Field "' || field || '": ' || count || '/' || total || ' (' || CAST(floor(count / total * 100 + 0.5) AS BIGINT) || '%) break rule ' || rule || coalesce('; e.g. ' || samples, '')
+    FROM iss LEFT JOIN sm USING (rule, field) WHERE severity IS NOT NULL)"""
+
+
+@case("run_report_rows", with_views(_RUN + " SELECT * FROM rr UNION ALL SELECT 'diff', 'no-previous', 'warn', NULL, NULL, 'no previous snapshot — guard skipped'", "p", "c", "g"))
 def _(spark, sf):
-    """Two runs one after the other; the second compares itself with the first."""
+    root = f"{scratch_folder(spark)}/sync-{uuid.uuid4().hex}"
+    return sync.run_sync(spark, _specs(spark, sf), root, _options(spark, sf, "run-1", "2026-01-04")).report.drop("run_id", "outcome")
+
+
+@case("run_report_summary", with_views(_RUN + """
+SELECT 'run-2' AS run_id, 'ok-with-warnings' AS outcome, section, status, count(*) AS rows, CAST(sum(providers) AS BIGINT) AS providers, CAST(sum(models) AS BIGINT) AS models FROM rr GROUP BY section, status""", "p", "c", "g"))
+def _(spark, sf):
+    """Two runs one after the other; the second compares itself with the first and finds nothing to report."""
     root = f"{scratch_folder(spark)}/sync-{uuid.uuid4().hex}"
     sync.run_sync(spark, _specs(spark, sf), root, _options(spark, sf, "run-1", "2026-01-04"))
     second = sync.run_sync(spark, _specs(spark, sf), root, _options(spark, sf, "run-2", "2026-01-05"))
