@@ -296,6 +296,16 @@ def test_corrupt_source_is_skipped_and_bad_merge_stops(spark, tmp_path):
     assert forced.outcome == "ok-with-warnings" and forced.providers.count() == 4
 
 
+def test_report_lines_say_what_a_reader_needs(spark):
+    rows = [("r", "ok-with-warnings", "quarantine", "a", "held", None, None, "9 -> 3 (run 1/3, 2 left)"), ("r", "ok-with-warnings", "source", "src", "ok", 3, 40, None),
+            ("r", "ok-with-warnings", "merged", None, None, 3, 40, None), ("r", "ok-with-warnings", "shape", "invalid-url url", "fatal", None, 4, "4/10; e.g. /x")]
+    rows += [("r", "ok-with-warnings", "shape", f"w{k:02}", "warn", None, 1, "m") for k in range(25)]
+    got = sync.report_lines(spark.createDataFrame(rows, sync.REPORT_SCHEMA), shown=20).orderBy("place").collect()
+    assert [r.line for r in got[:4]] == ["source [ok] src (3 providers, 40 models)", "merged (3 providers, 40 models)", "shape [fatal] invalid-url url (4 models) 4/10; e.g. /x", "shape [warn] w00 (1 models) m"]
+    assert got[-1].line == "quarantine [held] a 9 -> 3 (run 1/3, 2 left)" and len(got) == 24
+    assert [r.more for r in got if r.more] == [5]
+
+
 def test_damaged_snapshot_file_reads_as_absent(spark, tmp_path):
     schema = "slug string, n bigint"
     spark.createDataFrame([("a", 1)], schema).write.parquet(str(tmp_path / "t"))
