@@ -1,13 +1,14 @@
 """Benchmark decontamination: passages of documents within a small edit distance of a benchmark item.
 
-Texts are lower-cased and read as words (letters, digits and characters beyond ASCII). A CGK embedding maps edit distance
-to Hamming distance: a pointer walks over a window's overlapping pairs of words, and at each step a random function of
+Texts are lower-cased and read as words: runs of letters, digits and marks, in scripts without blanks single characters.
+A CGK embedding maps edit distance to Hamming distance: a pointer walks over a window's overlapping pairs of words, and at each step a random function of
 the step and the pair under it says whether it moves on; the pairs it saw, step by step, are the embedding. Bit sampling
 keeps a few steps of it. Windows of every item and of every document position, half as long as the item (rounded down to
 a ladder), get ``REPEATS`` such keys from independent walks, so that an item is met from any of its many starts, also
 where its first words are edited or its last ones missing. Equal keys make a candidate, and each candidate is verified
 by the exact edit distance between the item and the best matching stretch of the document. Items of few words admit one
-edit, which leaves three words in a row: their windows are any three words, and none of them is missed.
+edit, which leaves three words in a row: their windows are any three words, and none of them is missed. Items of up to
+``LEAST_PAIRS`` words are too short for edits and are met as whole sequences of words, none of them missed either.
 
 Half of the repetitions sample the first third of the steps, so that stretches between two edits are found too; sampling
 step 0 always lets a worker drop most positions at once. Documents never meet the benchmark itself in the search: the keys of all items are
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.hashing import ALNUM, mix, small_batches, text_buffer, words_of
@@ -30,12 +31,19 @@ from weftline.session import cut_lineage
 
 #: Independent walks, steps sampled of each, and log2 of a bitmap's size.
 REPEATS, SAMPLED, MAP_BITS = 16, 4, 18
-#: Items with fewer word pairs are too common to be passages; window lengths rise by half from there.
+#: Items with fewer word pairs match as they are, without edits; window lengths rise by half from there.
 LEAST_PAIRS = 5
 #: Items of up to so many pairs have windows of ``SHORT`` pairs, which are walked pair by pair.
 FEW_PAIRS, SHORT = 8, 2
 
 
+#: A character that makes a text need ``_separated``: all but ASCII and the Latin letters up to U+024F.
+UNUSUAL = r"[^\x00-\x7F\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]"
+#: Characters between words, and scripts whose characters are words of their own.
+BETWEEN = r"[^\p{L}\p{N}\p{M}]+"
+SINGLE = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+
+
 def ladder(most: int) -> list[int]:
     sizes = [LEAST_PAIRS]
     while sizes[-1] * 3 // 2 <= most:
@@ -91,8 +99,25 @@ def _walk(h: np.ndarray, at: np.ndarray, end: np.ndarray, size: int, repeat: int
     return alive, key
 
 
+def _separated(text: Column) -> Column:
+    """Lower-cased text of which ``ALNUM`` finds the words of any script; plain Latin text has the same words without it."""
+    apart = F.regexp_replace(F.regexp_replace(text, BETWEEN, " "), SINGLE, " $1 ")
+    return F.when(text.rlike(UNUSUAL), F.concat(apart, F.lit("\n"))).otherwise(text)
+
+
 def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.col(key).cast("long").alias("key"), F.concat(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("\n")).alias("text"))
+    """(key, text, text_key): the separated text, and the hash of the lower-cased one."""
+    lowered = df.select(F.col(key).cast("long").alias("key"), F.concat(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("\n")).alias("text"))
+    return lowered.select("key", _separated(F.col("text")).alias("text"), F.xxhash64("text").alias("text_key"))
+
+
+def _runs(h: np.ndarray, words: int) -> np.ndarray:
+    """Hash of each word with the ones that follow, so many in all; of no use where a text ends before."""
+    key, ahead = mix(h + np.uint64(words)), h
+    for _ in range(words - 1):
+        ahead = np.append(ahead[1:], np.uint64(0))
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + ahead)
+    return key
 
 
 def _pairs(h: np.ndarray) -> np.ndarray:
@@ -106,23 +131,29 @@ def _words(batches: Iterator[pa.RecordBatch]):
 
 
 def _index(items: DataFrame) -> DataFrame:
-    """(key, item_id, size, level, n): the keys of all windows of all items; partial keys carry their level."""
+    """(key, item_id, size, level): the keys of all windows of all items; partial keys carry their level.
+
+    An item of up to ``LEAST_PAIRS`` words has one key, of all its words; its size is their number, negative.
+    """
     def rows(batches):
-        for batch, h, first in _words(batches):
-            h = np.append(_pairs(h), np.uint64(0))
+        for batch, words, first in _words(batches):
+            h = np.append(_pairs(words), np.uint64(0))
             for item, s, e in zip(batch.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
                 n = e - s - 1
-                if n < LEAST_PAIRS:
+                if n < 0:
                     continue
-                size = window_of(n)
-                at = np.arange(s, s + n - size + 1)
-                parts = [("head", 0, np.unique(h[at]))]
-                for r in repeats_of(size):
-                    def keep(level, keys, r=r):
-                        parts.append(("key", r * SAMPLED + level, np.unique(keys)))
-
-                    _walk(h, at, at + size, size, r, keep)
-                for _, level, keys in parts:
+                if n < LEAST_PAIRS:
+                    size, parts = -(n + 1), [(0, _runs(words[s:e], n + 1)[:1])]
+                else:
+                    size = window_of(n)
+                    at = np.arange(s, s + n - size + 1)
+                    parts = [(0, np.unique(h[at]))]
+                    for r in repeats_of(size):
+                        def keep(level, keys, r=r):
+                            parts.append((r * SAMPLED + level, np.unique(keys)))
+
+                        _walk(h, at, at + size, size, r, keep)
+                for level, keys in parts:
                     yield pa.RecordBatch.from_pydict({
                         "key": pa.array(keys.view(np.int64)), "item_id": pa.array([item] * len(keys), pa.int64()),
                         "size": pa.array([size] * len(keys), pa.int32()), "level": pa.array([level] * len(keys), pa.int32())})
@@ -146,9 +177,10 @@ def _bitmaps(index: DataFrame) -> dict[tuple[int, int], np.ndarray]:
 
 
 def candidates(docs: DataFrame, maps: dict[tuple[int, int], np.ndarray], percent: int) -> DataFrame:
-    """(doc_id, size, keys, stretch): words around each cluster of hits, with the whole keys found in it.
+    """(doc_id, text_key, size, keys, stretch): words around each cluster of hits, with the whole keys found in it.
 
-    A stretch reaches as far to either side as an item with such windows can when words are added to it.
+    A stretch reaches as far to either side as an item with such windows can when words are added to it. Of the runs that
+    may be a whole short item, each is sent on once for a document.
     """
     def rows(batches):
         flags = {(size, level): np.unpackbits(packed).view(bool) for (size, level), packed in maps.items()}
@@ -161,8 +193,17 @@ def candidates(docs: DataFrame, maps: dict[tuple[int, int], np.ndarray], percent
             ends = first[1:][owner] - 1
             padded = np.append(_pairs(h), np.uint64(0))
             slot = (padded[:-1] & low).astype(np.int64)
-            found = []
+            found, out = [], []
             for size in sizes:
+                if size < 0:
+                    runs = _runs(h, -size)
+                    start = np.flatnonzero(flags[size, 0][(runs & low).astype(np.int64)])
+                    start = start[ends[start] - start >= -size - 1]
+                    # Sorted by document and run: the first of each is kept.
+                    start = start[np.lexsort((start, runs[start], owner[start]))]
+                    new = np.r_[True, (owner[start[1:]] != owner[start[:-1]]) | (runs[start[1:]] != runs[start[:-1]])][: len(start)]
+                    out += [(int(owner[k]), size, runs[k : k + 1].view(np.int64), h[k : k - size].view(np.int64)) for k in start[new].tolist()]
+                    continue
                 start = np.flatnonzero(flags[size, 0][slot])
                 start = start[ends[start] - start >= size]
                 if not len(start):
@@ -173,15 +214,14 @@ def candidates(docs: DataFrame, maps: dict[tuple[int, int], np.ndarray], percent
 
                     alive, keys = _walk(padded, start, start + size, size, r, keep)
                     found.append((start[alive], keys, np.full(len(alive), size)))
-            if not found:
-                continue
-            at, keys, size = (np.concatenate(x) for x in zip(*found, strict=True))
+            none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            at, keys, size = (np.concatenate(x) for x in zip(none, *found, strict=True))
             order = np.lexsort((at, size, owner[at]))
             at, keys, size = at[order], keys[order], size[order]
             doc = owner[at]
-            cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (size[1:] != size[:-1]) | (at[1:] - at[:-1] > size[1:])])
-            out = []
-            for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(at)], strict=True):
+            cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (size[1:] != size[:-1]) | (at[1:] - at[:-1] > size[1:])][: len(at)])
+            edges = [*cut.tolist(), len(at)]
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
                 d, w = int(doc[s]), int(size[s])
                 reach = longest(w) * (200 - percent) // 100 + 1
                 lo, hi = max(int(first[d]), int(at[s]) - reach), min(int(first[d + 1]), int(at[e - 1]) + reach)
@@ -212,8 +252,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, text:
 
     An item is found where some run of the document's words is at most ``(100 - percent)`` percent of the item's
     words away from it in edits. ``text_key`` is the 64-bit hash of the text, so that rows with a repeated or null
-    id stay apart; repeated rows are reported once. Items of up to ``LEAST_PAIRS`` words match nothing; null and empty
-    texts have no words; empty tables give an empty result; other columns are ignored.
+    id stay apart; repeated rows are reported once. Items of up to ``LEAST_PAIRS`` words match only runs equal to them,
+    one of a single word too; null and empty texts have no words; empty tables give an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     items = _texts(benchmark, item_id, item_text)
@@ -221,9 +261,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, text:
     shared = _bitmaps(index)
     if not shared:
         return spark.createDataFrame([], "doc_id long, text_key long, item_id long, item_words int, edits int")
-    rows = _texts(docs, doc_id, text).withColumn("text_key", F.xxhash64("text"))
+    rows = _texts(docs, doc_id, text)
     near = cut_lineage(candidates(rows, shared, percent).withColumn("hit", F.xxhash64("doc_id", "text_key", "size", "stretch")))
-    whole = index.where(F.col("level") % SAMPLED == SAMPLED - 1).select("key", "size", "item_id").distinct()
+    whole = index.where((F.col("level") % SAMPLED == SAMPLED - 1) | (F.col("size") < 0)).select("key", "size", "item_id").distinct()
     pairs = near.select("hit", "size", F.explode("keys").alias("key")).join(whole, ["key", "size"]).select("hit", "item_id").distinct()
 
     def tokens(batches):
