@@ -1,8 +1,9 @@
 """Secret scan: candidate tokens by pattern, false positives removed by a random forest.
 
-A candidate is a run of at least 16 key characters. Its features: length, changes between character classes, shares of
+A candidate is a run of at least 16 key characters, or a value of any length and characters that is assigned to a
+secret's name (of two that begin at one place, the longer). Its features: length, changes between character classes, shares of
 digits, upper case and distinct characters, entropy, coverage by a dictionary of letter triples counted over the words of
-the whole corpus, whether it or the document's path looks like a path, a test or an example, and words next to it. The
+all documents, whether it or the document's path looks like a path, a test or an example, and words next to it. The
 forest is trained on labelled findings, a bounded sample of them; where none are given, findings with a published key
 format or an assignment to a secret's name are labelled true, and plain words, numbers and digests named as such false.
 Everything is DataFrame functions and the JVM's own learner.
@@ -20,6 +21,9 @@ from weftline.llm.spans import before, matches
 from weftline.session import cut_lineage
 
 PATTERN = r"(?:(?<![A-Za-z0-9+/_-])|\G)[A-Za-z0-9+/_-]{16,}+={0,2}+"
+#: A secret's name, a sign of assignment, an opening quote; then the value, up to a blank or quote, closing signs left off.
+ASSIGN = r"(?i)(?:pass(?:word|wd)?|secret|token|api_?key|access_?key|credential|auth)s?[\"']?\s{0,4}(?::=|=>|==?|:)\s{0,4}[\"'`]?"
+VALUE = r"[^\s\"'`]*[^\s\"'`.,;:)\]}>]"
 #: Labelled findings in the training sample, triples in the dictionary, trees and depth of the forest.
 SAMPLE, TRIPLES, TREES, DEPTH = 20_000, 400, 20, 6
 THRESHOLD = 0.5
@@ -46,18 +50,32 @@ def triples(words: Column) -> Column:
     return F.element_at(F.transform(F.array(F.split(words, "")), of), 1)
 
 
+def _assigned(text: Column) -> Column:
+    """array<struct<start, end, value>>: the values assigned to secrets' names."""
+    def value(m: Column) -> Column:
+        v = F.regexp_replace(m["value"], f"^{ASSIGN}", "")
+        return F.struct((m["end"] - F.length(v)).alias("start"), m["end"].alias("end"), v.alias("value"))
+
+    return F.transform(matches(text, ASSIGN + VALUE), value)
+
+
 def candidates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = "source") -> DataFrame:
-    """(doc_id, path, start, end, value, context): every candidate of every whole text."""
+    """(doc_id, path, start, end, value, context): every candidate of every whole text.
+
+    ``path`` names a column that tells where a text comes from; a table without it has no paths.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
-    where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
+    where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), where.alias("path"), body.alias("text"))
-    found = rows.select("doc_id", "path", "text", F.explode(matches(F.col("text"), PATTERN)).alias("m"))
+    both = rows.select("doc_id", "path", "text", matches(F.col("text"), PATTERN).alias("runs"), _assigned(F.col("text")).alias("values"))
+    longer = F.filter("runs", lambda r: ~F.exists("values", lambda v: (v["start"] == r["start"]) & (v["end"] >= r["end"])))
+    found = both.select("doc_id", "path", "text", F.explode(F.concat(longer, "values")).alias("m"))
     return found.select("doc_id", "path", "m.start", "m.end", "m.value", before(F.col("text"), F.col("m.start"), 3).alias("context"))
 
 
-def dictionary(found: DataFrame, size: int = TRIPLES) -> list[str]:
-    """The commonest letter triples of the words that stand before candidates, over the whole corpus; a table of fixed size."""
-    words = found.select(F.explode(F.split("context", r"[^\p{L}]+")).alias("w")).where(F.length("w") >= 3)
+def dictionary(docs: DataFrame, text: str = "text", size: int = TRIPLES) -> list[str]:
+    """The commonest letter triples of all words of all documents; a table of fixed size. Words are summed up first."""
+    words = docs.select(F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}]+")).alias("w")).where(F.length("w") >= 3)
     counted = words.groupBy("w").agg(F.count("*").alias("n")).select("n", F.explode(triples(F.col("w"))).alias("t"))
     top = counted.groupBy("t").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "t").limit(size)
     return [r["t"] for r in top.collect()]
@@ -99,7 +117,7 @@ def scored(docs: DataFrame, findings: DataFrame | None = None, text: str = "text
     rows give repeated findings, null ids pass through, an empty table gives an empty result; other columns are ignored.
     """
     found = cut_lineage(candidates(docs, text, doc_id, path))
-    featured = cut_lineage(own_labels(with_features(found, dictionary(found))))
+    featured = cut_lineage(own_labels(with_features(found, dictionary(docs, text))))
     if findings is not None:
         known = findings.where("label IS NOT NULL").groupBy("value").agg(F.max("label").cast("double").alias("label"))
         featured = cut_lineage(featured.drop("label").join(known, "value", "left"))
