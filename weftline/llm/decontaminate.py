@@ -37,8 +37,8 @@ LEAST_PAIRS = 5
 FEW_PAIRS, SHORT = 8, 2
 
 
-#: A character that makes a text need ``_separated``: all but ASCII and the Latin letters up to U+024F.
-UNUSUAL = r"[^\x00-\x7F\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]"
+#: A character that makes a text need ``_separated``: all but ASCII and the Latin letters up to U+024F. ASCII is passed over first.
+UNUSUAL = r"[^\x00-\x7F](?<![\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F])"
 #: Characters between words, and scripts whose characters are words of their own.
 BETWEEN = r"[^\p{L}\p{N}\p{M}]+"
 SINGLE = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
@@ -102,7 +102,7 @@ def _walk(h: np.ndarray, at: np.ndarray, end: np.ndarray, size: int, repeat: int
 def _separated(text: Column) -> Column:
     """Lower-cased text of which ``ALNUM`` finds the words of any script; plain Latin text has the same words without it."""
     apart = F.regexp_replace(F.regexp_replace(text, BETWEEN, " "), SINGLE, " $1 ")
-    return F.when(text.rlike(UNUSUAL), F.concat(apart, F.lit("\n"))).otherwise(text)
+    return F.when((F.octet_length(text) > F.char_length(text)) & text.rlike(UNUSUAL), F.concat(apart, F.lit("\n"))).otherwise(text)
 
 
 def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
