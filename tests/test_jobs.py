@@ -344,3 +344,14 @@ def test_a_run_reads_whole_or_not_at_all(spark, tmp_path, harm):
     assert snapshots.read_latest(spark, root, "t", schema).count() == (4000 if harm == "none" else 0)
     assert snapshots.read_latest(spark, root, "other", schema).count() == (0 if harm == "list" else 5)
     assert snapshots.read_latest(spark, root, "t", schema, before="run-2").count() == 10
+
+
+def test_search_index_has_a_gram_once_a_block(spark, tmp_path):
+    providers = spark.createDataFrame([("s", "Some Name")], "slug string, name string")
+    models = spark.range(20_000).select(F.lit("s").alias("slug"), F.col("id").alias("pos"), F.col("id").cast("string").alias("id"), F.lit("same words").alias("name"))
+    search.publish_index(providers, models, str(tmp_path / "i"))
+    index = search.read_index(spark, str(tmp_path / "i"))
+    blocks = -(-20_001 // search.BLOCK)
+    assert index.rows.groupBy("block").count().agg(F.max("count")).first()[0] <= search.BLOCK
+    assert index.postings.where("gram = 'wor'").count() == index.rows.select("block").distinct().count() == blocks
+    assert [r.slug for r in search.text_hits(index, "19998 same words 19999").collect()] == ["s"]
