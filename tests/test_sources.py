@@ -154,3 +154,12 @@ def test_unpublished_run_stays_invisible(spark, tmp_path):
     assert snapshots.read_latest(spark, root, "t", "slug string", before="run-3").count() == 1
     raw = spark.createDataFrame([('{"slug": "x"}',), ("not json",)], "value string")
     assert snapshots.parse_json_fail_open(raw, "slug string").where("slug is not null").count() == 1
+
+
+def test_pages_are_dealt_out_before_they_are_parsed(spark):
+    html = "<table><thead><tr><th>Provider</th><th>Model</th><th>Context</th></tr></thead><tbody><tr data-provider='x'></tr><tr data-provider=\"acme\"><td></td><td>M</td><td>8K</td></tr></tbody></table>"
+    rows = html_tables.html_table_rows(spark.createDataFrame([(k, html) for k in range(6)], "page_id long, html string").coalesce(1))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    before, dealt, below = plan.partition("Repartition")
+    assert dealt and "header_error" in before and "regexp" not in below
+    assert sorted((r.page_id, r.provider, r.name, r.context) for r in rows.collect()) == [(k, "acme", "M", "8K") for k in range(6)]

@@ -57,12 +57,15 @@ CATALOGUE_COLUMNS = {
 def html_table_rows(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
     """Attribute rows: provider and modality from <tr> attributes, cells by mapped header.
 
-    Every page's rows are exploded, so a page of any length spreads after the read; the first row of
-    a (page, provider, id) wins.
+    Pages are dealt out before they are parsed, as many small ones fit into one split of a file. Every page's rows are
+    exploded; the first row of a (page, provider, id) wins.
     """
-    mapped = html_table_header_map(pages, CATALOGUE_COLUMNS, "context", html).where("header_error is null")
-    body = F.regexp_extract(F.col(html), r"(?s)<tbody.*</tbody>", 0)
+    pages = pages.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ats = [f"{c}_at" for c in CATALOGUE_COLUMNS]
+    # A generated row, so that the filter reads the header instead of parsing it again before pages are dealt out.
+    header = F.inline(F.array(F.struct(*ats, "header_error")))
+    mapped = html_table_header_map(pages, CATALOGUE_COLUMNS, "context", html).select(page, html, header).where("header_error is null")
+    body = F.regexp_extract(F.col(html), r"(?s)<tbody.*</tbody>", 0)
     rows = mapped.select(page, *ats, F.posexplode(_all(body, r"(?s)<tr[\s>].*?</tr>")).alias("pos", "tr"))
     attrs = F.substring_index("tr", ">", 1)
     cells = F.col("cells")
