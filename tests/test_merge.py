@@ -138,3 +138,13 @@ def test_authoritative_source(spark):
     got = sorted(map(tuple, merge.keep_authoritative(m, live).collect()))
     assert got == [("a", "1"), ("b", "2")]
     assert merge.keep_authoritative(m, live.where(F.lit(False))).count() == 3
+
+
+def test_rollup_counts_each_spelling_once(spark):
+    rows = [("s", k, m, c) for k, (m, c) in enumerate([("Text", "8K"), ("Audio", "8192"), ("Text", "8K"), (None, None), ("Text + Vision", "4K"), ("Text", "8k")] * 3)]
+    models = spark.createDataFrame(rows + [("t", 0, None, None)], "slug string, ord long, modality string, context string")
+    got = merge.child_rollup(models)
+    assert {r.slug: (r.model_count, r.modalities) for r in got.collect()} == {"s": (18, ["text", "vision", "audio"]), "t": (1, [])}
+    direct = models.groupBy("slug").agg(merge.max_context(F.col("context"), F.col("ord")).alias("max_context"))
+    assert sorted(got.select("slug", "max_context").collect()) == sorted(direct.collect())
+    assert "Aggregate [slug" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and plan.count("Aggregate") == 2
