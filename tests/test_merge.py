@@ -148,3 +148,13 @@ def test_rollup_counts_each_spelling_once(spark):
     direct = models.groupBy("slug").agg(merge.max_context(F.col("context"), F.col("ord")).alias("max_context"))
     assert sorted(got.select("slug", "max_context").collect()) == sorted(direct.collect())
     assert "Aggregate [slug" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and plan.count("Aggregate") == 2
+
+
+def test_pairs_that_nothing_bridges_are_not_joined(spark):
+    """Names repeat, ids do not: no pair waits for a count of its keys."""
+    cols = "slug string, ord long, id string, name string, context string, max_output string, modality string, rate_limit string"
+    rows = [("s", k, f"id-{k}", f"name {k % 3}", f"{k}K" if k > 2 else None, None, None, None) for k in range(9)]
+    nodes, edges = merge._nodes(merge.key_pairs(spark.createDataFrame(rows, cols), "slug", "ord"), "slug")
+    assert edges is None and nodes.count() == 3 and "Join" not in nodes._jdf.queryExecution().optimizedPlan().toString()
+    got = merge.merge_children(spark.createDataFrame([*rows, (None, 0, "id-0", "name 0", None, None, None, None)], cols))
+    assert sorted((r.slug, r.id, r.ord, r.members, r.context) for r in got.collect()) == [("s", f"id-{k}", k, 3, f"{k + 3}K") for k in range(3)]
