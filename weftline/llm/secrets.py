@@ -130,7 +130,8 @@ def scored(docs: DataFrame, findings: DataFrame | None = None, text: str = "text
     if sample.select("label").distinct().count() < 2:
         return featured.select("doc_id", "start", "end", "value", F.coalesce("label", F.lit(0.0)).alias("score"))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, labelCol="label", featuresCol="features", subsamplingRate=1.0)
-    model = forest.fit(together.transform(sample))
+    # Bags and splits are drawn by partition and place, so the sample, bounded as it is, stands in one order whatever files it came from.
+    model = forest.fit(together.transform(sample.coalesce(1).sortWithinPartitions("label", *FEATURES)))
     out = model.transform(together.transform(featured))
     return out.select("doc_id", "start", "end", "value", F.round(vector_to_array("probability")[1], 9).alias("score"))
 
