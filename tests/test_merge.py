@@ -158,3 +158,22 @@ def test_pairs_that_nothing_bridges_are_not_joined(spark):
     assert edges is None and nodes.count() == 3 and "Join" not in nodes._jdf.queryExecution().optimizedPlan().toString()
     got = merge.merge_children(spark.createDataFrame([*rows, (None, 0, "id-0", "name 0", None, None, None, None)], cols))
     assert sorted((r.slug, r.id, r.ord, r.members, r.context) for r in got.collect()) == [("s", f"id-{k}", k, 3, f"{k + 3}K") for k in range(3)]
+
+
+def test_rows_whose_keys_occur_once_are_written_once(spark, monkeypatch):
+    """No exchange, pair or node for a row that nothing else can meet: tables that are written hold hardly more rows than come in."""
+    written, cut = [], merge.cut_lineage
+    monkeypatch.setattr(merge, "cut_lineage", lambda df: written.append((out := cut(df)).count()) or out)
+    rows = [(i, i, {"context": f"{i}K"}) for i in range(1000)] + [(5, 2000, {}), (2001, 5, {"rate_limit": "1 RPM"}), (2001, 2000, {})]
+    assert merged(spark, {"s": rows})["s"] == replay(rows)
+    assert sum(written) <= 1100
+
+
+@pytest.mark.parametrize("places", [1, 8, 1 << 16])
+def test_keys_that_share_a_place_count_as_repeated(spark, monkeypatch, places):
+    """A bitmap that is too small makes more nodes, and the same children."""
+    monkeypatch.setattr(merge, "PLACES", places)
+    rnd = random.Random(places)
+    cases = {f"s{n}": [(rnd.randrange(40), rnd.randrange(40), {"context": f"{i}K"} if i % 3 else {}) for i in range(30)] for n in range(20)}
+    cases["once"] = [(i, i, {"rate_limit": f"{i} RPM"}) for i in range(30)] + [(7, 7, {"context": "9K"}), (100, 8, {})]
+    assert merged(spark, cases) == {s: replay(m) for s, m in cases.items()}
