@@ -355,3 +355,18 @@ def test_search_index_has_a_gram_once_a_block(spark, tmp_path):
     assert index.rows.groupBy("block").count().agg(F.max("count")).first()[0] <= search.BLOCK
     assert index.postings.where("gram = 'wor'").count() == index.rows.select("block").distinct().count() == blocks
     assert [r.slug for r in search.text_hits(index, "19998 same words 19999").collect()] == ["s"]
+
+
+def test_large_joined_tables_are_not_broadcast(spark, tmp_path):
+    """Half a million rows are a small file, and 25 to 50 MB of the driver's memory for each join that broadcasts them."""
+    from checks import bind
+
+    rows = bind.BROADCAST_ROWS + 1 if hasattr(bind, "BROADCAST_ROWS") else 500_001
+    for name, n in (("part", rows), ("supplier", 20), ("lineitem", 100)):
+        given = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(1)
+        key = {"part": "p_partkey", "supplier": "s_suppkey", "lineitem": "l_orderkey"}[name]
+        spark.range(n).join(given.drop(key)).withColumnRenamed("id", key).write.parquet(f"{tmp_path}/{name}.parquet")
+    plan = bind.view(spark, str(tmp_path), "prev_p")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and plan.count("SortMergeJoin") == 1
+    small = bind.view(spark, "/root/testdata/sf0.001", "prev_p")._jdf.queryExecution().executedPlan().toString()
+    assert small.count("BroadcastHashJoin") == 2
