@@ -177,3 +177,22 @@ def test_keys_that_share_a_place_count_as_repeated(spark, monkeypatch, places):
     cases = {f"s{n}": [(rnd.randrange(40), rnd.randrange(40), {"context": f"{i}K"} if i % 3 else {}) for i in range(30)] for n in range(20)}
     cases["once"] = [(i, i, {"rate_limit": f"{i} RPM"}) for i in range(30)] + [(7, 7, {"context": "9K"}), (100, 8, {})]
     assert merged(spark, cases) == {s: replay(m) for s, m in cases.items()}
+
+
+def test_rows_of_an_entity_are_sorted_by_checksums(spark):
+    """Keys of one entity begin alike, so that a sort by them compares whole rows; the aggregates that sort lead with a checksum."""
+    cols = "slug string, ord long, id string, name string, context string, max_output string, modality string, rate_limit string"
+    pairs = merge.key_pairs(spark.createDataFrame([("s", 1, "i", "n", "1K", None, None, None)], cols), "slug", "ord")
+    nodes, _ = merge._nodes(pairs, "slug")
+    for df in (pairs, nodes):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate(key=[_groupingexpression#" in plan and "SortAggregate(key=[slug#" not in plan and "_h" not in df.columns
+
+
+def test_any_facet_is_one_of_the_facets(spark):
+    from weftline.functions import facets
+
+    rows = [(m,) for m in ["Text", "Audio + video", "none", "", None, "Embeddings", "code", "encoder", "RERANK"]]
+    df = spark.createDataFrame(rows, "m string")
+    got = df.select(facets.has_any_facet(F.col("m")).alias("some"), F.size(facets.facets_of(F.col("m"))).alias("n")).collect()
+    assert [r.some for r in got] == [r.n > 0 for r in got] and {r.some for r in got} == {True, False}
